@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, simhash
+from tidewheel.llm import decontaminate, mixing, sharding, simhash
+from tidewheel.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +23,22 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.allot(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "mix.source_size", "mix.target", (F.size("mix.shards") * F.col("size")).cast("long").alias("taken"))
+
+
+ORACLE_SQL["op1_mix_sources"] = mixing.ORACLE_SQL
+
+
+@_query
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = sharding.shard_documents(docs).select("doc_id", sharding.byte_size("text").alias("size"), sharding.text_crc32("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard")
+    return sharding.with_slots(cut(rows, "shards")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
