@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, mixing, sharding, simhash
+from tidewheel.llm import decontaminate, labelled, mixing, sharding, simhash, toxicity
 from tidewheel.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(cut(rows, "shards")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = F.col("toxicity")
+    found = toxicity.with_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", labelled.held_out().alias("held_out"), score.alias("score"), (score >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 @_query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
