@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, labelled, mixing, quality, sharding, simhash, toxicity
+from tidewheel.llm import chat, decontaminate, labelled, mixing, quality, sharding, simhash, tokencount, toxicity
 from tidewheel.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,20 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(cut(rows, "shards")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.with_token_counts(docs).select("doc_id", "tokens.n_tokens", F.size("tokens.section_tokens").cast("long").alias("n_sections"), "tokens.n_crossing", "tokens.section_tokens")
+
+
+@_query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op4_chat"] = chat.ORACLE_SQL
+
+
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
