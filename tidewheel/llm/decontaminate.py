@@ -98,8 +98,8 @@ def _scanner(spark, items: list[tuple[str, str | None]], window: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add ``hits`` to ``docs``: struct(n_words, n_hit, items, spans) of every whole text.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "hits") -> DataFrame:
+    """Add ``hits`` (or the column named by ``into``) to ``docs``: struct(n_words, n_hit, items, spans) of every whole text.
 
     The size of the items is read first. Up to ``block_bytes`` they make one
     automaton, shared with the executors; beyond, blocks of that size are scanned
@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     bounded. A null text has no words; a null item text has no window; a null item
     id is named ``null``; items with equal ids count once; repeated rows are
     answered one by one. Columns other than ``text`` pass unchanged; a column
-    named ``hits`` is replaced.
+    of the result's name is replaced.
     """
     spark = docs.sparkSession
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
@@ -115,8 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = max(1, -(-total // block_bytes))
     if blocks == 1:
         items = [(r.item, r.text) for r in named.toLocalIterator()]
-        return docs.withColumn("hits", _scanner(spark, items, window)("text").alias("hits"))
-    docs = docs.drop("hits")
+        return docs.withColumn(into, _scanner(spark, items, window)("text"))
+    docs = docs.drop(into)
     keep = docs.columns
     merged = None
     for k in range(blocks):
@@ -128,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         names = F.col("_more.items") if merged is None else F.concat("_items", "_more.items")
         merged = cut(more.select(*keep, F.col("_more.n_words").alias("_n"), spans.alias("_spans"), names.alias("_items")), "scanned")
     united = _united(spark)
-    return merged.select(*keep, united("text", "_spans").alias("_u"), "_n", "_items").select(*keep, F.struct(F.col("_n").alias("n_words"), F.col("_u.n_hit").alias("n_hit"), F.array_sort(F.array_distinct("_items")).alias("items"), F.col("_u.spans").alias("spans")).alias("hits"))
+    return merged.select(*keep, united("text", "_spans").alias("_u"), "_n", "_items").select(*keep, F.struct(F.col("_n").alias("n_words"), F.col("_u.n_hit").alias("n_hit"), F.array_sort(F.array_distinct("_items")).alias("items"), F.col("_u.spans").alias("spans")).alias(into))
 
 
 def _united(spark):

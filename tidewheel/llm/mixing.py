@@ -116,8 +116,8 @@ def fit(slim: DataFrame, weights: Sequence[int], share: float, shards: int, seed
     return spark.createDataFrame(full, "source string, source_size long, target double, passes int, bits int, a long, c long, edge long, cut_key long, runs array<long>")
 
 
-def apply_plan(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Add ``mix``: struct(source_size, target, shards); shards names the output shard of each copy taken."""
+def apply_plan(docs: DataFrame, plan: DataFrame, into: str = "mix", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """Add ``mix`` (or the column named by ``into``): struct(source_size, target, shards); shards names the output shard of each copy taken."""
     p = F.broadcast(plan.select(F.col("source").alias("_source"), F.struct(*plan.columns[1:]).alias("_plan")))
     out = docs.join(p, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_key", doc_key(doc_id))
     for c in ("a", "c", "bits"):
@@ -130,7 +130,7 @@ def apply_plan(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source:
     shard = lambda i: F.size(F.filter(F.col("_plan.runs"), lambda end: end <= i * F.expr("shiftleft(1L, _bits)") + F.col("_rank")))
     shards = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
     mix = F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), shards.alias("shards"))
-    return out.withColumn("mix", mix).drop("_source", "_plan", "_key", "_a", "_c", "_bits", "_rank", "_copies")
+    return out.withColumn(into, mix).drop("_source", "_plan", "_key", "_a", "_c", "_bits", "_rank", "_copies")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -157,8 +157,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     rows are treated as :func:`allot` says; all columns pass unchanged.
     """
     plan = fit(measure(docs), weights, share, shards, seed)
-    taken = apply_plan(docs, plan)
-    out = taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("mix.shards").alias("mix_copy", "mix_shard"))
+    taken = apply_plan(docs, plan, into="_mix")
+    out = taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("_mix.shards").alias("mix_copy", "mix_shard"))
     return out.withColumn("mix_order", F.xxhash64("mix_shard", "mix_copy", "doc_id", F.lit(seed)))
 
 
