@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import chat, decontaminate, labelled, mixing, quality, sharding, simhash, tokencount, toxicity
+from tidewheel.llm import chat, decontaminate, labelled, lmscore, mixing, quality, sharding, simhash, tokencount, toxicity
 from tidewheel.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", labelled.held_out().alias("held_out"), score.alias("score"), (score >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+@_query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lmscore.with_target_scores(docs, good).select("doc_id", "lm.*")
+
+
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
