@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import chat, decontaminate, labelled, lmscore, mixing, quality, sharding, simhash, tokencount, toxicity
+from tidewheel.llm import chat, decontaminate, labelled, lmscore, media, mixing, quality, sharding, simhash, tokencount, toxicity
 from tidewheel.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.media_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    tail = F.crc32(F.expr("substring(payload, greatest(1, octet_length(payload) - 63), 64)"))
+    return made.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
