@@ -19,20 +19,23 @@ def item_text(title: Column, abstract: Column, joint: str = " ") -> Column:
     return F.when(abstract == "", title).otherwise(F.concat(title, F.lit(joint), abstract))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _terms(terms: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in terms])
+
+
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of the terms a lower-case text contains as substrings."""
-    total = F.lit(0)
-    for t in terms:
-        total = total + F.contains(text, F.lit(t)).cast("int")
-    return total
+    return F.size(F.filter(_terms(terms), lambda t: F.contains(text, t)))
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
     """Whether a lower-case text contains one of the terms."""
-    found = F.lit(False)
-    for t in terms:
-        found = found | F.contains(text, F.lit(t))
-    return found
+    return F.exists(_terms(terms), lambda t: F.contains(text, t))
 
 
 def strip_html(html: Column) -> Column:
@@ -46,39 +49,42 @@ def strip_html(html: Column) -> Column:
 
 def novelty(text: Column, source: Column, title: Column) -> Column:
     """Novelty from high and moderate terms; hype without substance counts half; reviews lose a little."""
-    low = F.lower(text)
-    high = hits(low, L.HIGH_NOVELTY)
-    substance = has_any(low, L.METHOD_OR_RESULT) | low.rlike("[0-9]")
-    strong = F.least(F.lit(0.75), high * F.lit(0.24)) * F.when((high > 0) & ~substance, 0.5).otherwise(1.0)
-    review = (F.contains(F.lower(source), F.lit("review")) | F.lower(title).rlike(r"\breview\b")) & (high == 0)
-    score = strong + F.least(F.lit(0.35), hits(low, L.MODERATE_NOVELTY) * F.lit(0.08)) - F.when(review, 0.12).otherwise(0.0)
-    return F.when(low == "", F.lit(0.0)).otherwise(clip(score))
+
+    def score(low: Column, high: Column) -> Column:
+        substance = has_any(low, L.METHOD_OR_RESULT) | low.rlike("[0-9]")
+        strong = F.least(F.lit(0.75), high * F.lit(0.24)) * F.when((high > 0) & ~substance, 0.5).otherwise(1.0)
+        review = (F.contains(F.lower(source), F.lit("review")) | F.lower(title).rlike(r"\breview\b")) & (high == 0)
+        total = strong + F.least(F.lit(0.35), hits(low, L.MODERATE_NOVELTY) * F.lit(0.08)) - F.when(review, 0.12).otherwise(0.0)
+        return F.when(low == "", F.lit(0.0)).otherwise(clip(total))
+
+    return let(F.lower(text), lambda low: let(hits(low, L.HIGH_NOVELTY), lambda high: score(low, high)))
 
 
 def promotional(text: Column, promo_risk: Column) -> Column:
     """Promotion from sales and access terms on top of the source's own risk."""
-    low = F.lower(text)
-    score = F.least(F.lit(0.75), hits(low, L.PROMOTIONAL) * F.lit(0.22)) + F.least(F.lit(0.35), hits(low, L.ACCESS_FRICTION) * F.lit(0.14)) + promo_risk
-    return clip(score)
+    return let(F.lower(text), lambda low: clip(F.least(F.lit(0.75), hits(low, L.PROMOTIONAL) * F.lit(0.22)) + F.least(F.lit(0.35), hits(low, L.ACCESS_FRICTION) * F.lit(0.14)) + promo_risk))
 
 
 def access_friction(text: Column) -> Column:
     """Friction from access terms."""
-    return clip(F.least(F.lit(0.35), hits(F.lower(text), L.ACCESS_FRICTION) * F.lit(0.14)))
+    return let(F.lower(text), lambda low: clip(F.least(F.lit(0.35), hits(low, L.ACCESS_FRICTION) * F.lit(0.14))))
 
 
 def content_type(text: Column, section: Column) -> Column:
     """The first content type with a term in the text, else by section."""
-    low = F.lower(text)
-    out = F.when(F.lower(section) == "research", "research").otherwise("article")
-    for label, terms in reversed(L.CONTENT_TYPES.items()):
-        out = F.when(has_any(low, terms), label).otherwise(out)
-    return out
+
+    def kind(low: Column) -> Column:
+        out = F.when(F.lower(section) == "research", "research").otherwise("article")
+        for label, terms in reversed(L.CONTENT_TYPES.items()):
+            out = F.when(has_any(low, terms), label).otherwise(out)
+        return out
+
+    return let(F.lower(text), kind)
 
 
 def downweight(text: Column, terms: list[str], penalty: float = L.DOWNWEIGHT) -> Column:
     """Penalty if any of the reader's terms occurs."""
-    return F.when(has_any(F.lower(text), [t.lower() for t in terms]), penalty).otherwise(0.0)
+    return let(F.lower(text), lambda low: F.when(has_any(low, [t.lower() for t in terms]), penalty).otherwise(0.0))
 
 
 def tokens(text: Column) -> Column:

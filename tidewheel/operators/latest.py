@@ -49,7 +49,8 @@ def chronological_split(df: DataFrame, stamp: str, key: str, fraction: float = 0
     counts = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.select("_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    out = df.withColumn("_day", day).join(places, F.col("_day").eqNullSafe(places["_day"]), "inner").drop(places["_day"])
+    places = places.withColumnRenamed("_day", "_d")
+    out = df.withColumn("_day", day).join(places, F.col("_day").eqNullSafe(F.col("_d"))).drop("_d")
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(stamp, key))
     cut = F.least(F.bround(F.col("_all") * F.lit(fraction)), F.col("_all") - 1)
     return out.withColumn("is_train", place <= cut).drop("_day", "_before", "_all")
