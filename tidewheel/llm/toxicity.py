@@ -85,14 +85,12 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint32), np.concatenate(owners) if owners else np.zeros(0, np.int32)
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct n-grams of each text and their share of all its n-grams."""
-    out = []
-    for text in texts:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        grams, counts = np.unique(subwords(raw, np.array([0, len(raw)]))[0], return_counts=True)
-        out.append((grams, (counts / max(1, counts.sum())).astype(np.float32)))
-    return out
+def bag(text: str, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text (those marked in ``known``) and their share of all its n-grams."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    grams, counts = np.unique(subwords(raw, np.array([0, len(raw)]))[0], return_counts=True)
+    share = (counts / max(1, counts.sum())).astype(np.float32)
+    return (grams, share) if known is None else (grams[known[grams]], share[known[grams]])
 
 
 def train(rows: list[tuple[str, int]], prior: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -137,12 +135,11 @@ def _fit_vectors(rows: list[tuple[str, int]], epochs: int, seed: int) -> tuple[n
     """Vectors and softmax by Adagrad over shuffled batches."""
     labels = np.array([y for _, y in rows], np.int64)
     rng = np.random.default_rng(seed)
-    own = bags([t for t, _ in rows])
     spread = np.zeros(1 << TABLE_BITS, np.int32)
-    for grams, _ in own:
-        spread[grams] += 1
+    for text, _ in rows:
+        spread[bag(text)[0]] += 1
     known = spread >= MIN_TEXTS  # n-grams of fewer texts would learn these texts by heart
-    own = [(grams[known[grams]], share[known[grams]]) for grams, share in own]
+    own = [bag(t, known) for t, _ in rows]
     vectors = rng.normal(0, 1e-4, (1 << TABLE_BITS, DIM)).astype(np.float32)  # near 0: an n-gram that training never moved says nothing
     head = np.zeros((DIM, 2), np.float32)
     head[:, 1] = rng.uniform(0.5, 1.5, DIM) * np.where(np.arange(DIM) % 2, 1, -1)
