@@ -24,7 +24,8 @@ def _item(source: Column, section: Column, external: Column, url: Column, title:
 
 
 def _time(c: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c, F.lit("EEE, d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(c))
+    bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z")], F.try_to_timestamp(c))
 
 
 def date_of(c: Column) -> Column:
