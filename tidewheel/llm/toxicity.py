@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits in lower case. Every word gives the n-grams
 of its characters between boundary marks, hashed to a table of vectors; a text is
-the mean of the vectors of all its n-grams, so a word never seen shares vectors
-with its known relatives. All of it is array arithmetic over the characters of
+the mean of the vectors of all its n-grams and a fixed number of blank ones, so a
+word never seen shares vectors with its known relatives and a few words prove
+little. All of it is array arithmetic over the characters of
 many texts at once.
 """
 
@@ -18,16 +19,20 @@ from pyspark.sql import types as T
 from tidewheel.llm.common import buffers, steps
 from tidewheel.llm.labelled import training_rows
 
-GRAMS = (4, 5, 6)
+GRAMS = (5, 6)
 TABLE_BITS = 18
 DIM = 6
 EPOCHS = 10
+#: n-grams without meaning that every text is taken to have besides its own, so that a few words prove little.
+BLANKS = 100
+#: Multiples of the weights' root mean square under which a weight may be set to 0; held-aside rows choose.
+FLOORS = (0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 #: Steps at least, for small samples; texts that an n-gram is in, at least, to be learnt.
 MIN_STEPS, MIN_TEXTS = 400, 3
 BATCH = 64
 RATE, VECTOR_RATE = 0.02, 10.0
 #: Weight of the pull of the vectors towards 0.
-SHRINK = 1e-3
+SHRINK = 3e-3
 REJECT = 0.7
 CALIBRATE = 5
 SCALE = 50.0
@@ -89,15 +94,16 @@ def bag(text: str, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndar
     """Distinct n-grams of a text (those marked in ``known``) and their share of all its n-grams."""
     raw = np.frombuffer(text.encode(), np.uint8)
     grams, counts = np.unique(subwords(raw, np.array([0, len(raw)]))[0], return_counts=True)
-    share = (counts / max(1, counts.sum())).astype(np.float32)
+    share = (counts / (counts.sum() + BLANKS)).astype(np.float32)
     return (grams, share) if known is None else (grams[known[grams]], share[known[grams]])
 
 
 def train(rows: list[tuple[str, int]], prior: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Fit vectors and softmax; returns what scoring needs: one number per n-gram, and the bias.
 
-    Every ``CALIBRATE``-th row is kept from the fit and sets the scale and bias of
-    its log-odds, rows weighted so that label 1 has the share ``prior``. With rows
+    Every ``CALIBRATE``-th row is kept from the fit. These rows choose which small
+    weights are noise and become 0, and set scale and bias of the log-odds, weighted
+    so that label 1 has the share ``prior``. With rows
     of one class only, or none, every number is 0 and the bias says the class seen.
     """
     labels = np.array([y for _, y in rows], np.int64)
@@ -111,9 +117,20 @@ def train(rows: list[tuple[str, int]], prior: float | None = None, epochs: int =
         return weights, bias
     raw = [t.encode() for t, _ in aside]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-    p = np.clip(score_texts(np.frombuffer(b"".join(raw), np.uint8), offsets, weights, bias), 1e-9, 1 - 1e-9)
-    scale, shift = _platt(np.log(p / (1 - p)), y, y.mean() if prior is None else prior)
-    return weights * np.float32(scale), float(bias * scale + shift)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    share = y.mean() if prior is None else prior
+    spread = np.sqrt(np.mean(weights[weights != 0].astype(np.float64) ** 2)) if weights.any() else 0.0
+    best = None
+    for floor in FLOORS:
+        kept_weights = np.where(np.abs(weights) >= floor * spread, weights, 0).astype(np.float32)
+        p = np.clip(score_texts(data, offsets, kept_weights, bias), 1e-9, 1 - 1e-9)
+        x = np.log(p / (1 - p))
+        scale, shift = _platt(x, y, share)
+        q = np.clip(1 / (1 + np.exp(-np.clip(scale * x + shift, -30, 30))), 1e-6, 1 - 1e-6)
+        loss = -np.mean(np.where(y == 1, share / y.mean() * np.log(q), (1 - share) / (1 - y.mean()) * np.log(1 - q)))
+        if best is None or loss < best[0]:
+            best = loss, kept_weights * np.float32(scale), float(bias * scale + shift)
+    return best[1], best[2]
 
 
 def _platt(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -185,7 +202,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias
         grams, owner = subwords(data, offsets[lo : hi + 1])
         total = np.bincount(owner, weights[grams], hi - lo)
         count = np.bincount(owner, minlength=hi - lo)
-        out[lo:hi] = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -30, 30)))
+        out[lo:hi] = 1 / (1 + np.exp(-np.clip(total / (count + BLANKS) + bias, -30, 30)))
     return out
 
 
