@@ -112,7 +112,9 @@ def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> tuple[np.ndarray
     With labels of one class only, or none, the weights are 0 but for a bias that says the class seen.
     """
     raw = [t.encode() for t, _ in rows] or [b""]
-    x, _, lines = line_features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    made = [line_features(data, offsets[lo : hi + 1]) for lo, hi in steps(offsets)]
+    x, lines = np.concatenate([m[0] for m in made]), np.concatenate([m[2] for m in made])
     weights, links = np.zeros(x.shape[1]), np.zeros((2, 2))
     label = np.array([y for _, y in rows], np.float64)
     if len(set(label.tolist())) < 2:
