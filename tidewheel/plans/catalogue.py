@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel import lexicons as L
 from tidewheel.functions import quality, scores, text, urls
 from tidewheel.functions import vectors as vec
-from tidewheel.operators import candidates, dedupe, evaluation, feedback, latest, opportunities, ranking, reports, selection
+from tidewheel.operators import candidates, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
 from tidewheel.plans import fixtures as X
 from tidewheel.sources import sinks
 
@@ -729,3 +729,37 @@ def record_votes(spark, d):
 @query(f"WITH {X.IMPRESSIONS_SQL} SELECT impression_id, viewed OR (selected AND digest_id = '2024-01-10' AND run_id = (SELECT run_id FROM last_run WHERE digest_id = '2024-01-10')) AS viewed FROM impressions")
 def mark_viewed(spark, d):
     return sinks.mark_viewed(X.impressions(spark, d), "2024-01-10").select("impression_id", "viewed")
+
+
+# ---- learning and whole runs
+
+
+def _vote_features(spark, d):
+    v = X.votes(spark, d).join(X.scored_items(spark, d).select("item_id", "score", "base"), "item_id")
+    return v.select("item_id", "value", "score", "base")
+
+
+@query()
+def pairwise_training(spark, d):
+    return learning.pairwise_training(_vote_features(spark, d), ["score", "base"])
+
+
+@query()
+def margin_ranking(spark, d):
+    rows = learning.pairwise_training(_vote_features(spark, d), ["score", "base"])
+    model = learning.MarginRanker(["score", "base"]).fit(rows)
+    return model.margin(X.scored_items(spark, d).select("item_id", "score", "base"))
+
+
+@query()
+def calibrator_fit(spark, d):
+    fitted = learning.fit_calibrator(_vote_features(spark, d).select("score", (F.col("value") > 0).cast("int").alias("label")))
+    return spark.createDataFrame([fitted if fitted else (None, None)], "a double, b double")
+
+
+@query()
+def brew_digest(spark, d):
+    reader = profile.Profile(bio="Self assembly of materials. Clinical trials of gene therapy.", keywords=["crispr", "novel assay"], context=["phase 3"], weights={"crispr": 1.2})
+    items = X.items(spark, d).withColumns({"external_id": F.lit(""), "url": F.concat(F.lit("https://example.org/"), F.col("item_id").cast("string")), "fetched_at": F.col("published_at"), "vec": profile.hashed_embedding("text")}).drop("text", "lang")
+    run = digest.brew(items, X.votes(spark, d), profile.facets(spark, reader), X.as_of(), digest.Settings(days=20))
+    return run.slate.select("item_id", "section", "label", R6("score").alias("score"))
