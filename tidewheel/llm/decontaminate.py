@@ -11,6 +11,7 @@ offsets of the text as it was.
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -30,7 +31,8 @@ _FOLD = bytes(ord(" ") if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 _ARROW_HIT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-_BUILT: dict[int, tuple] = {}
+#: The automaton in use in this process, by the token of its items.
+_BUILT: dict[str, tuple] = {}
 
 
 def words(text: bytes) -> list[bytes]:
@@ -80,18 +82,18 @@ def scan(text: bytes, numbers: dict[bytes, int], machine: ahocorasick.Automaton
 
 def _scanner(spark, items: list[tuple[str, str | None]], window: int):
     shared = spark.sparkContext.broadcast((items, window))
+    token = uuid.uuid4().hex
 
     @F.arrow_udf(_HIT)
     def run(texts: pa.Array) -> pa.Array:
-        key = id(shared)
-        if key not in _BUILT:
+        if token not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = build(*shared.value)
+            _BUILT[token] = build(*shared.value)
         data, offsets = buffers(texts)
         raw = memoryview(data)
         rows = []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            n, hits, names, spans = scan(bytes(raw[a:b]), *_BUILT[key])
+            n, hits, names, spans = scan(bytes(raw[a:b]), *_BUILT[token])
             rows.append({"n_words": n, "n_hit": hits, "items": names, "spans": [{"start": x, "end": y} for x, y in spans]})
         return pa.array(rows, _ARROW_HIT)
 
