@@ -14,7 +14,7 @@ def spark():
 
     session = build_session(
         "tests",
-        f"local[{os.environ.get('TEST_CPUS', '4')}]",
+        f"local[{os.environ.get('TEST_CPUS', '8')}]",
         spark__driver__memory="3g",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",

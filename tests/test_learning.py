@@ -85,3 +85,33 @@ def test_brew(spark, sf):
     assert run.dropped.join(run.slate, "item_id").count() == 0
     full = digest.brew(items, votes, profile.facets(spark, reader), fixtures.as_of(), digest.Settings(days=20, scoring="cosine"))
     assert full.slate.count() >= len(slate)
+
+
+def test_config_files(spark, tmp_path):
+    from tidewheel.sources import config
+
+    (tmp_path / "s.yaml").write_text('{"sources": [{"name": "A", "section": "world", "kind": "rss", "prestige_score": 1}]}')
+    body = config.read_text(spark, f"file://{tmp_path}/s.yaml")
+    row = config.sources(spark, body).first()
+    assert (row.name, row.prestige, row.paywalled) == ("A", 1.0, False)
+    with pytest.raises(ValueError, match="section"):
+        config.sources(spark, '{"sources": [{"name": "A", "section": "nowhere"}]}')
+    with pytest.raises(ValueError, match="kind"):
+        config.sources(spark, '{"sources": [{"name": "A", "section": "world", "kind": "ftp"}]}')
+    assert config.reader_profile('{"keywords": ["a"], "weights": {"a": 2}}').weights == {"a": 2.0}
+    assert config.constraints('{"event_regions": [" europe ", ""]}').event_regions == ["europe"]
+    assert config.scoring_enabled({}, "research") and not config.scoring_enabled({"world": 0}, "world")
+
+
+def test_decks_and_payloads(spark):
+    from tidewheel.functions import explain
+    from tidewheel.operators import decks
+
+    deck = decks.compose(["j1", "j2", "j3", "j4"], ["f1", "f2"], dt.date(2024, 1, 1))
+    start = deck.index("j1")
+    assert deck[start:] + deck[:start] == ["j1", "j2", "f1", "j3", "j4", "f2"] and decks.compose([], [], dt.date(2024, 1, 1)) == []
+    notes = spark.createDataFrame([(f"n{i}",) for i in range(10)], "note string")
+    days = [{r.note for r in decks.daily_draw(notes, 3, dt.date(2024, 1, k), "x").collect()} for k in (1, 2)]
+    assert all(len(d) == 3 for d in days) and not days[0] & days[1]
+    got = spark.range(1).select(explain.payload(score=explain.rounded(F.lit(0.00005)), tags=explain.freshness_tags(F.lit(0.3)), more=explain.quality_tags(F.lit("top"), F.lit(0.5), F.lit(0.0), F.lit(False))).alias("p")).first().p
+    assert got == '{"score":0.0,"tags":["fresh_signal"],"more":["high_quality_source","promo_risk"]}'

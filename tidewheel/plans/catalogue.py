@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
-from tidewheel.functions import quality, scores, text, urls
-from tidewheel.functions import vectors as vec
-from tidewheel.operators import candidates, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
+from tidewheel.functions import explain, quality, scores, text, urls
+from tidewheel.operators import candidates, decks, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
 from tidewheel.plans import fixtures as X
 from tidewheel.sources import sinks
 
@@ -763,3 +762,27 @@ def brew_digest(spark, d):
     items = X.items(spark, d).withColumns({"external_id": F.lit(""), "url": F.concat(F.lit("https://example.org/"), F.col("item_id").cast("string")), "fetched_at": F.col("published_at"), "vec": profile.hashed_embedding("text")}).drop("text", "lang")
     run = digest.brew(items, X.votes(spark, d), profile.facets(spark, reader), X.as_of(), digest.Settings(days=20))
     return run.slate.select("item_id", "section", "label", R6("score").alias("score"))
+
+
+@query(f"""WITH {_LEX}, w AS (SELECT *, least(0.35::DOUBLE, walls * 0.14::DOUBLE) AS access FROM lex),
+x AS (SELECT item_id, list_filter([CASE WHEN tier IN ('top', 'high', 'strong') THEN 'High-quality source' WHEN tier = 'repository' THEN 'Preprint / repository' WHEN tier = 'aggregator' THEN 'Aggregator source' WHEN tier = 'trusted-news' THEN 'Trusted news' END,
+   CASE WHEN nov >= 0.55 THEN 'High novelty' WHEN nov >= 0.24 THEN 'Fresh signal' END, CASE WHEN section = 'regulatory' THEN 'Regulatory update' END, CASE WHEN promo >= 0.35 THEN 'Promo risk' END, CASE WHEN access >= 0.14 THEN 'Access friction' END, CASE WHEN cs THEN 'arXiv CS' END], lambda t: t IS NOT NULL)[1:5] AS tags,
+  list_filter([CASE WHEN base >= 0.65 THEN 'Strong topic match' WHEN base >= 0.45 THEN 'Relevant to your profile' END, CASE WHEN tier IN ('top', 'high', 'strong', 'trusted-news') THEN 'Reliable source' END, CASE WHEN nov >= 0.55 THEN 'High-impact new signal' WHEN nov >= 0.24 THEN 'Fresh development' END,
+   CASE WHEN promo >= 0.35 THEN 'Downweighted for promotional language' END, CASE WHEN access >= 0.14 THEN 'Downweighted for access friction' END], lambda t: t IS NOT NULL)[1:5] AS why FROM w)
+SELECT item_id, array_to_string(tags, '; ') AS tags, array_to_string(why, '; ') AS why FROM x""")
+def explain_tags(spark, d):
+    body = text.item_text(F.col("title"), F.col("abstract"))
+    i = X.items(spark, d)
+    s, c = F.col("source"), F.col("section")
+    i = i.select("item_id", "section", "source", (F.lit(0.4) + (F.col("item_id") * 7919 % 1000) / F.lit(2000.0)).alias("base"), F.round(text.novelty(body, s, F.col("title")), 9).alias("nov"), F.round(text.promotional(body, quality.promo_risk_by_name(s, c)), 9).alias("promo"), F.round(text.access_friction(body), 9).alias("access"), quality.tier_by_name(s, c).alias("tier"), quality.is_arxiv_cs(s).alias("cs"))
+    tags = explain.reason_tags(F.col("tier"), c, F.col("nov"), F.col("promo"), F.col("access"), F.col("cs"))
+    why = explain.why_shown(F.col("base"), F.col("tier"), F.col("nov"), F.col("promo"), F.col("access"))
+    return i.select("item_id", F.array_join(tags, "; ").alias("tags"), F.array_join(why, "; ").alias("why"))
+
+
+@query("""WITH n AS (SELECT n_name AS note, row_number() OVER (ORDER BY sha256('nation|v1|' || n_name)) - 1 AS k FROM nation), d AS (SELECT note, (k - (738916 * 4) % 25 + 25) % 25 AS pos FROM n) SELECT note, pos FROM d WHERE pos < 4""")
+def daily_draw(spark, d):
+    import datetime as dt
+
+    notes = X.table(spark, d, "nation").select(F.col("n_name").alias("note"))
+    return decks.daily_draw(notes, 4, dt.date.fromordinal(738916), "nation").select("note", F.col("at").cast("long").alias("pos"))
