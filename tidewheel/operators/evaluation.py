@@ -40,13 +40,22 @@ def pairwise_accuracy(slates: DataFrame) -> DataFrame:
     return sums.select("digest_id", F.when(F.col("up") * F.col("down") > 0, F.col("right") / (F.col("up") * F.col("down"))).alias("accuracy"))
 
 
-def score_pairwise_accuracy(scored: DataFrame) -> DataFrame:
-    """One row, ``accuracy``, over all items by score, ties half right; sorts distinct scores only."""
+def score_pairwise_accuracy(scored: DataFrame, ranges: int = 512) -> DataFrame:
+    """One row, ``accuracy``, over all items by score, ties half right.
+
+    Distinct scores fall into ranges; what lies below a score is the sum of the
+    lower ranges and of the lower scores in its own, so no task sorts them all.
+    """
+    cuts = scored.select(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
+    edges = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
     levels = scored.groupBy("score").agg(F.count_if(F.col("label") > 0).alias("up"), F.count_if(F.col("label") < 0).alias("down"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    at = levels.withColumn("below", F.coalesce(F.sum("down").over(w), F.lit(0)))
-    sums = at.agg(F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)).alias("right"), F.sum("up").alias("up"), F.sum("down").alias("down"))
-    return sums.select(F.when(F.col("up") * F.col("down") > 0, F.col("right") / (F.col("up") * F.col("down"))).alias("accuracy"))
+    levels = levels.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col("score"))))
+    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = levels.groupBy("_range").agg(F.sum("down").alias("_down")).select("_range", F.coalesce(F.sum("_down").over(lower), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy("_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    at = levels.join(F.broadcast(sums), "_range").withColumn("below", F.col("_below") + F.coalesce(F.sum("down").over(inside), F.lit(0)))
+    total = at.agg(F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)).alias("right"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return total.select(F.when(F.col("up") * F.col("down") > 0, F.col("right") / (F.col("up") * F.col("down"))).alias("accuracy"))
 
 
 def recall_at(slates: DataFrame, must: str, k: int = 10) -> DataFrame:
