@@ -91,6 +91,13 @@ def test_rank_desc_with_ties_and_nulls(spark):
     assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
 
 
+def test_value_ranges_are_ordered_and_keep_ties_together(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 1, 2, 3, 3, 3, 4, 8, 9, 9, 9, 10] * 5], "v double")
+    got = {(r.v, r.k) for r in df.withColumn("k", ranking.value_range(df, "v", 16, rows=8)).collect()}
+    assert len(got) == 7 and len({k for _, k in got}) > 3
+    assert [k for _, k in sorted(got)] == sorted(k for _, k in got)
+
+
 def test_rrf_is_monotone(spark):
     df = spark.createDataFrame([(i, float(i), float(i)) for i in range(10)], "id long, a double, b double")
     got = [r.id for r in ranking.rrf(df, "a", "b", "id").orderBy(F.desc("fused")).collect()]

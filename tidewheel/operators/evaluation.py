@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.ranking import value_range
+
 
 def ranked(slates: DataFrame) -> DataFrame:
     """Add rank (from 1) by score within each digest."""
@@ -46,10 +48,9 @@ def score_pairwise_accuracy(scored: DataFrame, ranges: int = 512) -> DataFrame:
     Distinct scores fall into ranges; what lies below a score is the sum of the
     lower ranges and of the lower scores in its own, so no task sorts them all.
     """
-    cuts = scored.select(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
-    edges = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    place = value_range(scored, "score", ranges)
     levels = scored.groupBy("score").agg(F.count_if(F.col("label") > 0).alias("up"), F.count_if(F.col("label") < 0).alias("down"))
-    levels = levels.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col("score"))))
+    levels = levels.withColumn("_range", place)
     lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = levels.groupBy("_range").agg(F.sum("down").alias("_down")).select("_range", F.coalesce(F.sum("_down").over(lower), F.lit(0)).alias("_below"))
     inside = Window.partitionBy("_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,6 +18,20 @@ def min_max(df: DataFrame, column: str, into: str) -> DataFrame:
     return df.join(F.broadcast(ends)).withColumn(into, scaled).drop("_lo", "_hi")
 
 
+def value_range(df: DataFrame, column: str, most: int = 512, rows: int = 20_000) -> Column:
+    """The number of a value's range: ranges of about ``rows`` rows, ``most`` at most, equal values in one; found by binary search."""
+    got = df.agg(F.count(column).alias("n"), F.percentile_approx(column, [i / most for i in range(1, most)], 10000).alias("cuts")).first()
+    ranges = min(most, max(1, got.n // rows))
+    cuts = got.cuts or []
+    edges = sorted({float(cuts[len(cuts) * k // ranges]) for k in range(1, ranges)}) if cuts else []
+    bits = len(edges).bit_length()
+    if not bits:
+        return F.lit(0)
+    table = F.array(*[F.lit(e) for e in edges], *[F.lit(None).cast("double")] * ((1 << bits) - 1 - len(edges)))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.element_at(table, at + s) <= F.col(column), F.lit(False)), at + s).otherwise(at))
+
+
 def rank_desc(df: DataFrame, column: str, tie: str, into: str, buckets: int = 512) -> DataFrame:
     """0-based rank by a column, largest first, ties by ``tie``.
 
@@ -25,9 +39,7 @@ def rank_desc(df: DataFrame, column: str, tie: str, into: str, buckets: int = 51
     place in the own range, so no task sorts the whole run. Equal values stay in one
     range, so the rank is exact however they are spread.
     """
-    cuts = df.select(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
-    edges = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    place = F.size(F.filter(edges, lambda e: e <= F.col(column)))
+    place = value_range(df, column, buckets)
     tagged = df.withColumn("_range", F.when(F.col(column).isNull(), F.lit(-1)).otherwise(place))
     counts = tagged.groupBy("_range").agg(F.count("*").alias("_n"))
     above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -38,7 +50,8 @@ def rank_desc(df: DataFrame, column: str, tie: str, into: str, buckets: int = 51
 
 def rrf(df: DataFrame, first: str, second: str, tie: str, into: str = "fused", k: int = L.RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two scores over the pooled run, scaled to 0..1."""
-    ranked = rank_desc(rank_desc(df, first, tie, "_a"), second, tie, "_b")
+    pool = cut(df, "pool")  # ranks read their column more than once; scores may be costly
+    ranked = rank_desc(cut(rank_desc(pool, first, tie, "_a"), "ranked"), second, tie, "_b")
     raw = cut(ranked.withColumn("_raw", F.lit(1.0) / (k + F.col("_a") + 1) + F.lit(1.0) / (k + F.col("_b") + 1)), "fused")
     return min_max(raw, "_raw", into).drop("_a", "_b", "_raw")
 
