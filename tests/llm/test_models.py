@@ -198,3 +198,39 @@ def test_lm_awkward(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lmscore.with_target_scores(df, none).count() == df.count()
     assert lmscore.with_target_scores(cases.none(spark), df.select("doc_id")).count() == 0
+
+
+def exact_losses(texts, marks):
+    """As slow_losses, but n-grams are told apart by their own bytes."""
+    pad = [bytes(lmscore.ORDER - 1) + t for t in texts]
+    spot = lambda p, i, k: (k, p[i + lmscore.ORDER - 1 - k : i + lmscore.ORDER])
+    counts = [{}, {}]
+    for p, t, m in zip(pad, texts, marks, strict=True):
+        for i in range(len(t)):
+            for k in range(lmscore.ORDER):
+                for model in (0, 1) if m else (0,):
+                    counts[model][spot(p, i, k)] = counts[model].get(spot(p, i, k), 0) + 1
+    for p, t in zip(pad, texts, strict=True):
+        row = []
+        for c in counts:
+            total = max(1, sum(v for (k, _), v in c.items() if k == 0))
+            bits = 0.0
+            for i in range(len(t)):
+                prob = lmscore.WEIGHTS[0] / 256 + lmscore.WEIGHTS[1] * c.get(spot(p, i, 0), 0) / total
+                for k in range(1, lmscore.ORDER):
+                    n = c.get(spot(p, i, k), 0)
+                    prob += lmscore.WEIGHTS[k + 1] * n / max(c.get(spot(p, i - 1, k - 1), 0) if i else 0, n, 1)
+                bits -= math.log2(prob)
+            row.append(bits / max(1, len(t)))
+        yield row
+
+
+def test_lm_counts_every_ngram_by_itself(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(0, 0x3000, 9000))) for _ in range(8)] + ["\x00\x00\x00a", "a", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    targets = spark.createDataFrame([(0,), (1,), (9,)], "doc_id long")
+    want = list(exact_losses([t.encode() for t in texts], [i in (0, 1, 9) for i in range(len(texts))]))
+    for block in (lmscore.BLOCK_GRAMS, 50_000):  # one block, and several
+        for r in lmscore.with_target_scores(df, targets, block).collect():
+            assert (r.lm.background_loss, r.lm.target_loss) == pytest.approx(want[r.doc_id], rel=1e-6)
