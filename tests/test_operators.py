@@ -270,3 +270,21 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("wc").collect()) == [2, 2]
+
+
+@pytest.mark.parametrize(("rows", "limits"), [(20_050, {}), (60, {"limit": 7}), (3, {}), (0, {})])
+def test_preference_over_exemplars_in_blocks(spark, rows, limits):
+    from tidewheel.functions import vectors
+
+    vec = F.array(*[F.sin(F.col("id") * (1.7 + j) + j) for j in range(3)])
+    e = spark.range(rows).select(F.col("id").alias("item_id"), vec.alias("vec"), ((F.col("id") % 7 - 3) / F.lit(3.0)).alias("grade"), (F.col("id") % 5 / F.lit(4.0)).alias("weight"))
+    items = spark.range(25).select(F.col("id").alias("item_id"), vec.alias("vec"))
+    x = np.array([r.vec for r in items.orderBy("item_id").collect()])
+    all_ = e.orderBy("item_id").collect()
+    ids, y = np.array([r.item_id for r in all_], np.int64), np.array([r.vec for r in all_]).reshape(rows, 3)
+    want = vectors.knn_scores(x, np.arange(25), ids, y, np.array([r.grade for r in all_]))
+    got = ranking.preference_scores(items, e, **limits).orderBy("item_id").collect()
+    assert [r.preference for r in got] == pytest.approx(want.tolist())
+    want = vectors.affinity(x, np.arange(25), ids, y, np.array([r.weight for r in all_]))
+    got = ranking.affinities(items, e, "near", **limits).orderBy("item_id").collect()
+    assert [r.near for r in got] == pytest.approx(want.tolist())

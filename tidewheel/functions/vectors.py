@@ -93,3 +93,24 @@ def affinity(x: np.ndarray, ids: np.ndarray, exemplar_ids: np.ndarray, exemplars
     top = np.sort(sims, axis=1)[:, ::-1][:, :k]
     there = np.isfinite(top)
     return np.where(there, top, 0).sum(1) / np.maximum(there.sum(1), 1)
+
+
+def graded_sims(x: np.ndarray, ids: np.ndarray, exemplar_ids: np.ndarray, exemplars: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Similarities as ``knn_scores`` sees them, with the exemplars' ids and grades."""
+    sims = unit(x) @ unit(exemplars).T if len(x) and len(exemplars) else np.zeros((len(x), len(exemplar_ids)))
+    sims[np.asarray(ids)[:, None] == exemplar_ids[None, :]] = -1.0
+    return sims, exemplar_ids, grades
+
+
+def weighted_sims(x: np.ndarray, ids: np.ndarray, exemplar_ids: np.ndarray, exemplars: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Similarities as ``affinity`` sees them, with the exemplars' ids and weights; -inf where an item meets itself."""
+    sims = unit(x) @ unit(exemplars).T * weights if len(x) and len(exemplars) else np.zeros((len(x), len(exemplar_ids)))
+    sims[np.asarray(ids)[:, None] == exemplar_ids[None, :]] = -np.inf
+    return sims, exemplar_ids, weights
+
+
+def nearest(sims: np.ndarray, exemplar_ids: np.ndarray, numbers: np.ndarray, k: int) -> pa.Array:
+    """The k largest of each row as a list of (sim, id, number); equal sims go by position, the last first."""
+    at = np.argsort(sims, axis=1, kind="stable")[:, ::-1][:, :k]
+    flat = pa.StructArray.from_arrays([pa.array(np.take_along_axis(sims, at, 1).ravel()), pa.array(np.asarray(exemplar_ids, np.int64)[at].ravel()), pa.array(np.asarray(numbers, np.float64)[at].ravel())], ["sim", "id", "number"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sims) + 1, dtype=np.int32) * at.shape[1]), flat)

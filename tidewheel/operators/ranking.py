@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def rrf(df: DataFrame, first: str, second: str, tie: str, into: str = "fused", k
 def _bounded(small: DataFrame, key: str, *columns: str) -> dict[str, np.ndarray]:
     parts = list(vectors.blocks(small, key, *columns, limit=vectors.MAX_ROWS))
     if len(parts) > 1:
-        raise ValueError(f"more than {vectors.MAX_ROWS} rows on the side of facets or exemplars")
+        raise ValueError(f"more than {vectors.MAX_ROWS} rows on the side of facets")
     return parts[0]
 
 
@@ -103,16 +104,50 @@ def negative_penalty(items: DataFrame, negatives: DataFrame, topic: str, weight:
     return items.withColumn(into, weight * F.greatest(F.lit(0.0), best - F.col(topic) - margin))
 
 
-def preference_scores(items: DataFrame, exemplars: DataFrame, k: int = L.KNN_K, vector: str = "vec", key: str = "item_id", into: str = "preference") -> DataFrame:
+#: Similarities that a task holds at once.
+SIMS = 1 << 22
+
+
+def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tuple[str, ...], vector: str, key: str, limit: int) -> DataFrame:
+    """Add ``_near``: the k best (sim, id, number) of each item over all exemplars, block by block; larger sims, then larger ids, first."""
+    kind = "array<struct<sim:double,id:long,number:double>>"
+
+    def best(block: dict[str, np.ndarray]):
+        @F.arrow_udf(kind)
+        def run(v: pa.Array, ids: pa.Array) -> pa.Array:
+            step = max(1, SIMS // max(1, len(block[key])))  # rows whose similarities are held at once
+            rows = [slice(lo, lo + step) for lo in range(0, max(1, len(v)), step)]
+            x, own = vectors.matrix(v), ids.to_numpy(zero_copy_only=False)
+            return pa.concat_arrays([vectors.nearest(*near(x[r], own[r], block), k) for r in rows])
+
+        return run(vector, key)
+
+    out = items
+    many = exemplars.count() > limit
+    exemplars = cut(exemplars.select(key, vector, *columns), "exemplars") if many else exemplars  # each block reads it
+    for n, block in enumerate(vectors.blocks(exemplars, key, vector, *columns, limit=limit)):
+        found = best(block)
+        if n:
+            found = F.slice(F.sort_array(F.concat("_near", found), asc=False), 1, k)
+        out = out.withColumn("_near", found)
+        out = cut(out, "nearest") if many else out
+    return out
+
+
+def preference_scores(items: DataFrame, exemplars: DataFrame, k: int = L.KNN_K, vector: str = "vec", key: str = "item_id", into: str = "preference", limit: int = vectors.MAX_ROWS) -> DataFrame:
     """Add the graded k-nearest-neighbour preference; exemplars have (item_id, vec, grade in -1..1)."""
-    e = _bounded(exemplars, key, vector, "grade")
-    return items.withColumn(into, vectors.map_vectors(vector, lambda x, ids: vectors.knn_scores(x, ids, e[key], e[vector], e["grade"], k), key))
+    out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.graded_sims(x, ids, e[key], e[vector], e["grade"]), ("grade",), vector, key, limit)
+    weight = lambda z: F.pow(F.greatest(z["sim"], F.lit(0.0)), 2)
+    add = lambda f: F.aggregate("_near", F.lit(0.0), lambda a, z: a + f(z))
+    total = add(weight)
+    return out.withColumn(into, F.when(total > 0, add(lambda z: weight(z) * z["number"]) / total).otherwise(0.0)).drop("_near")
 
 
-def affinities(items: DataFrame, exemplars: DataFrame, into: str, k: int = L.AFFINITY_K, vector: str = "vec", key: str = "item_id") -> DataFrame:
+def affinities(items: DataFrame, exemplars: DataFrame, into: str, k: int = L.AFFINITY_K, vector: str = "vec", key: str = "item_id", limit: int = vectors.MAX_ROWS) -> DataFrame:
     """Add the mean of the k largest weighted similarities; exemplars have (item_id, vec, weight)."""
-    e = _bounded(exemplars, key, vector, "weight")
-    return items.withColumn(into, vectors.map_vectors(vector, lambda x, ids: vectors.affinity(x, ids, e[key], e[vector], e["weight"], k), key))
+    out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.weighted_sims(x, ids, e[key], e[vector], e["weight"]), ("weight",), vector, key, limit)
+    there = F.filter("_near", lambda z: z["sim"] > float("-inf"))
+    return out.withColumn(into, F.aggregate(there, F.lit(0.0), lambda a, z: a + z["sim"]) / F.greatest(F.size(there), F.lit(1))).drop("_near")
 
 
 def rocchio(votes: DataFrame, vector: str = "vec", up: float = L.ROCCHIO_UP, down: float = L.ROCCHIO_DOWN, decay: float = L.ROCCHIO_DECAY) -> DataFrame:
