@@ -101,3 +101,10 @@ def test_query_against_brute_force(spark, sf):
         first.setdefault(root[p], i)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op8_simhash"](spark, sf).collect()}
     assert got == {i: (f"{p:016x}", first[root[p]]) for i, p in texts.items()}
+
+
+def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
+    copy, other, third = "a copied text of several words in a row", "something wholly different that stands alone here", "zebras graze on yet another unrelated plain tonight"
+    rows = [(1, copy), (2, copy), (2, other), (3, third), (3, other), (3, third), (4, None), (4, "one more text that nobody else has written down")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, copy), (2, other), (3, third), (4, ""), (4, rows[-1][1])])

@@ -206,6 +206,18 @@ def similar_links(prints: DataFrame, column: str = "fp", budget: int = BUDGET, s
     return dealt.mapInArrow(_link(budget), "src long, dst long")
 
 
+def _grouped(docs: DataFrame, budget: int) -> DataFrame:
+    """near_duplicates with ``group``, a fingerprint that names the group even where several groups have one component_id."""
+    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "prints")
+    kinds = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
+    roots = cut(connected_components(similar_links(kinds.select("fp"), budget=budget)), "roots").withColumnRenamed("node", "fp")
+    rooted = roots.join(kinds, "fp")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = roots.join(smallest, "root").select("fp", "component_id", "root")
+    of = kinds.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("group"))
+    return slim.join(of, "fp").select("doc_id", "fp", "component_id", "group")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id.
 
@@ -215,25 +227,27 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     unless alone, when it is null; repeated rows are kept. Only doc_id and text
     are read, so other columns may have any name.
     """
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "prints")
-    kinds = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
-    roots = cut(connected_components(similar_links(kinds.select("fp"), budget=budget)), "roots").withColumnRenamed("node", "fp")
-    rooted = roots.join(kinds, "fp")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(smallest, "root").select("fp", "component_id")
-    of = kinds.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return slim.join(of, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, budget).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Keep one row of each near-duplicate group: that of the smallest doc_id.
 
-    Rows that share a doc_id count as one document, of which the first text in
-    string order stays. A row without doc_id names no document and stays.
+    Rows that share a doc_id are judged each by its own text; of several in one
+    group the first text in string order stays. A row without doc_id names no
+    document and stays.
     """
-    groups = near_duplicates(docs.where("doc_id is not null"), budget)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    groups = cut(_grouped(docs.where("doc_id is not null"), budget), "groups")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("fp").alias("_fp"), F.col("group").alias("_group")).distinct()
+    repeated = cut(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id"), "repeated")
+    own = F.col("doc_id")
+    if repeated.isEmpty():
+        kept = docs.join(keep.select("_keep"), own == F.col("_keep")).drop("_keep")
+    else:
+        once = keep.select("_keep").distinct().join(repeated, F.col("_keep") == F.col("_id"), "left_anti")
+        kept = docs.join(once, own == F.col("_keep")).drop("_keep")
+        shared = docs.join(repeated, own == F.col("_id"), "left_semi").withColumn("_own", fingerprints("text"))
+        shared = shared.join(keep, (own == F.col("_keep")) & (F.col("_own") == F.col("_fp")))
+        first = Window.partitionBy("_keep", "_group").orderBy("text")
+        kept = kept.unionByName(shared.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns))
     return kept.unionByName(docs.where("doc_id is null"))
