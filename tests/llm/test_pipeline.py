@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.test_decontaminate import words
-from tests.llm.test_simhash import components, slow_fingerprint
+from tests.llm.test_simhash import slow_wide, wide_groups
 from tidewheel.llm import toxicity
 
 
@@ -27,8 +27,8 @@ def test_each_stage_against_its_own_input(spark, sf, tmp_path):
     score = dict(zip([r.doc_id for r in raw], toxicity.score_texts(*pack([r.text for r in raw]), *model), strict=True))
     assert ids(clean) == {i for i, s in score.items() if s < toxicity.REJECT}
     # near duplicates: the smallest id of each group
-    prints = {r.doc_id: slow_fingerprint(r.text) for r in clean}
-    root = components(set(prints.values()))
+    prints = {r.doc_id: slow_wide(r.text) for r in clean}
+    root = wide_groups(set(prints.values()))
     first = {}
     for i, p in sorted(prints.items()):
         first.setdefault(root[p], i)

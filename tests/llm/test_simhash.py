@@ -51,10 +51,14 @@ def test_trie_walk_finds_every_pair(seed, near):
             x ^= 1 << rng.randrange(64)
         keys.add(x)
     keys = np.array(sorted(keys), np.uint64)
-    got = {(int(i), int(j)) for a, b in simhash.close_pairs(keys, [(0, len(keys))], 0, 4) for i, j in zip(a, b, strict=True)}
+    got = {(int(i), int(j)) for a, b in simhash.close_pairs(keys, np.array([[0, len(keys), 0, len(keys), 0, 0]]), 4) for i, j in zip(a, b, strict=True)}
     assert got == {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (int(keys[i]) ^ int(keys[j])).bit_count() <= 4}
 
 
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
 @pytest.mark.parametrize("rows", [8192, 16])
 def test_links_connect_what_pairs_connect(spark, rows):
     rng = random.Random(7)
@@ -65,7 +69,7 @@ def test_links_connect_what_pairs_connect(spark, rows):
             prints.add(x)
             for _ in range(rng.randrange(1, 5)):
                 x ^= 1 << rng.randrange(64)
-    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    df = spark.createDataFrame([([signed(p)],) for p in prints], "fp array<long>")
     from tidewheel.operators.components import connected_components
 
     links = simhash.similar_links(df, subtrie_rows=rows)
@@ -103,6 +107,119 @@ def test_query_against_brute_force(spark, sf):
     assert got == {i: (f"{p:016x}", first[root[p]]) for i, p in texts.items()}
 
 
+def test_a_large_subtrie_is_copied_a_bounded_number_of_times(spark):
+    """Nodes are paired only within the budget, all pairs within it meet, and once."""
+    rng = random.Random(3)
+    front = 0x2A5 << 43
+    prints = sorted({front | rng.getrandbits(43) for _ in range(2000)})
+    df = spark.createDataFrame([(1, signed(p), 21) for p in prints], "own long, key long, width int")
+    dealt = simhash.node_pairs(df, 2, subtrie_rows=16).collect()
+    copies, met = {}, {}
+    for r in dealt:
+        copies[r.key] = copies.get(r.key, 0) + 1
+        met.setdefault(r.pair, ([], []))[r.side].append(r.key & (2**64 - 1))
+    bits, deals = 8, 4  # 2,000 rows in nodes of 8
+    assert set(copies) == {signed(p) for p in prints}
+    assert max(copies.values()) <= (1 + bits + bits * (bits - 1) // 2) * deals < len(met)
+    seen = set()
+    for pair, (a, b) in met.items():
+        own = pair >> 32 == pair & 0xFFFFFFFF
+        assert bool(b) != own
+        seen |= {(min(x, y), max(x, y)) for x in a for y in (a if own else b) if x != y}
+    close = {(x, y) for i, x in enumerate(prints) for y in prints[i + 1 :] if (x ^ y).bit_count() <= 2}
+    assert close <= seen
+
+
+def slow_wide(text, words=4, size=5):
+    m, b = 1 << 64, 0x9E3779B97F4A7C15
+    w = (text or "").encode().lower().split()
+    if not w:
+        return (0,) * words
+    hashes = []
+    for i in range(max(1, len(w) - size + 1)):
+        gram = b" ".join(w[i : i + size])
+        v = sum((c + 1) * pow(b, k, m) for k, c in enumerate(gram)) % m
+        hashes.append(v ^ (len(gram) * b % m))
+    out = []
+    for k in range(words):
+        mixed = []
+        for h in hashes:
+            z = (h + (k + 1) * b) % m
+            z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) % m
+            z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) % m
+            mixed.append(z ^ (z >> 31))
+        out.append(sum(1 << at for at in range(64) if 2 * sum(h >> at & 1 for h in mixed) > len(mixed)))
+    return tuple(out)
+
+
+def blocks_agree(a, b):
+    edges = [round(64 * k / 6) for k in range(7)]
+    return sum(((a ^ b) >> (64 - hi)) & ((1 << (hi - lo)) - 1) == 0 for lo, hi in zip(edges[:-1], edges[1:], strict=True)) >= 2
+
+
+def linked(x, y):
+    """The rule of the wide net, said plainly."""
+    total = sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True))
+    return total <= 41 and any(blocks_agree(a, b) and (a ^ b).bit_count() <= 14 for a, b in zip(x, y, strict=True))
+
+
+def wide_groups(prints):
+    """Components of fingerprints: {print: a name of its group}."""
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(parent)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if a[0] == b[0] or linked(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {p: find(p) for p in parent}
+
+
+def test_wide_fingerprints():
+    texts = ["", " \n", "a", "A b C", "a b c d e", "A b c d e f g a b c d e", "ünï Çode x\x0by\x0cz w v", "x " * 3000, "x y " * 700]
+    got = simhash.wide_fingerprints([t.encode() for t in texts])
+    assert [tuple(int(v) for v in r) for r in got] == [slow_wide(t) for t in texts]
+
+
+def test_near_copies_of_four_fifths_are_dropped(spark):
+    """Texts that share 0.8 of their five-word shingles or more; of 120 such pairs nine tenths at least are caught, and no other text goes."""
+    rng = random.Random(5)
+    rows, pairs = [], 0
+    for k in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(w)))
+        for at in rng.sample(range(300), rng.randrange(1, 6)):
+            w[at] = f"v{rng.randrange(10**6)}"
+        rows.append((2 * k + 1, " ".join(w)))
+        grams = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in rows[-2:]]
+        pairs += len(grams[0] & grams[1]) / len(grams[0] | grams[1]) >= 0.8
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(120)} <= kept
+    assert pairs >= 100 and 240 - len(kept) >= 0.9 * pairs
+
+
+def test_repeated_null_and_tied_rows(spark):
+    """One row of each group stays: the smallest doc_id, null last; then one of the rows that share it."""
+    copy, other = "a copied text of several words in a row for all", "something wholly different that stands alone over here"
+    rows = [(None, copy, "x"), (None, copy, "y"), (None, other, "x"), (None, other, "x"), (7, copy, "a"), (7, copy, "b"), (7, copy, "b"), (8, copy, "a"), (9, None, "a"), (None, "", "a"), (10, other + " but not quite the same as that one", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id string")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r.gone_id) for r in kept.collect()), key=str)
+    assert [g[:2] for g in got if g[1] == copy] == [(7, copy)]
+    assert [g for g in got if g[1] == other] == [(None, other, "x")]
+    assert [g[:2] for g in got if not g[1]] == [(9, None)] and len(got) == 4
+    # string ids, and the rows' order doesn't matter
+    text_ids = df.selectExpr("cast(doc_id as string) as doc_id", "text", "gone_id").repartition(3)
+    assert simhash.drop_near_duplicates(text_ids).count() == 4
+
+
 def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
     copy, other, third = "a copied text of several words in a row", "something wholly different that stands alone here", "zebras graze on yet another unrelated plain tonight"
     rows = [(1, copy), (2, copy), (2, other), (3, third), (3, other), (3, third), (4, None), (4, "one more text that nobody else has written down")]

@@ -1,36 +1,47 @@
 """SimHash near-duplicates: fingerprints, and a binary-trie self-join within a Hamming budget.
 
-A fingerprint is 64 bits over the 4-word shingles of a text. Two fingerprints
-that differ in at most ``BUDGET`` bits agree in one of BUDGET + 1 blocks of bits,
-so each distinct fingerprint goes once to each of these blocks with the block's
-bits rotated to the front: rows of one block value are one subtrie whose root the
-pair traversal starts from. The traversal walks pairs of trie nodes downwards,
-adds up differing bits, and drops a pair once the sum is over the budget. From
-every subtrie only a spanning forest of its links leaves.
+A fingerprint is one or more words of 64 bits over the shingles of a text. Cut
+into BUDGET + 2 blocks, two words that differ in at most ``BUDGET`` bits agree in
+two blocks at least, so each distinct fingerprint goes once to each choice of two
+blocks, with these blocks' bits in front: rows of one value of them are one subtrie
+whose root the pair traversal starts from. The traversal walks pairs of trie nodes
+downwards, adds up differing bits, and drops a pair once the sum is over the
+budget. A subtrie of many rows is cut at deeper nodes and these are paired the same
+way before rows are dealt. From every subtrie only a spanning forest of its links
+leaves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import buffers
+from tidewheel.llm.common import buffers, free_name, steps
 from tidewheel.operators.components import connected_components
 from tidewheel.scratch import cut
 
 SHINGLE = 4
 SEED = 42
 BUDGET = 4
-#: Rows of one block value that one subtrie takes. A larger one is split into parts, joined pair by pair.
+#: Rows of one subtrie that one task takes. A larger one is cut at deeper nodes, paired within the budget.
 SUBTRIE_ROWS = 8192
+#: Bits at most by which a large subtrie is cut; nodes that are still large are dealt by hash.
+CUT_BITS = 12
 #: Node pairs held at once while a subtrie is walked.
 FRONTIER = 1 << 17
+#: A fingerprint that this share of all rows has is hot: at most its inverse are, so they are shared.
+HOT_SHARE = 1e-3
+#: The wide net: words of a fingerprint, words of a shingle, bits of one word and of all that may differ.
+WIDE_WORDS, WIDE_SHINGLE, WIDE_REACH, WIDE_BITS = 4, 5, 14, 41
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -51,32 +62,126 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-@F.arrow_udf(T.LongType())
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def fingerprints(texts: pa.Array) -> pa.Array:
-    """The fingerprint of each text as a signed long; null counts as empty."""
+    """The fingerprint of each text, one signed long in a list; null counts as empty."""
+    data, offsets = buffers(texts)
+    raw = memoryview(data)
+    found = np.array([fingerprint(bytes(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32)), pa.array(found))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit hashes spread over all places."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and those of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    rows = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(max(n, 1), b, np.uint64)
+        p[0] = 1
+        rows.append(np.multiply.accumulate(p))
+    return rows[0], rows[1]
+
+
+def wide_fingerprints(texts: list[bytes], words: int = WIDE_WORDS, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """SimHashes of ``words`` x 64 bits over ``size``-word shingles, a row per text; no words: 0.
+
+    A shingle's hash is a polynomial of its bytes, read off running sums, so the
+    shingles of many texts are hashed by a few array operations.
+    """
+    parts = [t.lower().split() for t in texts]
+    counts = np.array([len(p) for p in parts], np.int64)
+    out = np.zeros((len(texts), words), np.uint64)
+    line = b" ".join(w for p in parts for w in p)
+    if not line:
+        return out
+    lengths = np.fromiter((len(w) for p in parts for w in p), np.int64, int(counts.sum()))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    up, down = _powers(len(line) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(line)])))
+    some = np.flatnonzero(counts)
+    shingles = np.maximum(counts[some] - size + 1, 1)
+    first_word = (np.cumsum(counts) - counts)[some]
+    own = np.repeat(np.arange(len(some)), shingles)
+    lo = first_word[own] + np.arange(len(own)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    hi = np.minimum(lo + size, (first_word + counts[some])[own]) - 1
+    h = (sums[ends[hi]] - sums[starts[lo]]) * down[starts[lo]] ^ (ends[hi] - starts[lo]).astype(np.uint64) * _STEP
+    votes = np.zeros((len(some), words * 64), np.int64)
+    salts = [np.uint64((k + 1) * int(_STEP) % (1 << 64)) for k in range(words)]
+    place = np.arange(len(h)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    for at in range(0, len(h), 1 << 16):
+        part, who = h[at : at + (1 << 16)], own[at : at + (1 << 16)]
+        mixed = np.stack([_mixed(part + s) for s in salts], 1).astype(">u8")
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1).view(np.uint64)
+        # eight counts fit a 64-bit number while a run has at most 255 rows
+        turn = place[at : at + (1 << 16)] % 255 == 0
+        turn[0] = True
+        begin = np.flatnonzero(turn)
+        runs = np.add.reduceat(bits, begin, axis=0).view(np.uint8).astype(np.int64)
+        np.add.at(votes, who[begin], runs)
+    out[some] = np.packbits(votes * 2 > shingles[:, None], axis=1).view(">u8").reshape(len(some), words).astype(np.uint64)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def wide_prints(texts: pa.Array) -> pa.Array:
+    """The wide fingerprint of each text as signed longs; null counts as empty."""
     data, offsets = buffers(texts)
     raw = memoryview(data)
-    return pa.array(np.array([fingerprint(bytes(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64))
+    found = [wide_fingerprints([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]) for lo, hi in steps(offsets)]
+    flat = np.concatenate([f.ravel() for f in found]) if found else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WIDE_WORDS), pa.array(flat.view(np.int64)))
+
 
+def layouts(budget: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """For each choice of two of budget + 2 blocks: their bits, and (from, width, to) moves that bring them to the front."""
+    edges = [round(64 * k / (budget + 2)) for k in range(budget + 3)]
+    out = []
+    for front in combinations(range(budget + 2), 2):
+        moves, at = [], 64
+        for k in (*front, *[k for k in range(budget + 2) if k not in front]):
+            width = edges[k + 1] - edges[k]
+            at -= width
+            moves.append((64 - edges[k + 1], width, at))
+        out.append((sum(m[1] for m in moves[:2]), moves))
+    return out
 
-def block_bits(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the left, width) of the budget + 1 blocks that cover the 64 bits."""
-    edges = [round(64 * k / (budget + 1)) for k in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+def arrange(word: np.ndarray, moves: list[tuple[int, int, int]]) -> np.ndarray:
+    """64-bit words with their blocks in the order of ``moves``."""
+    out = np.zeros_like(word)
+    for a, width, b in moves:
+        out |= ((word >> np.uint64(a)) & np.uint64((1 << width) - 1)) << np.uint64(b)
+    return out
+
+
+def _arranged(word: Column, moves: list[tuple[int, int, int]]) -> Column:
+    out = None
+    for a, width, b in moves:
+        part = F.shiftleft(F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << width) - 1).cast("long")), b)
+        out = part if out is None else out.bitwiseOR(part)
+    return out
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def close_pairs(keys: np.ndarray, groups: list[tuple[int, int]], depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of sorted ``keys`` within ``budget`` bits, by the pairwise walk of each group's trie.
+def close_pairs(keys: np.ndarray, start: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, of ``keys`` within ``budget`` bits, by the pairwise walk down from ``start``.
 
-    A group is a range of rows that share the first ``depth`` bits. The walk keeps
-    arrays of node pairs (two ranges, depth, differing bits); small pairs of nodes
-    are compared row by row, larger ones are split at their next bit.
+    A row of ``start`` is a node pair: two ranges of sorted keys (equal, or one
+    behind the other), the bits that each range shares, and how many of these differ.
+    The walk keeps arrays of such rows; small pairs are compared row by row, larger
+    ones are split at their next bit.
     """
-    start = np.array([(a, b, a, b, depth, 0) for a, b in groups if b - a > 1], np.int64).reshape(-1, 6)
     stack = [start[k : k + FRONTIER // 8] for k in range(0, len(start), FRONTIER // 8)]
     while stack:
         f = stack.pop()
@@ -144,21 +249,42 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def _link(budget: int):
-    """Arrow function over partitions sorted by (own, pair, key): spanning links of every subtrie."""
+def _link(words: int, budget: int, reach: int, bits: int):
+    """Arrow function over partitions sorted by (own, pair, side, key): spanning links of every subtrie or pair of nodes."""
+    forms = layouts(budget)
 
-    def flush(own: np.ndarray, pair: np.ndarray, key: np.ndarray, widths: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
+    def within(all_words: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in pairs:
+            ok = sum(_ones(w[i] ^ w[j]) for w in all_words) <= bits
+            if ok.any():
+                yield i[ok], j[ok]
+
+    def flush(own: np.ndarray, pair: np.ndarray, side: np.ndarray, *signed: np.ndarray) -> pa.RecordBatch:
+        n = len(own)
+        all_words = [w.view(np.uint64) for w in signed]
         edges = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (pair[1:] != pair[:-1]), [True])))
-        key = key.view(np.uint64)
-        label = np.arange(len(key))
-        for w in np.unique(widths):
-            groups = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if widths[a] == w and b - a > 1]
-            if groups:
-                label = np.minimum(label, _forest(len(key), close_pairs(key, groups, int(w), budget)))
-        moved = np.flatnonzero(label != np.arange(len(key)))
-        s = shift.astype(np.uint64)
-        plain = np.where(s == 0, key, (key >> s) | (key << ((np.uint64(64) - s) & np.uint64(63))))
-        return pa.RecordBatch.from_arrays([pa.array(plain[moved].view(np.int64)), pa.array(plain[label[moved]].view(np.int64))], ["src", "dst"])
+        lo, hi = edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1]
+        # of a pair of nodes, the rows of side 1 lie behind those of side 0
+        second = np.concatenate(([0], np.cumsum(side)))
+        mid = hi - (second[hi] - second[lo])
+        mid = np.where(mid == lo, hi, mid)
+        label = np.arange(n)
+        choice = own[lo] >> 32
+        for c in np.unique(choice):
+            width, moves = forms[c % len(forms)]
+            mine = choice == c
+            a, m, b = lo[mine], mid[mine], hi[mine]
+            first, last = a[0], b[-1]
+            key = arrange(all_words[c // len(forms)][first:last], moves)
+            a, m, b = a - first, m - first, b - first
+            cross = m < b
+            start = np.stack([a, m, np.where(cross, m, a), b, np.full(len(a), width), np.zeros(len(a), np.int64)], 1)
+            pairs = close_pairs(key, start, reach)
+            if words > 1:
+                pairs = within([w[first:last] for w in all_words], pairs)
+            label[first:last] = _forest(last - first, pairs) + first
+        moved = np.flatnonzero(label != np.arange(n))
+        return pa.RecordBatch.from_arrays([pa.array(signed[0][moved]), pa.array(signed[0][label[moved]])], ["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -166,7 +292,7 @@ def _link(budget: int):
         for batch in batches:
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
-            if rows < 4 * SUBTRIE_ROWS:
+            if rows < 16 * SUBTRIE_ROWS:
                 continue
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
@@ -181,41 +307,83 @@ def _link(budget: int):
     return run
 
 
-def similar_links(prints: DataFrame, column: str = "fp", budget: int = BUDGET, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
-    """(src, dst) links that connect all distinct fingerprints within ``budget`` bits as all their pairs would.
+def node_pairs(rows: DataFrame, budget: int, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+    """Deal rows (own, width, key, ...) of large subtries to pairs of deeper nodes: adds pair and side.
 
-    ``prints`` must hold distinct, non-null longs. A block value with more than
-    ``subtrie_rows`` rows is dealt into hashed parts and each pair of parts is a
-    task of its own, so that no task grows with the data and no pair is missed.
+    A subtrie is cut by as many further bits as bring nodes to about half of
+    ``subtrie_rows``, ``CUT_BITS`` at most; a node with more rows is dealt by hash.
+    Only pairs of nodes whose cut bits differ in at most ``budget`` places can hold
+    a link, so a row is copied once per such pair of its node. A node is paired
+    with itself too; in other pairs only rows of different sides are compared.
+    """
+    half = subtrie_rows / 2
+    large = rows.groupBy("own").agg(F.least(F.ceil(F.log2(F.count("*") / half)), F.lit(CUT_BITS)).cast("int").alias("cut_bits"))
+    cut_key = F.expr("shiftrightunsigned(shiftleft(key, width), 64 - cut_bits)")
+    rows = rows.join(large, "own").withColumn("node", cut_key)
+    nodes = rows.groupBy("own", "node").agg(F.ceil(F.count("*") / F.lit(half)).cast("int").alias("deals"))
+    parts = nodes.select("own", "node", "deals", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    parts = cut(parts.withColumn("part", F.row_number().over(Window.partitionBy("own").orderBy("node", "deal"))), "nodes")
+    a, b = parts.select("own", F.col("node").alias("a_node"), F.col("part").alias("a")), parts.select("own", F.col("node").alias("b_node"), F.col("part").alias("b"))
+    met = a.join(b, "own").where("a <= b").where(F.bit_count(F.col("a_node").bitwiseXOR(F.col("b_node"))) <= budget)
+    pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("pair")
+    sides = met.select("own", F.col("a").alias("part"), pair, F.lit(0).alias("side")).unionByName(met.where("a < b").select("own", F.col("b").alias("part"), pair, F.lit(1).alias("side")))
+    mine = rows.join(nodes, ["own", "node"]).withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals")).cast("int"))
+    return mine.join(parts.drop("deals"), ["own", "node", "deal"]).join(sides, ["own", "part"]).drop("node", "deal", "deals", "part", "cut_bits")
+
+
+def similar_links(prints: DataFrame, budget: int = BUDGET, reach: int | None = None, bits: int | None = None, words: int = 1, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+    """(src, dst) links, by first words, that connect all distinct fingerprints as all their pairs would.
+
+    ``prints`` holds ``fp``, distinct lists of ``words`` longs, of distinct first
+    words. Every pair is met that differs in at most ``budget`` bits in one word;
+    pairs met are linked if that word differs in at most ``reach`` bits (``budget``
+    by default) and all words together in at most ``bits``, where given.
     """
-    fp = F.col(column)
-    rotate = lambda a: fp if a == 0 else F.shiftleft(fp, a).bitwiseOR(F.shiftrightunsigned(fp, 64 - a))
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), rotate(a).alias("key"), F.lit(w).alias("width"), F.lit(a).alias("shift")) for k, (a, w) in enumerate(block_bits(budget))])
-    rows = prints.select(F.explode(blocks).alias("x")).select("x.*")
-    rows = rows.withColumn("value", F.expr("shiftrightunsigned(key, 64 - width)"))
-    large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > subtrie_rows)
-    parts = F.ceil(F.col("n") / F.lit(subtrie_rows / 2)).cast("int")
-    rows = rows.join(large.withColumn("parts", parts).drop("n"), ["block", "value"], "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
-    others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
-    rows = rows.select("*", F.explode(others).alias("other"))
-    pack = lambda high, low: F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
-    pair = F.when(F.col("other") < 0, F.lit(-1)).otherwise(pack(F.least("part", "other"), F.greatest("part", "other")))
-    rows = rows.select(pack(F.col("block"), F.col("value")).alias("own"), pair.alias("pair"), "key", "width", "shift")
+    reach = budget if reach is None else reach
+    forms = layouts(budget)
+    own = lambda k, c: F.shiftleft(F.lit(k * len(forms) + c).cast("long"), 32)
+    every = F.array(*[
+        F.struct(own(k, c).bitwiseOR(F.shiftrightunsigned(_arranged(F.col("fp")[k], moves), 64 - width)).alias("own"), _arranged(F.col("fp")[k], moves).alias("key"), F.lit(width).alias("width"))
+        for k in range(words) for c, (width, moves) in enumerate(forms)
+    ])
+    longs = [f"w{k}" for k in range(words)]
+    rows = prints.select(F.explode(every).alias("x"), *[F.col("fp")[k].alias(w) for k, w in enumerate(longs)]).select("x.*", *longs)
+    large = cut(rows.groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > subtrie_rows).select("own"), "large")
+    dealt = rows
+    if not large.isEmpty():
+        dealt = rows.join(large, "own", "left_anti")
+    dealt = dealt.withColumns({"pair": F.lit(-1).cast("long"), "side": F.lit(0)})
+    if not large.isEmpty():
+        dealt = dealt.unionByName(node_pairs(rows.join(large, "own", "left_semi"), reach, subtrie_rows))
     # flipping the sign bit sorts the keys as unsigned, which is the order of the trie's leaves
-    dealt = rows.repartition("own", "pair").sortWithinPartitions("own", "pair", F.col("key").bitwiseXOR(F.lit(-(2**63))))
-    return dealt.mapInArrow(_link(budget), "src long, dst long")
+    dealt = dealt.repartition("own", "pair").sortWithinPartitions("own", "pair", "side", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    return dealt.select("own", "pair", "side", *longs).mapInArrow(_link(words, budget, reach, 64 * words if bits is None else bits), "src long, dst long")
+
 
+def _kinds(slim: DataFrame, links, *facts: Column) -> DataFrame:
+    """One row per first word of the fingerprints of ``slim``: fp, n, the ``facts`` aggregated, and root, the group's name."""
+    kinds = cut(slim.groupBy(F.col("prints")[0].alias("fp")).agg(F.min("prints").alias("prints"), F.count("*").alias("n"), *facts), "kinds")
+    roots = cut(connected_components(links(kinds.select(F.col("prints").alias("fp")))), "roots").withColumnRenamed("node", "fp")
+    return kinds.drop("prints").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-def _grouped(docs: DataFrame, budget: int) -> DataFrame:
-    """near_duplicates with ``group``, a fingerprint that names the group even where several groups have one component_id."""
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "prints")
-    kinds = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
-    roots = cut(connected_components(similar_links(kinds.select("fp"), budget=budget)), "roots").withColumnRenamed("node", "fp")
-    rooted = roots.join(kinds, "fp")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(smallest, "root").select("fp", "component_id", "root")
-    of = kinds.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("group"))
-    return slim.join(of, "fp").select("doc_id", "fp", "component_id", "group")
+
+def _by_print(slim: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join facts per fingerprint (fp, n, ...) to the rows of ``slim``; hot fingerprints don't move rows together.
+
+    Fingerprints of more than ``HOT_SHARE`` of all rows number at most its
+    inverse; they are shared, and their rows go by doc_id instead.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > HOT_SHARE * total
+    columns = [c for c in facts.columns if c not in ("fp", "n")]
+    shared = facts.where(hot).select(F.col("fp").alias("hot_fp"), F.struct(*columns).alias("hot_facts"))
+    rows = slim.withColumn("fp", F.col("prints")[0]).drop("prints").join(F.broadcast(shared), F.col("fp") == F.col("hot_fp"), "left")
+    # a hot row's place is a random one; it needs no partner there
+    place = F.when(F.col("hot_fp").isNull(), F.col("fp")).otherwise(F.xxhash64("doc_id", "tag"))
+    rest = facts.where(~hot).select(F.col("fp").alias("cold_fp"), F.struct(*columns).alias("cold_facts"))
+    joined = rows.withColumn("place", place).join(rest, (F.col("place") == F.col("cold_fp")), "left")
+    own = F.when(F.col("hot_fp").isNull(), F.col("cold_facts")).otherwise(F.col("hot_facts"))
+    return joined.select(*[c for c in slim.columns if c != "prints"], "fp", *[own[c].alias(c) for c in columns])
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -227,27 +395,40 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     unless alone, when it is null; repeated rows are kept. Only doc_id and text
     are read, so other columns may have any name.
     """
-    return _grouped(docs, budget).select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Keep one row of each near-duplicate group: that of the smallest doc_id.
-
-    Rows that share a doc_id are judged each by its own text; of several in one
-    group the first text in string order stays. A row without doc_id names no
-    document and stays.
+    slim = cut(docs.select("doc_id", F.lit(0).alias("tag"), fingerprints("text").alias("prints")), "prints")
+    kinds = cut(_kinds(slim, lambda p: similar_links(p, budget), F.min("doc_id").alias("first")), "groups")
+    linked = kinds.groupBy("root").agg(F.min("first").alias("component_id"))
+    return _by_print(slim, kinds.join(linked, "root").select("fp", "n", "component_id")).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, prints: Column | None = None, links=None) -> DataFrame:
+    """Keep one row of each near-duplicate group: that of the smallest doc_id, null last.
+
+    Groups come from operator 8's links; the default is the wide net of
+    ``wide_prints``: groups connect texts that agree in two of six blocks of one of
+    four words and differ in at most ``WIDE_BITS`` of 256 bits. Every row is judged
+    by its own text, so rows that share a doc_id may be of different groups. Of rows
+    of one doc_id in a group that of the smallest hash over all columns stays, and
+    of rows equal in all columns one. Null and empty texts are one group. The
+    columns pass unchanged, whatever their names; an empty table stays empty.
     """
-    groups = cut(_grouped(docs.where("doc_id is not null"), budget), "groups")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("fp").alias("_fp"), F.col("group").alias("_group")).distinct()
-    repeated = cut(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id"), "repeated")
-    own = F.col("doc_id")
-    if repeated.isEmpty():
-        kept = docs.join(keep.select("_keep"), own == F.col("_keep")).drop("_keep")
-    else:
-        once = keep.select("_keep").distinct().join(repeated, F.col("_keep") == F.col("_id"), "left_anti")
-        kept = docs.join(once, own == F.col("_keep")).drop("_keep")
-        shared = docs.join(repeated, own == F.col("_id"), "left_semi").withColumn("_own", fingerprints("text"))
-        shared = shared.join(keep, (own == F.col("_keep")) & (F.col("_own") == F.col("_fp")))
-        first = Window.partitionBy("_keep", "_group").orderBy("text")
-        kept = kept.unionByName(shared.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns))
-    return kept.unionByName(docs.where("doc_id is null"))
+    prints = wide_prints("text") if prints is None else prints
+    links = links or (lambda p: similar_links(p, BUDGET, WIDE_REACH, WIDE_BITS, WIDE_WORDS))
+    tag = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    slim = cut(docs.select(F.col("doc_id"), tag.alias("tag"), prints.alias("prints")), "prints")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    kinds = cut(_kinds(slim, links, F.min(key).alias("best")), "groups")
+    best = kinds.groupBy("root").agg(F.min("best").alias("kept"))
+    judged = _by_print(slim, kinds.join(best, "root").select("fp", "n", "kept"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("tag") == F.col("kept.tag"))
+    judged = cut(judged.select("doc_id", "tag", stays.alias("stays")), "judged")
+    id_, mark, keep = free_name(docs, "gone_id"), free_name(docs, "gone_tag"), docs.select("*")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == tag)
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("tag").alias(mark))
+    # rows that repeat in all columns can't be told apart: they leave together, and one comes back
+    twins = cut(judged.where("stays").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1"), "twins")
+    gone = judged.where("not stays")
+    if twins.isEmpty():
+        return keep.join(named(gone).distinct(), same, "left_anti")
+    kept = keep.join(named(gone).unionByName(named(twins)).distinct(), same, "left_anti")
+    return kept.unionByName(keep.join(named(twins), same, "left_semi").dropDuplicates())
