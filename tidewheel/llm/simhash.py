@@ -162,10 +162,14 @@ def arrange(word: np.ndarray, moves: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def _arranged(word: Column, moves: list[tuple[int, int, int]]) -> Column:
+def _arranged(word: Column, choice: Column, forms: list[tuple[int, list[tuple[int, int, int]]]]) -> Column:
+    """``arrange`` for the choice of blocks in a column; shifts are looked up, so the expression stays small."""
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), choice + 1)
     out = None
-    for a, width, b in moves:
-        part = F.shiftleft(F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << width) - 1).cast("long")), b)
+    for moves in zip(*[m for _, m in forms], strict=True):
+        away, width, to = (of(v) for v in zip(*moves, strict=True))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1
+        part = F.call_function("shiftleft", F.call_function("shiftrightunsigned", word, away).bitwiseAND(mask), to)
         out = part if out is None else out.bitwiseOR(part)
     return out
 
@@ -341,13 +345,13 @@ def similar_links(prints: DataFrame, budget: int = BUDGET, reach: int | None = N
     """
     reach = budget if reach is None else reach
     forms = layouts(budget)
-    own = lambda k, c: F.shiftleft(F.lit(k * len(forms) + c).cast("long"), 32)
-    every = F.array(*[
-        F.struct(own(k, c).bitwiseOR(F.shiftrightunsigned(_arranged(F.col("fp")[k], moves), 64 - width)).alias("own"), _arranged(F.col("fp")[k], moves).alias("key"), F.lit(width).alias("width"))
-        for k in range(words) for c, (width, moves) in enumerate(forms)
-    ])
     longs = [f"w{k}" for k in range(words)]
-    rows = prints.select(F.explode(every).alias("x"), *[F.col("fp")[k].alias(w) for k, w in enumerate(longs)]).select("x.*", *longs)
+    choice = (F.col("x") % len(forms)).cast("int")
+    rows = prints.select(F.explode(F.sequence(F.lit(0), F.lit(words * len(forms) - 1))).alias("x"), "fp")
+    rows = rows.withColumn("key", _arranged(F.element_at("fp", F.floor(F.col("x") / len(forms)).cast("int") + 1), choice, forms))
+    rows = rows.withColumn("width", F.element_at(F.array(*[F.lit(w) for w, _ in forms]), choice + 1))
+    own = F.shiftleft(F.col("x").cast("long"), 32).bitwiseOR(F.expr("shiftrightunsigned(key, 64 - width)"))
+    rows = rows.select(own.alias("own"), "key", "width", *[F.col("fp")[k].alias(w) for k, w in enumerate(longs)])
     large = cut(rows.groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > subtrie_rows).select("own"), "large")
     dealt = rows
     if not large.isEmpty():
