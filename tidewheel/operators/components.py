@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.scratch import cut
+from tidewheel.scratch import cut, discard
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     nodes_alone = pairs.where("u = v").select("u", "v")
     links = pairs.where("u > v")
-    state = None
+    spark = edges.sparkSession
+    state, last = None, None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,6 +32,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "star")
+        if last:
+            discard(spark, last)
+        last = links.cut_path
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
