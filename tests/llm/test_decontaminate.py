@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from tests.llm import cases
@@ -75,3 +78,29 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert all(r.hits.n_hit == 0 for r in decontaminate.contamination(cases.docs(spark), bench).collect())
     assert decontaminate.contamination(cases.none(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 10])
+def test_scan_against_brute_force(window):
+    """Few words, so that windows overlap, repeat and belong to several items."""
+    rng = random.Random(window)
+    draw = lambda n: " ".join(rng.choice("abc") + str(rng.randrange(2)) for _ in range(n))
+    items = [(str(rng.randrange(12)), draw(rng.randrange(0, 3 * window))) for _ in range(15)]
+    built = decontaminate.build(items, window)
+    for _ in range(200):
+        text = draw(rng.randrange(0, 40))
+        if rng.random() < 0.6:
+            text += ", " + rng.choice(items)[1].upper() + "! " + draw(rng.randrange(4))
+        found = decontaminate.words(text.encode())
+        hit, met = decontaminate.hits(found, built)
+        assert (len(found), int(hit.sum()), sorted(built.names[i] for i in met)) == slow(text, items, window)
+
+
+def test_spans_of_a_long_text_in_linear_time():
+    text = ("Ünd x. " * 400_000).encode()
+    hit = np.zeros(800_000, bool)
+    hit[::2] = True
+    began = time.perf_counter()
+    got = decontaminate.spans(text, hit)
+    assert time.perf_counter() - began < 10
+    assert len(got) == 400_000 and got[0] == (0, 3) and got[-1] == (7 * 399_999, 7 * 399_999 + 3)

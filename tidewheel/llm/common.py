@@ -38,3 +38,13 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (one at least) of an odd base modulo 2**64, and those of its inverse."""
+    rows = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(max(n, 1), b, np.uint64)
+        p[0] = 1
+        rows.append(np.multiply.accumulate(p))
+    return rows[0], rows[1]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import buffers, free_name, steps
+from tidewheel.llm.common import buffers, free_name, powers, steps
 from tidewheel.operators.components import connected_components
 from tidewheel.scratch import cut
 
@@ -78,17 +78,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and those of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    rows = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(max(n, 1), b, np.uint64)
-        p[0] = 1
-        rows.append(np.multiply.accumulate(p))
-    return rows[0], rows[1]
-
-
 def wide_fingerprints(texts: list[bytes], words: int = WIDE_WORDS, size: int = WIDE_SHINGLE) -> np.ndarray:
     """SimHashes of ``words`` x 64 bits over ``size``-word shingles, a row per text; no words: 0.
 
@@ -104,7 +93,7 @@ def wide_fingerprints(texts: list[bytes], words: int = WIDE_WORDS, size: int = W
     lengths = np.fromiter((len(w) for p in parts for w in p), np.int64, int(counts.sum()))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    up, down = _powers(len(line) + 1)
+    up, down = powers(int(_STEP), len(line) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(line)])))
     some = np.flatnonzero(counts)
     shingles = np.maximum(counts[some] - size + 1, 1)
