@@ -136,6 +136,38 @@ def test_inverse_transform_against_its_definition():
     assert np.allclose(got, want, atol=1e-2)
 
 
+@pytest.mark.parametrize("bytes_", [1, 64 * 6 * 64 * 4095, 64 * 6 * 64 * 4095 + 1, 2**31 - 1])
+def test_sides_stay_within_the_format(bytes_):
+    blocks = np.array([-(-bytes_ // 64)])
+    wide, high = jpeg.grid(blocks)
+    assert 16 * wide[0] <= 65535 and 16 * high[0] <= 65535 and 6 * wide[0] * high[0] >= blocks[0]
+
+
+def test_a_file_of_another_encoder(spark):
+    """A progressive file that Java's image library writes, against the pixels that it reads from it."""
+    jvm = spark.sparkContext._jvm
+    side = 64
+    image = jvm.java.awt.image.BufferedImage(side, side, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for y in range(side):
+        for x in range(side):
+            image.setRGB(x, y, (100 + x) << 16 | (60 + y) << 8 | (x + y) // 2 + 40)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    params = writer.getDefaultWriteParam()
+    params.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), params)
+    stream.flush()
+    file = bytes(out.toByteArray())
+    assert b"\xff\xc2" in file  # a progressive frame
+    (rgb,) = jpeg.pixels(*jpeg.decode([file]))
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(out.toByteArray()))
+    want = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(side)] for y in range(side)])
+    want = np.stack([want >> 16, want >> 8 & 255, want & 255], 2)
+    assert rgb.shape == want.shape and np.abs(rgb.astype(int) - want).mean() < 3
+
+
 def test_media_round_trip(spark):
     df = cases.docs(spark)
     rows = media.media_columns(df).collect()
@@ -158,3 +190,15 @@ def test_media_query(spark, sf):
     for r in QUERIES["op10_media"](spark, sf).collect():
         want = texts[r.doc_id] + bytes(-len(texts[r.doc_id]) % 64 if texts[r.doc_id] else 64)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+
+
+def test_token_query(spark, sf):
+    from tidewheel.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.tokens for r in tokencount.with_token_counts(docs).collect()}
+    rows = QUERIES["op3_token_counts"](spark, sf).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert (r.n_tokens, r.n_crossing, r.section_tokens) == (want[r.doc_id].n_tokens, want[r.doc_id].n_crossing, want[r.doc_id].section_tokens)
+        assert sum(r.section_tokens) == r.n_tokens and r.n_sections == len(r.section_tokens)

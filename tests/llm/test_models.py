@@ -1,6 +1,7 @@
 """Toxicity, quality and language-model scores: held-out accuracy, brute force, awkward input."""
 
 import math
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +93,104 @@ def test_forward_backward_against_enumeration():
     assert pairs.sum() == pytest.approx((lines - 1).sum())
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 997])
+def test_blocks_of_a_long_chain_agree_with_single_steps(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    unary, links, lines = rng.normal(size=n + 5) * 4, rng.normal(size=(2, 2)), np.array([3, n, 2])
+    want = quality.marginals(unary, lines, links)
+    monkeypatch.setattr(quality, "LONG_CHAIN", 1)
+    got = quality.marginals(unary, lines, links)
+    assert got[0] == pytest.approx(want[0], abs=1e-12) and got[1] == pytest.approx(want[1])
+
+
+def test_a_text_of_very_many_lines_is_scored_in_blocks():
+    model = quality.train(_quality_rows(100, 5))
+    began = time.perf_counter()
+    score = quality.score_texts(*pack(["a\n" * 400_000, "a\n" * 400_001]), model)
+    assert time.perf_counter() - began < 15 and score[0] == pytest.approx(score[1], abs=1e-4)
+
+
+def test_repeated_words_are_compared_whole():
+    """Words of one length that share their first eight bytes aren't repeats."""
+    x, _, _ = quality.line_features(*pack(["internationalA internationalB internationalC", "international international international"]))
+    differ = np.flatnonzero(x[0] != x[1])
+    assert len(differ) and not np.array_equal(x[0], x[1])
+    share = 12  # the plain share of repeated words lies behind the bias, six plain features and five shares
+    assert x[0][share] == 0 and x[1][share] == pytest.approx(2 / 3)
+
+
+def slow_quality(text, model):
+    """The length-weighted mean of enumerated marginals of a short text."""
+    x, size, _ = quality.line_features(*pack([text]))
+    good = slow_marginals((x @ model[0].astype(np.float32)).astype(float), model[1])
+    return sum(g * s for g, s in zip(good, size, strict=True)) / size.sum()
+
+
+def test_document_scores_against_enumeration():
+    model = quality.train(_quality_rows(200, 8))
+    texts = [t for t, _ in _quality_rows(30, 9)] + ["", "one line", "a\n\nb\n"]
+    assert quality.score_texts(*pack(texts), model).tolist() == pytest.approx([slow_quality(t, model) for t in texts], abs=1e-5)
+
+
+def slow_toxicity(text, weights, bias):
+    """The softmax over the mean of n-gram weights, word by word."""
+    total = count = 0
+    for w in "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalnum() else " " for c in text).split(" "):
+        whole = "\x01" + w + "\x01"
+        for n in toxicity.GRAMS:
+            for i in range(len(whole) - n + 1 if w else 0):
+                h = 0
+                for k, c in enumerate(whole[i : i + n]):
+                    m = 0xFFFFFFFF
+                    h = ord(c) * 0x9E3779B1 & m if k == 0 else ((h ^ h >> 15) * 0x85EBCA6B + ord(c) * 0xC2B2AE35) & m
+                h = (h ^ h >> 13) * 0x27D4EB2F & 0xFFFFFFFF
+                total += float(weights[h >> (32 - toxicity.TABLE_BITS)])
+                count += 1
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total / (count + toxicity.BLANKS) + bias))))
+
+
+def test_toxicity_scores_against_brute_force():
+    model = toxicity.train(_toxic_rows(300, 4))
+    texts = [t for t, _ in _toxic_rows(20, 5)] + ["", "?!", "Éa fizzWACKER\x01\u0130x 12", "a" * 50]
+    assert toxicity.score_texts(*pack(texts), *model).tolist() == pytest.approx([slow_toxicity(t, *model) for t in texts], abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["op5_toxicity", "op9_quality"])
+def test_score_queries(name, spark, sf):
+    """Whole table, held-out rows marked, equal to the model applied row by row, right on held-out labels."""
+    from tidewheel.llm.queries import QUERIES
+
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to learn from
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r for r in QUERIES[name](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    module, bar = (toxicity, 0.7) if name == "op5_toxicity" else (quality, 0.5)
+    model = module.fit(docs, labels)
+    for i, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert r.predicted == int(r.score >= bar)
+    some = sorted(texts)
+    want = toxicity.score_texts(*pack([texts[i] for i in some]), *model) if module is toxicity else quality.score_texts(*pack([texts[i] for i in some]), model)
+    assert [rows[i].score for i in some] == pytest.approx(want.tolist(), abs=1e-5)
+    told = [(r["toxic" if module is toxicity else "quality"], rows[r.doc_id].predicted) for r in labels.collect() if r.doc_id in rows and rows[r.doc_id].held_out]
+    assert sum(a == b for a, b in told) >= 0.9 * len(told)
+
+
+def test_sample_of_text_ids_and_clashing_columns(spark):
+    docs = cases.docs(spark).selectExpr("concat('d', cast(doc_id as string)) as doc_id", "text", "lang as judged", "source as tokens", "n_chars as toxicity", "hits as quality", "shard as line_quality", "mix as key", "mix as at", "mix as y")
+    labels = spark.createDataFrame([("d1", 1, 0), ("d2", 0, 1), ("d4", 1, 0), ("d5", 0, 0), ("d8", 1, 1)], "doc_id string, quality int, toxic int")
+    tox, qual = toxicity.with_toxicity(docs, labels), quality.with_quality(docs, labels)
+    assert set(tox.columns) == set(docs.columns) and set(qual.columns) == set(docs.columns)
+    assert all(0 <= r.toxicity <= 1 for r in tox.collect()) and all(0 <= r.quality <= 1 for r in qual.collect())
+
+
+def test_one_id_of_many_texts_gives_one_sample_row(spark):
+    docs = spark.range(3000).selectExpr("cast(1 as long) AS doc_id", "concat('text number ', id) AS text").unionByName(spark.createDataFrame([(2, "other")], "doc_id long, text string"))
+    rows, _ = labelled.training_rows(docs, cases.labels(spark, [(1, 1, 0), (2, 0, 0)]), "quality")
+    assert len(rows) <= 2
+
+
 def _quality_rows(n, seed):
     rng = np.random.default_rng(seed)
     rows = []
@@ -148,10 +247,7 @@ def slow_slot(data, i, k):
     gram = 0
     for j in range(k + 1):
         gram |= (data[i - j] if i - j >= 0 else 0) << (8 * j)
-    bits = lmscore.SLOT_BITS[k]
-    if bits == 8 * (k + 1):
-        return gram
-    return (((gram ^ (gram >> 15)) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - bits)
+    return gram
 
 
 def slow_losses(texts, marks):
@@ -234,3 +330,16 @@ def test_lm_counts_every_ngram_by_itself(spark):
     for block in (lmscore.BLOCK_GRAMS, 50_000):  # one block, and several
         for r in lmscore.with_target_scores(df, targets, block).collect():
             assert (r.lm.background_loss, r.lm.target_loss) == pytest.approx(want[r.doc_id], rel=1e-6)
+
+
+def test_lm_query(spark, sf):
+    from tidewheel.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    want = dict(zip([r.doc_id for r in docs], exact_losses([(r.text or "").encode() for r in docs], [r.doc_id in good for r in docs]), strict=True))
+    rows = QUERIES["op7_lm_score"](spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.background_loss, r.target_loss) == pytest.approx(want[r.doc_id], rel=1e-5)
+        assert r.score == pytest.approx(r.target_loss - r.background_loss, abs=1e-9)

@@ -21,8 +21,8 @@ import numpy as np
 RESTART = 8
 #: Scan script: components, first and last coefficient, high and low bit position.
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), *[((c,), 1, 5, 0, 1) for c in range(3)], *[((c,), 6, 63, 0, 0) for c in range(3)], ((0, 1, 2), 0, 0, 1, 0), *[((c,), 1, 5, 1, 0) for c in range(3)]]
-#: MCUs in a row of an image at most.
-ROW = 64
+#: MCUs in a row of an image, unless it would get more rows than the format's 16-bit height holds.
+ROW, ROWS = 64, 65535 // 16
 
 
 def zigzag() -> np.ndarray:
@@ -104,9 +104,9 @@ class Layout:
 
 
 def grid(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """MCU columns and rows that hold so many blocks."""
+    """MCU columns and rows that hold so many blocks; sides within the format's limits up to 6 GB of blocks, beyond any string."""
     mcus = -(-blocks // 6)
-    wide = np.minimum(mcus, ROW)
+    wide = np.maximum(np.minimum(mcus, ROW), -(-mcus // ROWS))
     return wide, -(-mcus // wide)
 
 

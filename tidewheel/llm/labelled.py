@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.scratch import cut
+
 #: Bound on the labelled rows, and on the bytes of text, that a fit takes.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 20_000_000
 #: Rows of the sampled label table at most; the table is shared with the executors.
@@ -24,37 +26,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SA
     """(text, label) of a bounded hash sample of both classes, in a fixed order, and the share of label 1 among all eligible rows.
 
     Only rows outside the held-out third count, with a label of 0 or 1 and a
-    doc_id. Each class gives up to half of ``rows``. A doc_id that has several
-    labels is left out where they differ; one that has several texts gives each.
-    The label table is sampled by a hash threshold first, so what is shared with
-    the executors has about ``rows`` rows, and texts over the byte bound drop the
-    sample's last rows as a whole.
+    doc_id, which may be of any simple type. Each class gives up to half of
+    ``rows``. A doc_id that has several labels is left out where they differ; of
+    several texts of one the one of the smallest hash counts. The label table is
+    sampled by a hash threshold first, so what is shared with the executors has
+    about ``rows`` rows. One job reads ``docs`` and leaves the sample as a table; of
+    it, texts that ``size`` has no more room for, in the order of the hash, are left
+    out whole.
     """
     spark = docs.sparkSession
-    known = labels.where(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y").select("doc_id", "y")
+    known = labels.where(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", "y")
     known = known.where(~held_out()).withColumn("h", _order())
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = []
     for y, n in sorted(counts.items()):
         edge = (1 << KEY_BITS) if n <= rows // 2 else int((1 << KEY_BITS) * (rows // 2) / n)
-        picked.append(known.where((F.col("y") == y) & (F.col("h") < edge)))
+        # the share of its class's threshold at which a row comes in
+        picked.append(known.where((F.col("y") == y) & (F.col("h") < edge)).select(F.col("doc_id").cast("string").alias("key"), "y", (F.col("h") / edge).alias("at")))
     if not picked:
         return [], 0.0
     sample = picked[0]
     for more in picked[1:]:
         sample = sample.unionByName(more)
-    ids = spark.createDataFrame([tuple(r) for r in sample.select("doc_id", "y", "h").collect()], "_id long, y int, h long")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    found = []
-    sizes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    keep = (1 << KEY_BITS) if sizes <= size else int((1 << KEY_BITS) * size / sizes)
-    if sizes > size:  # the same hash, narrowed within each class's own threshold
-        tops = sample.groupBy("y").agg(F.max("h").alias("top")).collect()
-        limit = F.lit(0)
-        for r in tops:
-            limit = F.when(F.col("y") == r.y, F.lit(int(r.top * (keep / (1 << KEY_BITS))))).otherwise(limit)
-        texts = texts.where(F.col("h") <= limit)
-    for r in texts.select("h", "doc_id", "text", "y").toLocalIterator():
-        found.append((r.h, r.doc_id, r.text or "", int(r.y)))
-    found.sort()
-    return [(t, y) for _, _, t, y in found], counts.get(1, 0) / sum(counts.values())
+    ids = spark.createDataFrame([tuple(r) for r in sample.collect()], "key string, y int, at double")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("key"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    found = cut(texts.groupBy("key", "y", "at").agg(one["text"].alias("text")), "sample")
+    fits, used = [], 0
+    for r in sorted(found.select("at", "key", F.octet_length("text").alias("size")).collect()):
+        if used + r["size"] <= size:
+            fits.append((r.key,))
+            used += r["size"]
+    chosen = found.join(F.broadcast(spark.createDataFrame(fits, "key string")), "key", "left_semi").select("at", "key", "text", "y")
+    return [(r.text, int(r.y)) for r in sorted(chosen.collect())], counts.get(1, 0) / sum(counts.values())

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewheel.llm import jpeg
 from tidewheel.llm.common import buffers, steps
@@ -23,7 +22,7 @@ from tidewheel.llm.common import buffers, steps
 BLOCK = 64
 #: Payload bytes coded in one go; a longer single text is coded alone.
 BATCH_BYTES = 1_000_000
-SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, tensor binary, feature string"
+SCHEMA = "n_bytes long, media binary, payload binary, height int, width int, tensor binary, feature string"
 
 
 def store(texts: list[np.ndarray]) -> list[bytes]:
@@ -56,8 +55,9 @@ def feature(tensor: np.ndarray) -> str:
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("tensor", pa.binary()), ("feature", pa.string())])
+    made = [("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("tensor", pa.binary()), ("feature", pa.string())]
     for batch in batches:
+        kind = pa.schema([("doc_id", batch.column(0).type), *made])
         data, offsets = buffers(batch.column(1))
         for lo, hi in steps(offsets, BATCH_BYTES):
             files = store([data[a:b] for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
@@ -72,7 +72,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_bytes (of the text), media (the file), payload, height,
     width, tensor (uint8, height x width x 3), feature. Null and empty texts have
     one block of zeros; equal texts give equal values; repeated rows are kept;
-    a null doc_id passes. Other columns are not read. Memory follows the longest
+    a doc_id of any type, null too, passes. Other columns are not read. Memory follows the longest
     single text.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_convert, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_convert, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

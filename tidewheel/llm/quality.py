@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import buffers, steps
+from tidewheel.llm.common import buffers, free_name, powers, steps
 from tidewheel.llm.labelled import training_rows
 
 ACCEPT = 0.5
@@ -24,6 +24,10 @@ RATE = 0.1
 SHRINK = 1e-4
 #: Shares of a line above which a feature counts as present.
 LEVELS = (0.02, 0.15, 0.5)
+#: Multiplier of the hash by which words are compared.
+WORD_BASE = 0x9E3779B97F4A7C15
+#: Lines from which a chain is cut into blocks that advance together.
+LONG_CHAIN = 4096
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "bar": b"|", "bang": b"!", "symbol": b"#$%&*@^~=<>{}[]\\_+/", "point": b".,;:?-'\"()", "wide": bytes(range(128, 256))}
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -51,9 +55,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     begin = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     stop = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
     length = stop - begin
-    head = np.concatenate((raw, np.zeros(8, np.uint8)))[begin[:, None] + np.arange(8)]
-    head[np.arange(8)[None, :] >= length[:, None]] = 0
-    code = np.ascontiguousarray(head).view(np.uint64).ravel()
+    up, down = powers(WORD_BASE, len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])))
+    code = (sums[stop] - sums[begin]) * down[begin]  # of all bytes of a word
     again = np.zeros(len(raw), bool)
     if len(code) > 1:
         again[begin[1:]] = (code[1:] == code[:-1]) & (length[1:] == length[:-1])
@@ -76,32 +80,72 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([own, before[:, 1:], after[:, 1:]], 1), size + 1, lines
 
 
+def _short_chains(local: np.ndarray, at: np.ndarray, lines: np.ndarray, link: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> None:
+    """Fill in forward and backward messages of chains that start at ``at``, all of them a line at a step."""
+    order = np.argsort(-lines, kind="stable")
+    at, lines = at[order], lines[order]
+    active = np.searchsorted(-lines, -np.arange(1, (lines[0] if len(lines) else 0) + 1), "right")
+    for t, k in enumerate(active):
+        rows = at[:k] + t
+        a = local[rows] if t == 0 else (alpha[rows - 1] @ link) * local[rows]
+        alpha[rows] = a / a.sum(1, keepdims=True)
+    for t in range(len(active) - 1, 0, -1):
+        rows = at[: active[t]] + t
+        b = (local[rows] * beta[rows]) @ link.T
+        beta[rows - 1] = b / b.sum(1, keepdims=True)
+
+
+def _long_chain(local: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of one chain in about 4 * sqrt(lines) steps.
+
+    The chain is cut into blocks; products of the lines' 2 x 2 matrices are run up
+    and down inside all blocks at once, then messages pass from block to block.
+    """
+    n = len(local)
+    size = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // size)
+    step = np.tile(np.eye(2), (blocks * size, 1, 1))  # the last block is filled up with steps that change nothing
+    step[:n] = link[None] * local[:, None, :]
+    step[0] = local[0][None, :]  # any message that enters the chain becomes that of its first line
+    step = step.reshape(blocks, size, 2, 2)
+    scaled = lambda m: m / m.sum((-2, -1), keepdims=True)
+    ahead, behind = np.empty_like(step), np.empty_like(step)
+    ahead[:, 0] = scaled(step[:, 0])
+    behind[:, -1] = np.eye(2) / 2
+    for t in range(1, size):
+        ahead[:, t] = scaled(ahead[:, t - 1] @ step[:, t])
+        behind[:, -1 - t] = scaled(step[:, -t] @ behind[:, -t])
+    enter, leave = np.full((blocks, 2), 0.5), np.full((blocks, 2), 0.5)
+    for k in range(1, blocks):
+        a = enter[k - 1] @ ahead[k - 1, -1]
+        enter[k] = a / a.sum()
+        b = ahead[-k, -1] @ leave[-k]
+        leave[-1 - k] = b / b.sum()
+    alpha = np.einsum("bi,btij->btj", enter, ahead).reshape(-1, 2)[:n]
+    beta = np.einsum("btij,bj->bti", behind, leave).reshape(-1, 2)[:n]
+    return alpha / alpha.sum(1, keepdims=True), beta / beta.sum(1, keepdims=True)
+
+
 def marginals(unary: np.ndarray, lines: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward of all chains at once.
+    """Forward-backward of all chains at once; chains of many lines run in blocks.
 
     ``unary`` is the log-odds of good per line, ``links`` the 2 x 2 label weights.
     Returns the marginals of good per line and the expected label pairs in total.
     """
-    order = np.argsort(-lines, kind="stable")
-    at = (np.cumsum(lines) - lines)[order]
-    long = lines[order]
-    active = np.searchsorted(-long, -np.arange(1, (long[0] if len(long) else 0) + 1), "right")
+    at = np.cumsum(lines) - lines
     half = np.clip(unary, -40, 40) / 2
     local = np.exp(np.stack([-half, half], 1))
     link = np.exp(links)
     alpha, beta = np.empty_like(local), np.ones_like(local)
-    for t, k in enumerate(active):
-        rows = at[:k] + t
-        a = local[rows] if t == 0 else (alpha[rows - 1] @ link) * local[rows]
-        alpha[rows] = a / a.sum(1, keepdims=True)
-    pairs = np.zeros((2, 2))
-    for t in range(len(active) - 1, 0, -1):
-        rows = at[: active[t]] + t
-        right = local[rows] * beta[rows]
-        joint = alpha[rows - 1][:, :, None] * link[None] * right[:, None, :]
-        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        b = right @ link.T
-        beta[rows - 1] = b / b.sum(1, keepdims=True)
+    short = lines < LONG_CHAIN
+    _short_chains(local, at[short], lines[short], link, alpha, beta)
+    for a, n in zip(at[~short], lines[~short], strict=True):
+        alpha[a : a + n], beta[a : a + n] = _long_chain(local[a : a + n], link)
+    later = np.ones(len(local), bool)
+    later[at[lines > 0]] = False
+    later = np.flatnonzero(later)
+    joint = alpha[later - 1][:, :, None] * link[None] * (local[later] * beta[later])[:, None, :]
+    pairs = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     post = alpha * beta
     return post[:, 1] / post.sum(1), pairs
 
@@ -180,4 +224,5 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         per_line = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(marks).astype(np.float64) if marks else np.zeros(0)))
         return pa.StructArray.from_arrays([pa.array(np.clip(score, 0.0, 1.0)), per_line], ["quality", "lines"])
 
-    return docs.withColumn("_judged", judge("text")).withColumn("quality", F.col("_judged.quality")).withColumn("line_quality", F.col("_judged.lines")).drop("_judged")
+    both = free_name(docs, "judged")
+    return docs.withColumn(both, judge("text")).withColumns({"quality": F.col(both)["quality"], "line_quality": F.col(both)["lines"]}).drop(both)
