@@ -8,19 +8,21 @@ tree over the output shards splits them, each node drawing its left half's quota
 from a multivariate hypergeometric law. A shard takes its quota as a run of the
 permuted blocks, so shards are disjoint, and orders its rows by a hash.
 
-The driver sees one row per source and shard. Deciding for a document takes its
-source's row only, so texts are never shuffled.
+The plan is a table of one row per source, however many there are. The driver sees
+the quotas of ``GROUPS`` groups of sources; each group splits its own among its
+sources. Deciding for a document takes its source's row only.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import free_name
 from tidewheel.scratch import cut
 
 WEIGHTS = (5, 2, 1)
@@ -30,8 +32,8 @@ SHARDS = 16
 SEED = 20240131
 #: Blocks of the whole mix, and documents a block has on average at least.
 BLOCKS, BLOCK_DOCS = 32768, 64
-#: Sources whose plan is shared with every executor. More are refused.
-MAX_SOURCES = 100_000
+#: Groups of sources between which the driver splits draws; up to so many sources each is one of its own.
+GROUPS = 1024
 KEY_BITS = 60
 
 
@@ -40,22 +42,36 @@ def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def doc_key(doc_id: str):
-    """The first 60 bits of the md5 of doc_id as text; null counts as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def doc_key(doc_id: str, text: str) -> Column:
+    """The first 60 bits of an md5 over doc_id and text; null counts as empty."""
+    as_text = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(as_text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, ceiling: float = CEILING) -> list[float]:
-    """Split ``share`` of all words by weight; none gets over ``ceiling`` times its size, the excess is reshared."""
-    total = share * sum(sizes)
-    order = sorted(range(len(sizes)), key=lambda i: (ceiling * sizes[i] / weights[i], i))
-    full, level = 0.0, None
-    for k, i in enumerate(order):
-        level = (total - full) / sum(weights[j] for j in order[k:])
-        if level <= ceiling * sizes[i] / weights[i]:
+def ranked(sources: DataFrame) -> DataFrame:
+    """Add ``rank``, from 0, by code point with null last: a sort into ranges, and the sizes of the ranges before."""
+    placed = cut(sources.orderBy(F.col("source").isNull(), "source").withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per range
+    return placed.join(F.broadcast(before), part == F.col("part")).withColumn("rank", F.col("before") + at).drop("place", "part", "before")
+
+
+def targets(sources: DataFrame, total: int, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """Add ``target`` to (words, weight): ``share`` of all words by weight, none over ``ceiling`` times its words, the excess reshared.
+
+    The level of the sources that aren't full rises until no more become full; each
+    round is one sum over the sources.
+    """
+    full, weights, level = F.lit(False), None, 0.0
+    limit = F.lit(float(ceiling)) * F.col("words")
+    while True:
+        r = sources.agg(F.sum(F.when(full, limit).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("weights")).first()
+        if not r.weights or r.weights == weights:
             break
-        full += ceiling * sizes[i]
-    return [float(min(ceiling * s, level * w)) for s, w in zip(sizes, weights, strict=True)]
+        weights, level = r.weights, (share * total - r.full) / r.weights
+        full = F.col("weight") * level > limit
+    return sources.withColumn("target", F.least(limit, F.lit(level) * F.col("weight")))
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -67,14 +83,19 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(half, left, rng), split_quotas(quotas - half, shards - left, rng)])
 
 
-def _permutation(source: str | None) -> tuple[int, int]:
-    digest = hashlib.md5((source or "").encode()).hexdigest()
-    return 2 * (int(digest[:8], 16) % 32768) + 1, int(digest[8:16], 16) % 65536
+def split_group(quotas: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """As ``split_quotas``, with the shards' totals given: (shards, sources)."""
+    if len(totals) == 1:
+        return quotas[None, :].copy()
+    left = len(totals) // 2
+    half = rng.multivariate_hypergeometric(quotas, int(totals[:left].sum()), method="marginals")
+    return np.concatenate([split_group(half, totals[:left], rng), split_group(quotas - half, totals[left:], rng)])
 
 
-def _rank(key):
-    block = F.expr(f"shiftright({key}, {KEY_BITS} - bits)")
-    return (F.col("a") * block + F.col("c")).bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))
+def _rank(key: str, a: Column, c: Column, bits: Column) -> Column:
+    """The place of a key's block in the order of its source."""
+    block = F.call_function("shiftright", F.col(key), F.lit(KEY_BITS) - bits)
+    return (a * block + c).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
 
 
 def fit(slim: DataFrame, weights: Sequence[int], share: float, shards: int, seed: int) -> DataFrame:
@@ -82,90 +103,106 @@ def fit(slim: DataFrame, weights: Sequence[int], share: float, shards: int, seed
 
     ``slim`` has source, size and key. Sources are ranked by code point, null last.
     """
-    spark = slim.sparkSession
-    rows = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r.source is None, r.source or ""))
-    own = [weights[i % len(weights)] for i in range(len(rows))]
-    goal = targets([r.words for r in rows], own, share) if rows else []
-    total, n = sum(r.words for r in rows), sum(r.n for r in rows)
+    sources = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = cut(ranked(sources).withColumn("weight", weight), "sources")
+    total, n = sources.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     block_words = max(total // BLOCKS, BLOCK_DOCS * total // max(n, 1), 1)
-    plan = []
-    for r, t in zip(rows, goal, strict=True):
-        passes = int(t // r.words) if r.words else 0
-        bits = max(1, r.words // block_words).bit_length() - 1
-        plan.append((r.source, int(r.words), t, passes, t - passes * r.words, bits, *_permutation(r.source)))
-    schema = "source string, source_size long, target double, passes int, rest double, bits int, a long, c long"
-    small = spark.createDataFrame(plan, schema)
+    t, w = F.col("target"), F.col("words")
+    digits = lambda a: F.conv(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), a, 8), 16, 10).cast("long")
+    plan = targets(sources, total, share)
+    plan = plan.withColumn("passes", F.when(w > 0, F.floor(t / w)).otherwise(0).cast("int"))
+    plan = plan.select("source", "rank", w.alias("source_size"), "target", "passes", (t - F.col("passes") * w).alias("rest"), (F.length(F.bin(F.greatest(F.lit(1), F.floor(w / F.lit(block_words)).cast("long")))) - 1).alias("bits"), (2 * (digits(1) % 32768) + 1).alias("a"), (digits(9) % 65536).alias("c"))
+    plan = cut(plan, "targets")
     # the block in which the remaining words end, then the last document of it that is taken
-    blocks = slim.join(F.broadcast(small), slim.source.eqNullSafe(small.source)).select(small.source, "rest", "size", "key", _rank("key").alias("rank"))
-    sums = blocks.groupBy("source", "rank", "rest").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("rank")
-    edge = sums.withColumn("after", F.sum("words").over(run)).withColumn("before", F.col("after") - F.col("words")).where("before <= rest and rest < after")
-    edges = {r.source: (r["rank"], r.before) for r in edge.select("source", "rank", "before").collect()}
-    cuts = spark.createDataFrame([(s, *edges[s]) for s in edges], "s string, at long, before long")
-    last = blocks.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("at")))
-    last = last.groupBy("source", "key", "rest", "before").agg(F.sum("size").alias("size"))
+    side = plan.select(F.col("source").alias("s"), "rest", "bits", "a", "c")
+    blocks = slim.join(side, F.col("source").eqNullSafe(F.col("s"))).select("source", "rest", "size", "key", _rank("key", F.col("a"), F.col("c"), F.col("bits")).alias("place"))
+    run = Window.partitionBy("source").orderBy("place")
+    edge = blocks.groupBy("source", "place", "rest").agg(F.sum("size").alias("words")).withColumn("after", F.sum("words").over(run)).withColumn("before", F.col("after") - F.col("words"))
+    edge = cut(edge.where("before <= rest and rest < after").select(F.col("source").alias("e"), F.col("place").alias("edge"), "before"), "edges")
+    last = blocks.join(edge, F.col("source").eqNullSafe(F.col("e")) & (F.col("place") == F.col("edge"))).groupBy("source", "key", "rest", "before").agg(F.sum("size").alias("size"))
     run = Window.partitionBy("source").orderBy("key")
     last = last.withColumn("middle", F.col("before") + F.sum("size").over(run) - F.col("size") / 2).where("middle <= rest")
-    keys = {r.source: r.key for r in last.groupBy("source").agg(F.max("key").alias("key")).collect()}
-    draws = np.array([p[3] * (1 << p[5]) + (edges[p[0]][0] + (p[0] in keys) if p[0] in edges else 0) for p in plan], np.int64)
-    runs = np.cumsum(split_quotas(draws, shards, np.random.default_rng(seed)), axis=0) if plan else np.zeros((shards, 0))
-    full = [(*p[:4], *p[5:], *((edges[p[0]][0], keys.get(p[0], -1)) if p[0] in edges else (-1, -1)), [int(x) for x in runs[:, k]]) for k, p in enumerate(plan)]
-    return spark.createDataFrame(full, "source string, source_size long, target double, passes int, bits int, a long, c long, edge long, cut_key long, runs array<long>")
-
-
-def apply_plan(docs: DataFrame, plan: DataFrame, into: str = "mix", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Add ``mix`` (or the column named by ``into``): struct(source_size, target, shards); shards names the output shard of each copy taken."""
-    p = F.broadcast(plan.select(F.col("source").alias("_source"), F.struct(*plan.columns[1:]).alias("_plan")))
-    out = docs.join(p, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_key", doc_key(doc_id))
-    for c in ("a", "c", "bits"):
-        out = out.withColumn(f"_{c}", F.col(f"_plan.{c}"))
-    block = F.expr(f"shiftright(_key, {KEY_BITS} - _bits)")
-    out = out.withColumn("_rank", (F.col("_a") * block + F.col("_c")).bitwiseAND(F.expr("shiftleft(1L, _bits) - 1")))
-    more = (F.col("_rank") < F.col("_plan.edge")) | ((F.col("_rank") == F.col("_plan.edge")) & (F.col("_key") <= F.col("_plan.cut_key")))
-    copies = F.col("_plan.passes") + F.when(more, 1).otherwise(0)
-    out = out.withColumn("_copies", copies)
-    shard = lambda i: F.size(F.filter(F.col("_plan.runs"), lambda end: end <= i * F.expr("shiftleft(1L, _bits)") + F.col("_rank")))
-    shards = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
-    mix = F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), shards.alias("shards"))
-    return out.withColumn(into, mix).drop("_source", "_plan", "_key", "_a", "_c", "_bits", "_rank", "_copies")
+    keys = last.groupBy(F.col("source").alias("k")).agg(F.max("key").alias("cut_key"))
+    plan = plan.join(edge, F.col("source").eqNullSafe(F.col("e")), "left").join(keys, F.col("source").eqNullSafe(F.col("k")), "left")
+    partial = F.when(F.col("edge").isNull(), 0).otherwise(F.col("edge") + F.col("cut_key").isNotNull().cast("long"))
+    draws = F.col("passes") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) + partial
+    plan = plan.select("source", "source_size", "target", "passes", "bits", "a", "c", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("cut_key", F.lit(-1)).alias("cut_key"), draws.cast("long").alias("draws"), "rank", (F.col("rank") % GROUPS).alias("group"))
+    return _with_runs(cut(plan, "draws"), shards, seed)
+
+
+def _with_runs(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Add ``runs``, for each shard where its run of the source's draws ends, by the splitting tree."""
+    spark = plan.sparkSession
+    rows = sorted(plan.groupBy("group").agg(F.sum("draws").alias("draws")).collect())
+    split = split_quotas(np.array([r.draws for r in rows], np.int64), shards, np.random.default_rng(seed)) if rows else np.zeros((shards, 0))
+    totals = spark.createDataFrame([(r.group, [int(x) for x in split[:, k]]) for k, r in enumerate(rows)], "group long, totals array<long>")
+    kind = "source string, source_size long, target double, passes int, bits int, a long, c long, edge long, cut_key long, runs array<long>"
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        rng = np.random.default_rng([seed, int(pdf["group"].iloc[0])])
+        own = split_group(pdf["draws"].to_numpy(np.int64), np.asarray(pdf["totals"].iloc[0], np.int64), rng)
+        return pdf.assign(runs=list(np.cumsum(own, axis=0).T))[["source", "source_size", "target", "passes", "bits", "a", "c", "edge", "cut_key", "runs"]]
+
+    return cut(plan.join(F.broadcast(totals), "group").groupBy("group").applyInPandas(runs, kind), "plan")
+
+
+def apply_plan(docs: DataFrame, plan: DataFrame, key: str, into: str = "mix", source: str = "source") -> DataFrame:
+    """Add ``mix`` (or the column named by ``into``): struct(source_size, target, shards); shards names the output shard of each copy taken.
+
+    ``key`` is the column with the documents' keys. The plan is a table of known
+    size: Spark shares it while it is small, else documents move to their source's row.
+    """
+    name, own, rank, copies = (free_name(docs, c) for c in ("plan_source", "plan_row", "plan_rank", "plan_copies"))
+    p = plan.select(F.col("source").alias(name), F.struct(*plan.columns[1:]).alias(own))
+    of = lambda c: F.col(own)[c]
+    out = docs.join(p, F.col(source).eqNullSafe(F.col(name)), "left").withColumn(rank, _rank(key, of("a"), of("c"), of("bits")))
+    more = (F.col(rank) < of("edge")) | ((F.col(rank) == of("edge")) & (F.col(key) <= of("cut_key")))
+    out = out.withColumn(copies, of("passes") + F.when(more, 1).otherwise(0))
+    blocks = F.call_function("shiftleft", F.lit(1).cast("long"), of("bits"))
+    shard = lambda i: F.size(F.filter(of("runs"), lambda end: end <= i * blocks + F.col(rank)))
+    shards = F.when(F.col(copies) > 0, F.transform(F.sequence(F.lit(0), F.col(copies) - 1), shard)).otherwise(F.array().cast("array<int>"))
+    mix = F.struct(of("source_size").alias("source_size"), of("target").alias("target"), shards.alias("shards"))
+    return out.withColumn(into, mix).drop(name, own, rank, copies)
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and key of every row, kept in the shared folder so that texts are read once."""
-    return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), doc_key("doc_id").alias("key")), "sizes")
+    return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), doc_key("doc_id", "text").alias("key")), "sizes")
 
 
 def allot(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Every row's doc_id, source, size and ``mix``; rows that are not taken have no shard.
 
     A null source is a source of its own, ranked last. Null and empty texts have
-    size 0 and go with their block. Rows with equal doc_id, repeated rows
-    included, share one decision. An empty table gives an empty result. Columns
-    other than doc_id, source and text are not read.
+    size 0 and go with their block. Rows with equal doc_id are decided each by
+    their own text; rows equal in both share one decision. An empty table gives an
+    empty result. Columns other than doc_id, source and text are not read.
     """
     slim = measure(docs)
-    return apply_plan(slim.drop("key"), fit(slim, weights, share, shards, seed))
+    return apply_plan(slim, fit(slim, weights, share, shards, seed), "key").drop("key")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: rows of ``docs`` once per copy taken, with mix_shard, mix_copy and mix_order.
 
     Sorting a shard by mix_order is its local shuffle. Nulls, ties and repeated
-    rows are treated as :func:`allot` says; all columns pass unchanged.
+    rows are treated as :func:`allot` says; all columns pass unchanged, but for
+    those named like the three new ones, which are replaced.
     """
+    docs = docs.drop("mix_shard", "mix_copy", "mix_order")
     plan = fit(measure(docs), weights, share, shards, seed)
-    taken = apply_plan(docs, plan, into="_mix")
-    out = taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("_mix.shards").alias("mix_copy", "mix_shard"))
-    return out.withColumn("mix_order", F.xxhash64("mix_shard", "mix_copy", "doc_id", F.lit(seed)))
+    key, own = free_name(docs, "plan_key"), free_name(docs, "mix")
+    taken = apply_plan(docs.withColumn(key, doc_key("doc_id", "text")), plan, key, into=own)
+    out = taken.select(*[F.col(f"`{c}`") for c in docs.columns], key, F.posexplode(F.col(own)["shards"]).alias("mix_copy", "mix_shard"))
+    return out.withColumn("mix_order", F.xxhash64("mix_shard", "mix_copy", key, F.lit(seed))).drop(key)
 
 
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS words FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight,
              row_number() OVER (ORDER BY source NULLS LAST) AS ord FROM s),

@@ -26,7 +26,8 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.allot(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "mix.source_size", "mix.target", (F.size("mix.shards") * F.col("size")).cast("long").alias("taken"))
+    drawn = F.filter("mix.shards", lambda s: s < mixing.SHARDS)  # the copies that the splitting tree gave to a shard
+    return found.select("doc_id", "size", "mix.source_size", "mix.target", (F.size(drawn) * F.col("size")).cast("long").alias("taken"))
 
 
 ORACLE_SQL["op1_mix_sources"] = mixing.ORACLE_SQL
