@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tidewheel.llm import mixing
+from tidewheel.llm.common import ranked
 
 
 def spread(spark, sizes, weights):
@@ -45,7 +46,7 @@ def test_many_sources_in_groups(spark, monkeypatch):
 def test_sources_are_ranked_by_code_point(spark):
     names = [f"s{i}" for i in range(300)] + ["", "Z", "ä", "\U0001f600", "\uffee", None]
     df = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
-    got = [r.source for r in sorted(mixing.ranked(df).collect(), key=lambda r: r["rank"])]
+    got = [r.source for r in sorted(ranked(df, "source").collect(), key=lambda r: r["rank"])]
     assert got == sorted([n for n in names if n is not None], key=lambda n: n.encode()) + [None]
 
 

@@ -7,7 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewheel.scratch import cut
 
 #: Bytes of text that one vectorised step handles; a longer single text is one step.
 STEP_BYTES = 2_000_000
@@ -48,3 +51,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         p[0] = 1
         rows.append(np.multiply.accumulate(p))
     return rows[0], rows[1]
+
+
+def ranked(values: DataFrame, column: str) -> DataFrame:
+    """Add ``rank``, from 0, by code point with null last: a sort into ranges, and the sizes of the ranges before."""
+    placed = cut(values.orderBy(F.col(column).isNull(), column).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per range
+    return placed.join(F.broadcast(before), part == F.col("part")).withColumn("rank", F.col("before") + at).drop("place", "part", "before")

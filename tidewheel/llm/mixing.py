@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import free_name
+from tidewheel.llm.common import free_name, ranked
 from tidewheel.scratch import cut
 
 WEIGHTS = (5, 2, 1)
@@ -48,15 +48,6 @@ def doc_key(doc_id: str, text: str) -> Column:
     return F.conv(F.substring(F.md5(as_text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def ranked(sources: DataFrame) -> DataFrame:
-    """Add ``rank``, from 0, by code point with null last: a sort into ranges, and the sizes of the ranges before."""
-    placed = cut(sources.orderBy(F.col("source").isNull(), "source").withColumn("place", F.monotonically_increasing_id()), "ordered")
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per range
-    return placed.join(F.broadcast(before), part == F.col("part")).withColumn("rank", F.col("before") + at).drop("place", "part", "before")
-
-
 def targets(sources: DataFrame, total: int, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
     """Add ``target`` to (words, weight): ``share`` of all words by weight, none over ``ceiling`` times its words, the excess reshared.
 
@@ -105,7 +96,7 @@ def fit(slim: DataFrame, weights: Sequence[int], share: float, shards: int, seed
     """
     sources = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = cut(ranked(sources).withColumn("weight", weight), "sources")
+    sources = cut(ranked(sources, "source").withColumn("weight", weight), "sources")
     total, n = sources.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     block_words = max(total // BLOCKS, BLOCK_DOCS * total // max(n, 1), 1)
     t, w = F.col("target"), F.col("words")

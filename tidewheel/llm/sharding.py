@@ -1,10 +1,14 @@
 """Sharding by a k-d tree over document metadata, with distributed weighted medians.
 
-Nodes of one level are split together: the dimension in which a node is widest is
-cut where the bytes to its left come to its share of the leaves. The cut is found
-by radix selection: one aggregation per digit, over the rows that still tie with
-the cut only, so neither a window nor a task ever holds a node's rows. The fitted
-tree is a few numbers; a row finds its shard by walking it, without a join.
+Rows of equal text are one unit, which has the smallest language and source of its
+rows. Units are summed once to atoms: cells of (language, source, log bytes), of
+which those over a small share of a shard are divided by the text's hash, and texts
+over it by the hash of doc_id. The tree is grown on the atoms: all nodes of one
+level are split together, each across the dimension in which it is widest, where
+the bytes to its left come to its share of the leaves. Rows of one value are in the
+order of their cell's hash, then of the text's, then of doc_id's; a cut is found by
+each of these in turn, so no window holds a node's atoms. The fitted tree is a few
+values; a row finds its shard by walking it.
 """
 
 from __future__ import annotations
@@ -14,13 +18,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import free_name, ranked
 from tidewheel.scratch import cut
 
 SHARDS = 40
-#: Bits of a coordinate, and of each of the two tie-breakers behind it (text, then doc_id).
-BIN_BITS, TIE_BITS, DIGIT_BITS = 12, 24, 12
-#: A cut is fine enough once the rows that tie with it weigh this share of a leaf.
-TOLERANCE = 1e-4
+DIMS = ("lang", "source", "bin")
+#: What orders rows of one value.
+ORDER = ("cell", "text_hash", "id_hash")
+#: Steps of the size dimension per doubling.
+BINS = 8
+#: Bits of the hashes that order texts within a cell, and rows within a text.
+HASH_BITS, DIGIT_BITS = 60, 12
+#: Shares of a shard: atoms are divided down to ATOM where they can be; a cut may miss its goal by KEEP to leave equal texts together.
+ATOM, KEEP = 1e-3, 2e-2
 SLOT_BUCKETS = 256
 
 
@@ -34,133 +44,186 @@ def text_crc32(text: str) -> Column:
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def _prefix(name: str) -> Column:
-    """The first seven bytes of a string as a number, so that numbers sort as strings do; null: 0."""
-    raw = F.rpad(F.hex(F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(raw, 16, 10).cast("double")
+def _hash(value: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - HASH_BITS)
 
 
-def coordinates() -> list[Column]:
-    """The metadata dimensions: language, source, and bytes on a log scale."""
-    return [_prefix("lang"), _prefix("source"), F.log2(byte_size("text"))]
+def _cell(lang: Column, source: Column, bin_: Column) -> Column:
+    return _hash(F.concat_ws("\x00", lang, source, bin_))
+
+
+def metadata() -> dict[str, Column]:
+    """What places a row: language and source, null as empty, bytes on a log scale, and hashes of these three, of the text and of doc_id."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    bin_ = F.lpad(F.floor(F.log2(byte_size("text")) * BINS).cast("string"), 3, "0")
+    return {"lang": name("lang"), "source": name("source"), "bin": bin_, "cell": _cell(name("lang"), name("source"), bin_), "text_hash": _hash(F.coalesce("text", F.lit(""))), "id_hash": _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}
+
+
+@dataclass
+class Split:
+    """A node's cut: its dimension and the first (value, cell, text hash, id hash) that goes right."""
+
+    dim: int
+    value: str
+    cell: int
+    text_hash: int
+    id_hash: int
 
 
 @dataclass
 class Tree:
-    """Splits by heap number (root 1): dimension and cut, rows below the cut go left; leaves name shards."""
+    """Splits and leaves by heap number (root 1); leaves name shards."""
 
-    bounds: list[tuple[float, float]]
-    splits: dict[int, tuple[int, int]] = field(default_factory=dict)
+    splits: dict[int, Split] = field(default_factory=dict)
     leaves: dict[int, int] = field(default_factory=dict)
 
-    def node(self, keys: Column) -> Column:
-        """The node that a row with this array of keys reaches."""
+    def _step(self, place: Column, node: Column, size: int) -> Column:
+        of = lambda f, none: F.element_at(F.array(*[F.lit(f(self.splits[n]) if n in self.splits else none) for n in range(1, size)]), node)
+        dim, value = of(lambda s: s.dim, -1), of(lambda s: s.value, "")
+        cut_at = [of(lambda s, c=c: getattr(s, c), 0).cast("long") for c in ORDER]
+        own = F.when(dim == 0, place["lang"]).when(dim == 1, place["source"]).otherwise(place["bin"])
+        tie = F.lit(True)
+        for c, at in reversed(list(zip(ORDER, cut_at, strict=True))):
+            tie = (place[c] > at) | ((place[c] == at) & tie)
+        right = (own > value) | ((own == value) & tie)
+        return F.when(dim < 0, node).otherwise(node * 2 + right.cast("int"))
+
+    def node(self, place: Column) -> Column:
+        """The node that a row with this struct of metadata reaches."""
         size = 1 << max([1, *(n.bit_length() + 1 for n in [*self.splits, *self.leaves])])
-        dims = F.array(*[F.lit(self.splits.get(n, (-1, 0))[0]) for n in range(1, size)])
-        cuts = F.array(*[F.lit(self.splits.get(n, (0, 0))[1]).cast("long") for n in range(1, size)])
         depth = max([0, *(n.bit_length() for n in self.splits)])
-        down = lambda n: F.when(F.element_at(dims, n) < 0, n).otherwise(n * 2 + (F.element_at(keys, F.element_at(dims, n) + 1) >= F.element_at(cuts, n)).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), lambda n, _: down(n)) if depth else F.lit(1)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), lambda n, _: self._step(place, n, size)) if depth else F.lit(1)
 
-    def shard(self, keys: Column) -> Column:
+    def shard(self, place: Column) -> Column:
         """The shard of a row."""
-        size = max(self.leaves) + 1
-        return F.element_at(F.array(*[F.lit(self.leaves.get(n, -1)) for n in range(1, size)]), self.node(keys))
-
-
-def keyed(docs: DataFrame, bounds: list[tuple[float, float]]) -> Column:
-    """One key per dimension: the coordinate's bin, then bits of the text, then bits of doc_id."""
-    low = (1 << TIE_BITS) - 1
-    tie = F.shiftleft(F.xxhash64(text_crc32("text")).bitwiseAND(low), TIE_BITS).bitwiseOR(F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(low))
-    top = (1 << BIN_BITS) - 1
-    bins = [F.least(F.greatest(F.floor((c - lo) / (hi - lo) * top), F.lit(0)), F.lit(top)).cast("long") if hi > lo else F.lit(0).cast("long") for c, (lo, hi) in zip(coordinates(), bounds, strict=True)]
-    return F.array(*[F.shiftleft(b, 2 * TIE_BITS).bitwiseOR(tie) for b in bins])
+        return F.element_at(F.array(*[F.lit(self.leaves.get(n, -1)) for n in range(1, max(self.leaves) + 1)]), self.node(place))
 
 
-def _lookup(values: dict[int, int | float], kind: str, node: Column) -> Column:
-    """The value of a node, from an array literal."""
-    return F.element_at(F.array(*[F.lit(values.get(n)).cast(kind) for n in range(1, max(values) + 1)]), node)
-
-
-def _crossing(rows: DataFrame, goal: Column, *by: str) -> DataFrame:
-    """Per group, the digit in which the running bytes reach the goal: digit, bytes before it and in it."""
-    own = Window.partitionBy(*by)
-    run = own.orderBy("digit")
-    sums = rows.groupBy(*by, "digit").agg(F.sum("size").alias("w"))
-    sums = sums.withColumn("after", F.sum("w").over(run)).withColumn("total", F.sum("w").over(own)).withColumn("goal", goal)
-    sums = sums.withColumn("hit", (F.col("after") >= F.col("goal")) & (F.col("after") - F.col("w") < F.col("goal")))
-    return sums.groupBy(*by).agg(F.min("digit").alias("lo"), F.max("digit").alias("hi"), F.max("total").alias("total"), F.max(F.when(F.col("hit"), F.struct("digit", (F.col("after") - F.col("w")).alias("before"), "w"))).alias("at"))
-
-
-def fit(slim: DataFrame, bounds: list[tuple[float, float]], shards: int) -> Tree:
-    """Grow the tree level by level over ``slim`` (size, keys)."""
-    tree = Tree(bounds)
+@dataclass
+class Met:
+    """Where a node's running bytes reach the goal: a value, what is left of the goal inside it, its bytes, and the next value."""
+
+    value: str | int
+    goal: float
+    bytes: int
+    next: str | int | None
+
+
+def _crossing(rows: DataFrame, order: str, goals: Column) -> dict[int, Met]:
+    """For each node of (node, size, ...), the value of ``order`` in which its bytes reach its goal; the last one, if they don't."""
+    own = Window.partitionBy("node")
+    sums = rows.groupBy("node", order).agg(F.sum("size").alias("w"))
+    sums = sums.withColumn("after", F.sum("w").over(own.orderBy(order))).withColumn("total", F.sum("w").over(own)).withColumn("next", F.lead(order).over(own.orderBy(order)))
+    met = sums.withColumn("goal", goals).where(F.col("after") >= F.least("goal", "total")).groupBy("node").agg(F.min(F.struct("after", F.col(order).alias("value"), "w", "goal", "next")).alias("at"))
+    return {r.node: Met(r["at"]["value"], r["at"].goal - r["at"].after + r["at"].w, r["at"].w, r["at"].next) for r in met.collect()}
+
+
+def atoms(slim: DataFrame, units: DataFrame, leaf: float) -> DataFrame:
+    """What the tree is grown on: (lang, source, bin, cell, text_hash, id_hash, size), hashes as the lower ends of their ranges."""
+    finest = max(leaf * ATOM, 1.0)
+    bits = lambda w: F.least(F.greatest(F.ceil(F.log2(w / F.lit(finest))), F.lit(0)), F.lit(HASH_BITS)).cast("int")
+    low = lambda h, b: F.call_function("shiftleft", F.call_function("shiftright", h, F.lit(HASH_BITS) - b), F.lit(HASH_BITS) - b)
+    big = (F.col("size") > KEEP * leaf) & (F.col("n") > 1)
+    cells = cut(units.where(~big).groupBy(*DIMS).agg(F.sum("size").alias("w")).withColumn("bits", bits(F.col("w"))), "cells")
+    fine = units.where(~big).join(cells.drop("w"), list(DIMS)).groupBy(*DIMS, low(F.col("text_hash"), F.col("bits")).alias("text_hash")).agg(F.sum("size").alias("size"))
+    # texts that many rows share and that weigh much: no more of them than shards / KEEP
+    hot = cut(units.where(big).select("text_hash", *DIMS, bits(F.col("size")).alias("bits")), "hot")
+    rows = slim.select("text_hash", "id_hash", "size").join(hot, "text_hash").groupBy(*DIMS, "text_hash", low(F.col("id_hash"), F.col("bits")).alias("id_hash")).agg(F.sum("size").alias("size"))
+    every = fine.withColumn("id_hash", F.lit(0).cast("long")).unionByName(rows)
+    return cut(every.withColumn("cell", _cell(F.col("lang"), F.col("source"), F.col("bin"))), "atoms")
+
+
+def fit(parts: DataFrame, shards: int, leaf: float) -> Tree:
+    """Grow the tree level by level over atoms."""
+    places = {}
+    for d in ("lang", "source"):
+        places[d] = ranked(parts.select(d).distinct(), d).withColumnRenamed("rank", f"{d}_at")
+        parts = parts.join(places[d], d)
+    parts = cut(parts.withColumn("bin_at", F.col("bin").cast("long")), "atoms")
+    ends = parts.agg(*[f(f"{d}_at") for d in DIMS for f in (F.min, F.max)]).first()
+    span = [max((ends[2 * k + 1] or 0) - (ends[2 * k] or 0), 1) for k in range(3)]
+    tree = Tree()
     width = {1: shards}
-    dims = len(bounds)
+    place = F.struct(*DIMS, *ORDER)
+    by_node = lambda values, kind: F.element_at(F.array(*[F.lit(values.get(n)).cast(kind) for n in range(1, max(values) + 1)]), F.col("node"))
     while open_ := {n: k for n, k in width.items() if k > 1 and n not in tree.splits}:
-        rows = slim.withColumn("node", tree.node(F.col("keys"))).where(F.col("node").isin(*open_))
-        rows = cut(rows.select("node", "size", "keys"), "level")
-        each = rows.select("node", "size", F.posexplode("keys").alias("dim", "key")).withColumn("digit", F.shiftrightunsigned("key", 2 * TIE_BITS))
-        share = _lookup({n: (k // 2) / k for n, k in open_.items()}, "double", F.col("node"))
-        best: dict[int, object] = {}
-        for r in sorted(_crossing(each, F.col("total") * share, "node", "dim").collect(), key=lambda r: (r.node, r.dim)):
-            if r.node not in best or r.hi - r.lo > best[r.node].hi - best[r.node].lo:
-                best[r.node] = r
-        dim = {n: best[n].dim if n in best else 0 for n in open_}
-        goal = {n: best[n].total * (open_[n] // 2) / open_[n] if n in best else 0 for n in open_}
-        cutting = {n: (best[n].at.digit, best[n].at.before, best[n].at.w) if n in best else (0, 0, 0) for n in open_}
-        done, bits = {}, 2 * TIE_BITS
-        while True:
-            for n, (prefix, before, w) in list(cutting.items()):
-                leaf = goal[n] / max(1, open_[n] // 2)
-                if bits == 0 or w <= TOLERANCE * leaf:
-                    done[n] = (prefix + (before + w / 2 < goal[n])) << bits
-                    del cutting[n]
-            if not cutting:
-                break
-            bits -= DIGIT_BITS
-            node = F.col("node")
-            key = F.element_at("keys", _lookup({n: dim[n] + 1 for n in open_}, "int", node))
-            tied = rows.withColumn("key", key).where(F.shiftrightunsigned("key", bits + DIGIT_BITS) == _lookup({n: cutting[n][0] if n in cutting else -1 for n in open_}, "long", node))
-            tied = tied.withColumn("digit", F.shiftrightunsigned("key", bits))
-            rest = _lookup({n: goal[n] - cutting[n][1] if n in cutting else 0 for n in open_}, "double", node)
-            for r in _crossing(tied, rest, "node").collect():
-                cutting[r.node] = (r.at.digit, cutting[r.node][1] + r.at.before, r.at.w)
+        rows = parts.withColumn("node", tree.node(place)).where(F.col("node").isin(*open_))
+        wide = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("total"), *[(F.max(f"{d}_at") - F.min(f"{d}_at")).alias(d) for d in DIMS]).collect()}
+        dim = {n: max(range(3), key=lambda k: (wide[n][DIMS[k]] / span[k], -k)) if n in wide else 0 for n in open_}
+        goal = {n: wide[n].total * (k // 2) / k if n in wide else 0.0 for n, k in open_.items()}
+        which = by_node(dim, "int")
+        value = F.when(which == 0, F.col("lang")).when(which == 1, F.col("source")).otherwise(F.col("bin"))
+        digit = F.shiftright("cell", HASH_BITS - DIGIT_BITS)
+        rows = cut(rows.select("node", value.alias("value"), digit.alias("digit"), *ORDER, "size"), "level")
+        met: dict[str, dict[int, Met]] = {}
+        for order, kind in (("value", "string"), ("digit", "long"), *[(c, "long") for c in ORDER]):
+            if wide:
+                met[order] = _crossing(rows, order, by_node(goal, "double"))
+                rows = rows.where(F.col(order) == by_node({n: m.value for n, m in met[order].items()}, kind))
+                goal = {n: m.goal for n, m in met[order].items()}
+        behind = lambda m: 1 << HASH_BITS if m.next is None else m.next
+        for n in wide:
+            text, row = met["text_hash"][n], met["id_hash"][n]
+            # the cut lies before this text, behind it, or, if both miss the goal by too much, inside it
+            if min(text.goal, text.bytes - text.goal) <= KEEP * leaf or row.bytes == text.bytes:
+                at = (text.value if text.goal <= text.bytes / 2 else behind(text), 0)
+            else:
+                at = (text.value, row.value if row.goal <= row.bytes / 2 else behind(row))
+            tree.splits[n] = Split(dim[n], met["value"][n].value, met["cell"][n].value, *at)
         for n, k in open_.items():
-            tree.splits[n] = (min(dim[n], dims - 1), done[n])
+            tree.splits.setdefault(n, Split(0, "", 0, 0, 0))  # a node without rows
             width[2 * n], width[2 * n + 1] = k // 2, k - k // 2
     for shard, n in enumerate(sorted((n for n, k in width.items() if k == 1), key=lambda n: format(n, "b"))):
         tree.leaves[n] = shard
     return tree
 
 
-def grow(docs: DataFrame, shards: int = SHARDS) -> Tree:
-    """Fit the tree to all rows of ``docs`` (doc_id, text, lang, source)."""
-    ends = docs.select(*[f(c) for c in coordinates() for f in (F.min, F.max)]).first()
-    bounds = [(ends[2 * k] or 0.0, ends[2 * k + 1] or 0.0) for k in range(len(ends) // 2)]
-    slim = cut(docs.select(byte_size("text").alias("size"), keyed(docs, bounds).alias("keys")), "keys")
-    return fit(slim, bounds, shards)
+def grow(docs: DataFrame, shards: int = SHARDS) -> tuple[Tree, DataFrame]:
+    """The tree fitted to all rows of ``docs`` (doc_id, text, lang, source), and the metadata of texts whose rows differ in it."""
+    slim = cut(docs.select(byte_size("text").alias("size"), *[c.alias(n) for n, c in metadata().items()]), "metadata")
+    name = F.struct("lang", "source")
+    units = slim.groupBy("text_hash").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min(name).alias("name"), F.max(name).alias("other"), F.min("bin").alias("bin"))
+    units = cut(units.select("text_hash", "size", "n", "name.lang", "name.source", "bin", (F.col("name") != F.col("other")).alias("mixed")), "units")
+    leaf = (units.agg(F.sum("size")).first()[0] or 0) / shards
+    tree = fit(atoms(slim, units, leaf), shards, leaf)
+    return tree, cut(units.where("mixed").select("text_hash", "lang", "source"), "mixed")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add ``shard``: every row goes to one of ``shards`` leaves of near-equal bytes.
 
     Sizes are UTF-8 bytes plus 16. Null lang, source and text sort as empty;
-    null doc_id is a value like any other. Rows of equal text stay together but
-    where a cut has to fall inside their group; rows that repeat in all of
-    doc_id, text, lang and source always do. An empty table gives an empty
-    result. Other columns pass; one named ``shard`` is replaced.
+    null doc_id is a value like any other. Rows of equal text go to one shard,
+    whatever their other columns, unless a cut falls into their text and both its
+    ends would miss the cut's goal by over ``KEEP`` of a shard; then rows of one
+    doc_id still stay together. An empty table gives an empty result. Other columns
+    pass; one named ``shard`` is replaced.
     """
-    tree = grow(docs, shards)
-    return docs.withColumn("shard", tree.shard(keyed(docs, tree.bounds)))
+    tree, mixed = grow(docs, shards)
+    own = metadata()
+    at, th, unit = (free_name(docs, c) for c in ("place", "unit_hash", "unit"))
+    if mixed.isEmpty():
+        out = docs.withColumn(at, F.struct(*[c.alias(n) for n, c in own.items()]))
+        return out.withColumn("shard", tree.shard(F.col(at))).drop(at)
+    # texts whose copies bear several languages or sources take those of their unit: a table of known size
+    side = mixed.select(F.col("text_hash").alias(th), F.struct("lang", "source").alias(unit))
+    out = docs.join(side, own["text_hash"] == F.col(th), "left")
+    lang, source = (F.coalesce(F.col(unit)[c], own[c]) for c in ("lang", "source"))
+    place = F.struct(lang.alias("lang"), source.alias("source"), _cell(lang, source, own["bin"]).alias("cell"), *[own[c].alias(c) for c in ("bin", "text_hash", "id_hash")])
+    return out.withColumn(at, place).withColumn("shard", tree.shard(F.col(at))).drop(at, th, unit)
 
 
 def with_slots(rows: DataFrame, doc_id: str = "doc_id", shard: str = "shard") -> DataFrame:
-    """Add ``slot``, gapless from 0 in each shard, by numbering hashed buckets of a shard and adding offsets."""
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(doc_id), F.lit(SLOT_BUCKETS)).cast("int"))
-    counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket")
-    counts = counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy(shard, "_bucket").orderBy(doc_id)
-    out = rows.join(counts, [shard, "_bucket"]).withColumn("slot", F.col("_before") + F.row_number().over(inside) - 1)
-    return out.drop("_bucket", "_before")
+    """Add ``slot``, gapless from 0 in each shard, by numbering hashed buckets of a shard and adding offsets.
+
+    Buckets and order follow all columns, doc_id first, so only rows that are equal
+    in all of them are numbered in no stated order. Columns must be sortable.
+    """
+    bucket, before, n = (free_name(rows, c) for c in ("bucket", "before", "n"))
+    every = [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(*every), F.lit(SLOT_BUCKETS)).cast("int"))
+    counts = rows.groupBy(shard, bucket).agg(F.count("*").alias(n))
+    counts = counts.withColumn(before, F.sum(n).over(Window.partitionBy(shard).orderBy(bucket)) - F.col(n)).drop(n)
+    inside = Window.partitionBy(shard, bucket).orderBy(doc_id, *every)
+    out = rows.join(counts, [shard, bucket]).withColumn("slot", F.col(before) + F.row_number().over(inside) - 1)
+    return out.select(*every, "slot")
