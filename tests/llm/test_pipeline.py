@@ -1,7 +1,11 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tests.llm import cases
 from tests.llm.test_decontaminate import words
 from tests.llm.test_simhash import slow_wide, wide_groups
-from tidewheel.llm import toxicity
+from tidewheel.llm import mixing, toxicity
 
 
 def test_stages_in_order():
@@ -49,3 +53,26 @@ def test_each_stage_against_its_own_input(spark, sf, tmp_path):
         assert set(times) <= ids(plain) and max(times.values()) <= 2
     assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in mixed)
     assert {r["shard"] for r in last} <= set(range(40))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_and_empty_tables(spark, tmp_path, empty):
+    """Every stage takes nulls, empties, long texts, ties, repeats, clashing and dotted columns, and no rows at all."""
+    docs = (cases.none(spark) if empty else cases.docs(spark)).withColumn("odd.name", F.lit(1)).withColumn("found", F.lit("f")).drop("shard")
+    cases.labels(spark, [] if empty else [(1, 1, 0), (5, 0, 1), (6, 1, 0)]).write.parquet(f"file://{tmp_path}/labels.parquet")
+    bench = [] if empty else [(1, "completely different words"), (2, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.columns == [*docs.columns, "shard"]
+    rows = out.collect()
+    assert all(0 <= r["shard"] < 40 for r in rows) and {r["odd.name"] for r in rows} <= {1}
+    if empty:
+        assert not rows
+
+
+def test_the_mix_is_laid_out_by_shard_and_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    place = {(r.doc_id, r.mix_copy): (r.mix_shard, r.mix_order) for r in mixing.mix(docs).collect()}
+    got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, sf).collect()]
+    assert got == [i for (i, _), _ in sorted(place.items(), key=lambda kv: kv[1])]
