@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
+from tidewheel.functions.terms import term_counts
 
 
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -49,37 +50,32 @@ def strip_html(html: Column) -> Column:
 
 def novelty(text: Column, source: Column, title: Column) -> Column:
     """Novelty from high and moderate terms; hype without substance counts half; reviews lose a little."""
-
-    def score(low: Column, high: Column) -> Column:
-        substance = has_any(low, L.METHOD_OR_RESULT) | low.rlike("[0-9]")
-        strong = F.least(F.lit(0.75), high * F.lit(0.24)) * F.when((high > 0) & ~substance, 0.5).otherwise(1.0)
-        review = (F.contains(F.lower(source), F.lit("review")) | F.lower(title).rlike(r"\breview\b")) & (high == 0)
-        total = strong + F.least(F.lit(0.35), hits(low, L.MODERATE_NOVELTY) * F.lit(0.08)) - F.when(review, 0.12).otherwise(0.0)
-        return F.when(low == "", F.lit(0.0)).otherwise(clip(total))
-
-    return let(F.lower(text), lambda low: let(hits(low, L.HIGH_NOVELTY), lambda high: score(low, high)))
+    n = term_counts(text)
+    substance = (n["method"] > 0) | text.rlike("[0-9]")
+    strong = F.least(F.lit(0.75), n["high"] * F.lit(0.24)) * F.when((n["high"] > 0) & ~substance, 0.5).otherwise(1.0)
+    review = (F.contains(F.lower(source), F.lit("review")) | F.lower(title).rlike(r"\breview\b")) & (n["high"] == 0)
+    total = strong + F.least(F.lit(0.35), n["moderate"] * F.lit(0.08)) - F.when(review, 0.12).otherwise(0.0)
+    return F.when(text == "", F.lit(0.0)).otherwise(clip(total))
 
 
 def promotional(text: Column, promo_risk: Column) -> Column:
     """Promotion from sales and access terms on top of the source's own risk."""
-    return let(F.lower(text), lambda low: clip(F.least(F.lit(0.75), hits(low, L.PROMOTIONAL) * F.lit(0.22)) + F.least(F.lit(0.35), hits(low, L.ACCESS_FRICTION) * F.lit(0.14)) + promo_risk))
+    n = term_counts(text)
+    return clip(F.least(F.lit(0.75), n["promo"] * F.lit(0.22)) + F.least(F.lit(0.35), n["access"] * F.lit(0.14)) + promo_risk)
 
 
 def access_friction(text: Column) -> Column:
     """Friction from access terms."""
-    return let(F.lower(text), lambda low: clip(F.least(F.lit(0.35), hits(low, L.ACCESS_FRICTION) * F.lit(0.14))))
+    return clip(F.least(F.lit(0.35), term_counts(text)["access"] * F.lit(0.14)))
 
 
 def content_type(text: Column, section: Column) -> Column:
     """The first content type with a term in the text, else by section."""
-
-    def kind(low: Column) -> Column:
-        out = F.when(F.lower(section) == "research", "research").otherwise("article")
-        for label, terms in reversed(L.CONTENT_TYPES.items()):
-            out = F.when(has_any(low, terms), label).otherwise(out)
-        return out
-
-    return let(F.lower(text), kind)
+    n = term_counts(text)
+    out = F.when(F.lower(section) == "research", "research").otherwise("article")
+    for label in reversed(L.CONTENT_TYPES):
+        out = F.when(n[f"type_{label}"] > 0, label).otherwise(out)
+    return out
 
 
 def downweight(text: Column, terms: list[str], penalty: float = L.DOWNWEIGHT) -> Column:

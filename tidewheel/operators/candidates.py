@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
-from tidewheel.functions import quality, text
+from tidewheel.functions import phrases, quality, terms, text
 from tidewheel.operators.latest import latest
 
 DEADLINE = ["opportunity", "event", "opportunities", "events"]
@@ -61,17 +64,16 @@ def skip_reason() -> Column:
     """Why an item must not be ranked at all, else null; reads title, abstract, section, source."""
     title, body = F.trim(F.coalesce(F.col("title"), F.lit(""))), text.item_text(F.col("title"), F.col("abstract"))
     research = F.lower(F.col("section")) == "research"
-    low = F.lower(body)
-    marked = lambda c, patterns: c.rlike("(?im)" + "|".join(patterns)) if len(patterns) else F.lit(False)
-    opinion = text.has_any(low, L.COMMENTARY)
-    news = (text.novelty(body, F.col("source"), F.col("title")) >= 0.24) | text.has_any(low, L.METHOD_OR_RESULT)
-    return F.when(title == "", "empty").when(research & F.lower(title).isin(L.SKIP_TITLES), "masthead").when(research & marked(body, L.SKIP_MARKERS), "cover").when(research & marked(title, L.NON_RESEARCH_TITLES), "not_research").when(research & opinion & ~news, "commentary")
+    marked = lambda c, patterns: reduce(or_, [c.rlike(p) for p in patterns])
+    opinion = terms.term_counts(body)["commentary"] > 0
+    news = (text.novelty(body, F.col("source"), F.col("title")) >= 0.24) | (terms.term_counts(body)["method"] > 0)
+    return F.when(title == "", "empty").when(research & F.lower(title).isin(L.SKIP_TITLES), "masthead").when(research & marked(body, phrases.FRONT_MATTER), "cover").when(research & marked(title, phrases.NOT_RESEARCH), "not_research").when(research & opinion & ~news, "commentary")
 
 
 def quality_gate(items: DataFrame, least_rows: int = 10) -> DataFrame:
     """Add ``drop_reason``: the first failing rule, null for items that pass; pools of few rows pass whole."""
     title, good = F.trim(F.coalesce(F.col("title"), F.lit(""))), quality.tier_by_name(F.col("source"), F.col("section")).isin("top", "high", "strong")
-    rule = F.when((F.length(title) < 15) & ~good, "short_title").when(title.rlike(L.TITLE_BLOCKLIST), "blocked_title").otherwise(F.coalesce(skip_reason(), F.when((F.lower(F.col("section")) == "research") & (F.length(F.coalesce(F.col("abstract"), F.lit(""))) < 30) & ~good, "short_abstract")))
+    rule = F.when((F.length(title) < 15) & ~good, "short_title").when(title.rlike(phrases.BLOCKED_TITLES), "blocked_title").otherwise(F.coalesce(skip_reason(), F.when((F.lower(F.col("section")) == "research") & (F.length(F.coalesce(F.col("abstract"), F.lit(""))) < 30) & ~good, "short_abstract")))
     few = items.limit(least_rows).count() < least_rows
     return items.withColumn("drop_reason", F.lit(None).cast("string") if few else rule)
 

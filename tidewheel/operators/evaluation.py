@@ -73,10 +73,20 @@ def orderings(slate: DataFrame, features: DataFrame, votes: DataFrame) -> DataFr
 
 
 def macro(slates: DataFrame, ks: tuple[int, ...] = (10,)) -> DataFrame:
-    """One row per k: digests, and means over digests of ndcg, precision, ap and accuracy where they exist."""
-    out = None
-    for k in ks:
-        each = ndcg(slates, k).join(precision_at(slates, k), "digest_id").join(average_precision(slates), "digest_id").join(pairwise_accuracy(slates), "digest_id")
-        row = each.agg(F.count("*").alias("digests"), *[F.avg(c).alias(c) for c in ("ndcg", "precision", "ap", "accuracy")]).select(F.lit(k).alias("k"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One row per k: digests, and means over digests of ndcg, precision, ap and accuracy where they exist.
+
+    Ranks and running hits come from one window, and all metrics of all k from one
+    sum per digest.
+    """
+    w = Window.partitionBy("digest_id").orderBy(F.desc("score"), "item_id").rowsBetween(Window.unboundedPreceding, 0)
+    up, down, rank = F.col("label") > 0, F.col("label") < 0, F.col("rank")
+    at = slates.select("digest_id", "label", F.row_number().over(w).alias("rank"), F.sum((F.col("label") > 0).cast("long")).over(w).alias("ups"))
+    gain = lambda k: F.sum(F.when(up & (rank <= k), 1.0 / F.log2(rank + 1.0)).otherwise(0.0)).alias(f"dcg_{k}")
+    share = lambda k: F.avg(F.when(rank <= k, up.cast("double"))).alias(f"precision_{k}")
+    each = at.groupBy("digest_id").agg(F.count_if(up).alias("n"), F.count_if(down).alias("m"), F.avg(F.when(up, F.col("ups") / rank)).alias("ap"), F.sum(F.when(down, F.col("ups")).otherwise(0)).alias("right"), *[f(k) for k in ks for f in (gain, share)])
+    accuracy = F.when(F.col("n") * F.col("m") > 0, F.col("right") / (F.col("n") * F.col("m")))
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1))), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
+    ndcgs = [F.avg(F.when(F.col("n") > 0, F.col(f"dcg_{k}") / ideal(k))).alias(f"ndcg_{k}") for k in ks]
+    means = each.agg(F.count("*").alias("digests"), F.avg("ap").alias("ap"), F.avg(accuracy).alias("accuracy"), *ndcgs, *[F.avg(f"precision_{k}").alias(f"precision_{k}") for k in ks])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), "digests", F.col(f"ndcg_{k}").alias("ndcg"), F.col(f"precision_{k}").alias("precision"), "ap", "accuracy") for k in ks])
+    return means.select(F.inline(rows))

@@ -57,59 +57,15 @@ def rrf(df: DataFrame, first: str, second: str, tie: str, into: str = "fused", k
     return min_max(raw, "_raw", into).drop("_a", "_b", "_raw")
 
 
-def _bounded(small: DataFrame, key: str, *columns: str) -> dict[str, np.ndarray]:
-    parts = list(vectors.blocks(small, key, *columns, limit=vectors.MAX_ROWS))
-    if len(parts) > 1:
-        raise ValueError(f"more than {vectors.MAX_ROWS} rows on the side of facets")
-    return parts[0]
-
-
-def topic_scores(items: DataFrame, facets: DataFrame, into: str = "topic_score", vector: str = "vec", key: str = "facet_id") -> DataFrame:
-    """Add the multi-facet cosine to a profile of facets (facet_id, vec, weight)."""
-    f = _bounded(facets, key, vector, "weight")
-    return items.withColumn(into, vectors.map_vectors(vector, lambda x: vectors.multi_cosine(x, f[vector], f["weight"])))
-
-
-def query_aware_scores(items: DataFrame, facets: DataFrame, into: str = "score", vector: str = "vec", key: str = "facet_id") -> DataFrame:
-    """Add the attention-weighted cosine to a profile of facets."""
-    f = _bounded(facets, key, vector)
-    return items.withColumn(into, vectors.map_vectors(vector, lambda x: vectors.query_aware(x, f[vector])))
-
-
-def facet_attribution(items: DataFrame, facets: DataFrame, vector: str = "vec", key: str = "facet_id", least: float = L.FACET_MIN, margin: float = L.FACET_MARGIN, second: float = L.FACET_SECOND, many: int = L.FACET_SECONDARIES, scale: float = 0.03) -> DataFrame:
-    """Add primary_facet, primary_score, secondaries and priority_bonus.
-
-    The best facet counts from ``least`` on; secondaries lie within ``margin`` of it
-    and above ``second``. ``facets`` may have a priority (0.5 where null).
-    """
-    f = _bounded(facets, key, vector, "priority")
-    rows = vectors.unit(f[vector])
-    sims = F.array(*[vectors.map_vectors(vector, lambda x, r=r: vectors.unit(x) @ r) for r in rows])
-    ids = [int(i) for i in f[key]]
-    named = F.arrays_zip(sims.alias("sim"), F.array(*[F.lit(-i).cast("long") for i in ids]).alias("neg"))
-    out = items.withColumn("_s", F.sort_array(F.transform(named, lambda z: F.struct(z["sim"].alias("sim"), z["neg"].alias("neg"))), asc=False))
-    best = F.col("_s")[0]
-    ok = best["sim"] >= least
-    rest = F.slice(F.filter(F.slice("_s", 2, 1 << 20), lambda z: (z["sim"] >= best["sim"] - margin) & (z["sim"] >= second)), 1, many)
-    bonus = F.lit(0.5)
-    for i, p in zip(ids, f["priority"], strict=True):
-        bonus = F.when(-best["neg"] == i, float(p if p == p and p is not None else 0.5)).otherwise(bonus)
-    return out.withColumns({"primary_facet": F.when(ok, -best["neg"]), "primary_score": best["sim"], "secondaries": F.when(ok, F.transform(rest, lambda z: -z["neg"])).otherwise(F.array().cast("array<bigint>")), "priority_bonus": F.when(ok, scale * bonus).otherwise(0.0)}).drop("_s")
-
-
-def negative_penalty(items: DataFrame, negatives: DataFrame, topic: str, weight: float = 1.0, margin: float = 0.0, vector: str = "vec", key: str = "facet_id", into: str = "penalty") -> DataFrame:
-    """Add how much the best weighted match with an unwanted interest exceeds the topic score."""
-    n = _bounded(negatives, key, vector, "weight")
-    best = vectors.map_vectors(vector, lambda x: (vectors.unit(x) @ vectors.unit(n[vector]).T * n["weight"]).max(1) if len(x) else np.zeros(0))
-    return items.withColumn(into, weight * F.greatest(F.lit(0.0), best - F.col(topic) - margin))
-
-
 #: Similarities that a task holds at once.
 SIMS = 1 << 22
 
 
-def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tuple[str, ...], vector: str, key: str, limit: int) -> DataFrame:
-    """Add ``_near``: the k best (sim, id, number) of each item over all exemplars, block by block; larger sims, then larger ids, first."""
+def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tuple[str, ...], vector: str, key: str, limit: int, own: str | Column | None = None) -> DataFrame:
+    """Add ``_near``: the k best (sim, id, number) of each item over all exemplars, block by block; larger sims, then larger ids, first.
+
+    ``near`` takes vectors, the items' ids (column ``own``, by default ``key``) and a block.
+    """
     kind = "array<struct<sim:double,id:long,number:double>>"
 
     def best(block: dict[str, np.ndarray]):
@@ -120,7 +76,7 @@ def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tupl
             x, own = vectors.matrix(v), ids.to_numpy(zero_copy_only=False)
             return pa.concat_arrays([vectors.nearest(*near(x[r], own[r], block), k) for r in rows])
 
-        return run(vector, key)
+        return run(vector, key if own is None else own)
 
     out = items
     many = exemplars.count() > limit
@@ -134,6 +90,65 @@ def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tupl
     return out
 
 
+def _facet_sims(weighted: bool, number: str | None = None):
+    """Similarities to facets; of equal ones the smaller facet comes first."""
+
+    def near(x: np.ndarray, ids: np.ndarray, f: dict[str, np.ndarray], key: str, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sims = vectors.unit(x) @ vectors.unit(f[vector]).T if len(x) and len(f[vector]) else np.zeros((len(x), len(f[key])))
+        sims = sims * f["weight"] if weighted else sims
+        return sims[:, ::-1], -np.asarray(f[key], np.int64)[::-1], (f[number] if number else np.zeros(len(f[key])))[::-1]
+
+    return near
+
+
+def topic_scores(items: DataFrame, facets: DataFrame, into: str = "topic_score", vector: str = "vec", key: str = "facet_id", limit: int = vectors.MAX_ROWS) -> DataFrame:
+    """Add the multi-facet cosine to a profile of facets (facet_id, vec, weight): 0.7 of the best and 0.3 of the best three's mean; one facet counts alone."""
+    near = _facet_sims(True)
+    capped = facets.select(key, vector, F.least("weight", F.lit(1.0)).alias("weight"))
+    out = _nearest(items, capped, 3, lambda x, ids, f: near(x, ids, f, key, vector), ("weight",), vector, key, limit, F.lit(0).cast("long"))
+    mean = F.aggregate("_near", F.lit(0.0), lambda a, z: a + z["sim"]) / F.size("_near")
+    best = F.col("_near")[0]["sim"]
+    return out.withColumn(into, F.when(F.size("_near") == 1, best).otherwise(0.7 * best + 0.3 * mean)).drop("_near")
+
+
+def query_aware_scores(items: DataFrame, facets: DataFrame, into: str = "score", vector: str = "vec", key: str = "facet_id", limit: int = vectors.MAX_ROWS) -> DataFrame:
+    """Add the attention-weighted cosine to a profile of facets; sums over blocks of them."""
+    out = items.withColumns({"_top": F.lit(0.0), "_all": F.lit(0.0)})
+    many = facets.count() > limit
+    for block in vectors.blocks(facets, key, vector, limit=limit):
+        rows = vectors.unit(block[vector])
+        weigh = lambda x, r: np.exp(3.0 * (vectors.unit(x) @ r.T))
+        top = vectors.map_vectors(vector, lambda x, r=rows: (weigh(x, r) * (vectors.unit(x) @ r.T)).sum(1) if len(x) else np.zeros(0))
+        every = vectors.map_vectors(vector, lambda x, r=rows: weigh(x, r).sum(1) if len(x) else np.zeros(0))
+        out = out.withColumns({"_top": F.col("_top") + top, "_all": F.col("_all") + every})
+        out = cut(out, "attended") if many else out
+    return out.withColumn(into, F.col("_top") / F.col("_all")).drop("_top", "_all")
+
+
+def facet_attribution(items: DataFrame, facets: DataFrame, vector: str = "vec", key: str = "facet_id", least: float = L.FACET_MIN, margin: float = L.FACET_MARGIN, second: float = L.FACET_SECOND, many: int = L.FACET_SECONDARIES, scale: float = 0.03, limit: int = vectors.MAX_ROWS) -> DataFrame:
+    """Add primary_facet, primary_score, secondaries and priority_bonus.
+
+    The best facet counts from ``least`` on; secondaries lie within ``margin`` of it
+    and above ``second``, so the best ``many`` + 1 facets decide. ``facets`` may have
+    a priority (0.5 where null).
+    """
+    near = _facet_sims(False, "priority")
+    known = facets.select(key, vector, F.coalesce("priority", F.lit(0.5)).alias("priority"))
+    out = _nearest(items, known, many + 1, lambda x, ids, f: near(x, ids, f, key, vector), ("priority",), vector, key, limit, F.lit(0).cast("long"))
+    best = F.col("_near")[0]
+    ok = best["sim"] >= least
+    rest = F.slice(F.filter(F.slice("_near", 2, many), lambda z: (z["sim"] >= best["sim"] - margin) & (z["sim"] >= second)), 1, many)
+    return out.withColumns({"primary_facet": F.when(ok, -best["id"]), "primary_score": best["sim"], "secondaries": F.when(ok, F.transform(rest, lambda z: -z["id"])).otherwise(F.array().cast("array<bigint>")), "priority_bonus": F.when(ok, scale * best["number"]).otherwise(0.0)}).drop("_near")
+
+
+def negative_penalty(items: DataFrame, negatives: DataFrame, topic: str, weight: float = 1.0, margin: float = 0.0, vector: str = "vec", key: str = "facet_id", into: str = "penalty", limit: int = vectors.MAX_ROWS) -> DataFrame:
+    """Add how much the best weighted match with an unwanted interest exceeds the topic score."""
+    near = _facet_sims(True)
+    out = _nearest(items, negatives, 1, lambda x, ids, f: near(x, ids, f, key, vector), ("weight",), vector, key, limit, F.lit(0).cast("long"))
+    best = F.when(F.size("_near") > 0, F.col("_near")[0]["sim"])
+    return out.withColumn(into, F.when(best.isNull(), 0.0).otherwise(weight * F.greatest(F.lit(0.0), best - F.col(topic) - margin))).drop("_near")
+
+
 def preference_scores(items: DataFrame, exemplars: DataFrame, k: int = L.KNN_K, vector: str = "vec", key: str = "item_id", into: str = "preference", limit: int = vectors.MAX_ROWS) -> DataFrame:
     """Add the graded k-nearest-neighbour preference; exemplars have (item_id, vec, grade in -1..1)."""
     out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.graded_sims(x, ids, e[key], e[vector], e["grade"]), ("grade",), vector, key, limit)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
-from tidewheel.functions import explain, quality, scores, text, urls
+from tidewheel.functions import explain, phrases, quality, scores, text, urls
 from tidewheel.operators import candidates, decks, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
 from tidewheel.plans import fixtures as X
 from tidewheel.sources import sinks
@@ -129,15 +129,15 @@ def venue_credit(spark, d):
     return X.items(spark, d).select("item_id", R6(quality.venue_credit(F.col("source"), F.col("section"))).alias("credit"))
 
 
-def _java_to_re2(pattern: str) -> str:
-    return pattern.replace("'", "''")
+def _matches(col: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, {_q(p)})" for p in patterns) + ")"
 
 
 @query(f"""WITH {_LEX}, g AS (SELECT *, trim(title) AS tt, tier IN ('top', 'high', 'strong') AS good, {_any("low", L.COMMENTARY)} AS opinion, (nov >= 0.24 OR {_any("low", L.METHOD_OR_RESULT)}) AS news, {_BODY} AS body FROM lex)
-SELECT item_id, CASE WHEN length(tt) < 15 AND NOT good THEN 'short_title' WHEN regexp_matches(tt, '{_java_to_re2(L.TITLE_BLOCKLIST)}') THEN 'blocked_title' WHEN tt = '' THEN 'empty'
+SELECT item_id, CASE WHEN length(tt) < 15 AND NOT good THEN 'short_title' WHEN {_matches("tt", [phrases.BLOCKED_TITLES])} THEN 'blocked_title' WHEN tt = '' THEN 'empty'
   WHEN section = 'research' AND lower(tt) IN ({", ".join(map(_q, L.SKIP_TITLES))}) THEN 'masthead'
-  WHEN section = 'research' AND regexp_matches(body, '(?im)' || '{_java_to_re2("|".join(L.SKIP_MARKERS))}') THEN 'cover'
-  WHEN section = 'research' AND regexp_matches(tt, '(?im)' || '{_java_to_re2("|".join(L.NON_RESEARCH_TITLES))}') THEN 'not_research'
+  WHEN section = 'research' AND {_matches("body", phrases.FRONT_MATTER)} THEN 'cover'
+  WHEN section = 'research' AND {_matches("tt", phrases.NOT_RESEARCH)} THEN 'not_research'
   WHEN section = 'research' AND opinion AND NOT news THEN 'commentary'
   WHEN section = 'research' AND length(abstract) < 30 AND NOT good THEN 'short_abstract' END AS drop_reason FROM g""")
 def quality_gate(spark, d):
@@ -207,9 +207,20 @@ def url_safe(spark, d):
     return X.table(spark, d, "pages").select("page_id", urls.safe_url(F.col("url")).alias("safe"))
 
 
-@query()
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+
+
+def _plain(html: str) -> str:
+    out = rf"regexp_replace(regexp_replace({html}, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+    for name, char in _ENTITIES:
+        out = f"replace({out}, {_q(name)}, {_q(char)})"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, length({_plain('html')}) AS n_chars, sha256({_plain('html')}) AS text_hash FROM pages")
 def strip_html(spark, d):
-    return X.table(spark, d, "pages").select("page_id", F.length(text.strip_html(F.col("html"))).alias("n_chars"))
+    plain = text.strip_html(F.col("html"))
+    return X.table(spark, d, "pages").select("page_id", plain.alias("plain")).select("page_id", F.length("plain").alias("n_chars"), F.sha2("plain", 256).alias("text_hash"))
 
 
 _KEYS = rf"""{X.ITEMS_SQL}, k AS (SELECT item_id, published_at, trim(regexp_replace(lower(trim(title)), '[^a-z0-9]+', ' ', 'g')) AS key FROM items)"""
@@ -499,19 +510,23 @@ def negative_penalty(spark, d):
     return ranking.negative_penalty(v, X.facets(spark, d), "topic", 0.8, 0.05).select(F.col("item_id").alias("vec_id"), R6("penalty").alias("penalty"))
 
 
-@query(f"WITH {X.VECTORS_SQL} SELECT a.item_id AS vec_id, round(max(list_cosine_similarity(a.vec, b.vec)), 6) AS max_sim FROM v a, v b WHERE a.item_id >= 20 AND b.item_id < 20 GROUP BY 1")
+@query(f"WITH {X.VECTORS_SQL} SELECT a.item_id AS vec_id, round(max(list_cosine_similarity(a.vec, b.vec)), 6) AS max_sim FROM v a, v b WHERE a.item_id NOT IN (SELECT item_id FROM shown) AND b.item_id IN (SELECT item_id FROM shown) GROUP BY 1")
 def near_dup_max(spark, d):
-    v = X.vectors(spark, d)
-    return dedupe.max_similarity(v.where("item_id >= 20"), v.where("item_id < 20")).select(F.col("item_id").alias("vec_id"), R6("max_sim").alias("max_sim"))
+    v, shown = X.vectors(spark, d), X.shown(spark, d)
+    return dedupe.max_similarity(v.join(shown, "item_id", "left_anti"), v.join(shown, "item_id", "left_semi")).select(F.col("item_id").alias("vec_id"), R6("max_sim").alias("max_sim"))
 
 
-@query(f"WITH {X.VECTORS_SQL} SELECT a.item_id AS vec_id FROM v a, v b WHERE a.item_id >= 20 AND b.item_id < 20 GROUP BY 1 HAVING max(list_cosine_similarity(a.vec, b.vec)) < 0.3")
+@query(f"WITH {X.VECTORS_SQL} SELECT a.item_id AS vec_id FROM v a, v b WHERE a.item_id NOT IN (SELECT item_id FROM shown) AND b.item_id IN (SELECT item_id FROM shown) GROUP BY 1 HAVING max(list_cosine_similarity(a.vec, b.vec)) < 0.3")
 def near_dup_exclude(spark, d):
-    v = X.vectors(spark, d)
-    return dedupe.exclude_recent_near_duplicates(v.where("item_id >= 20"), v.where("item_id < 20"), 0.3).select(F.col("item_id").alias("vec_id"))
+    v, shown = X.vectors(spark, d), X.shown(spark, d)
+    return dedupe.exclude_recent_near_duplicates(v.join(shown, "item_id", "left_anti"), v.join(shown, "item_id", "left_semi"), 0.3).select(F.col("item_id").alias("vec_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.VECTORS_SQL}, o AS (SELECT item_id, label, vec, row_number() OVER (PARTITION BY label ORDER BY (item_id * 7919 % 1009) DESC, item_id) AS n FROM v),
+g AS (SELECT item_id, label, n, [vec] AS kept, true AS stays FROM o WHERE n = 1
+  UNION ALL SELECT o.item_id, o.label, o.n, CASE WHEN list_max(list_transform(g.kept, lambda k: list_cosine_similarity(k, o.vec))) < 0.25 THEN list_append(g.kept, o.vec) ELSE g.kept END,
+    list_max(list_transform(g.kept, lambda k: list_cosine_similarity(k, o.vec))) < 0.25 FROM g JOIN o ON o.label = g.label AND o.n = g.n + 1)
+SELECT item_id AS vec_id FROM g WHERE stays""")
 def near_dup_greedy(spark, d):
     v = X.vectors(spark, d).withColumn("section", F.col("label").cast("string")).withColumn("score", (F.col("item_id") * 7919 % 1009) / F.lit(1009.0))
     return dedupe.cap_near_duplicates(v, 0.25).select(F.col("item_id").alias("vec_id"))
@@ -534,8 +549,8 @@ def affinity_topk(spark, d):
 @query(f"""WITH {X.VECTORS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ex_id DESC) - 1 AS r FROM exemplars), f AS (SELECT CASE WHEN grade > 0 THEN 0.08::DOUBLE ELSE -0.04::DOUBLE END * weight * pow(0.995::DOUBLE, r) AS f, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM n)
 SELECT dim::INT AS dim, round(sum(f * x), 6) AS value FROM f GROUP BY 1""")
 def rocchio_vector(spark, d):
-    v = X.exemplars(spark, d).withColumn("value", F.signum("grade")).withColumn("recency", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("item_id"))) - 1)
-    return ranking.rocchio(v).select("dim", R6("value").alias("value"))
+    v = X.exemplars(spark, d).withColumns({"value": F.signum("grade"), "at": F.col("item_id").cast("double")})
+    return ranking.rocchio(ranking.rank_desc(v, "at", "item_id", "recency")).select("dim", R6("value").alias("value"))
 
 
 # ---- selection
@@ -705,16 +720,23 @@ def snapshot_versions(spark, d):
     return sinks.new_snapshots(none, rows).select("item_id", "details_hash")
 
 
-@query("""WITH o AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS t, substr(text, 1, 200) AS a FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 1) || ' more words here' ELSE '' END AS t, substr(text, 1, 250) AS a FROM documents WHERE doc_id % 5 <> 0),
+@query("""WITH w AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS t, substr(text, length(split_part(text, chr(10), 1)) + 2) AS body FROM documents),
+o AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN source || ' (old)' ELSE source END AS source, t, CASE WHEN doc_id % 3 = 0 THEN substr(body, 1, length(body) // 2) ELSE body END AS a FROM w),
+n AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN t || ' more words here' ELSE '' END AS t, CASE WHEN doc_id % 5 = 0 THEN body || ' and a note of one hundred letters that comes with the second delivery of the same item to the store of all items' ELSE body END AS a FROM w),
 j AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.doc_id IS NULL AS fresh, n.doc_id IS NULL AS gone, o.t AS ot, n.t AS nt, o.a AS oa, n.a AS na FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.source = n.source),
 r AS (SELECT *, CASE WHEN gone THEN ot WHEN fresh OR (trim(nt) <> '' AND (trim(ot) = '' OR length(nt) > length(ot) + 5)) THEN nt ELSE ot END AS t, CASE WHEN gone THEN oa WHEN fresh OR length(na) > length(oa) + 80 THEN na ELSE oa END AS a FROM j)
 SELECT doc_id, sha256(t || chr(10) || a) AS text_hash, NOT fresh AND NOT gone AND (t <> ot OR a <> oa) AS changed, fresh AS inserted FROM r""")
 def upsert_enrich(spark, d):
-    docs = X.table(spark, d, "documents")
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    """All documents, stored and delivered again: some under another source, some with half a body before, some with a longer one now."""
+    doc, title = F.col("doc_id"), F.split_part("text", F.lit("\n"), F.lit(1))
+    docs = X.table(spark, d, "documents").select("doc_id", "source", title.alias("t"), F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)").alias("body"))
     rest = [F.lit("").alias("authors"), F.lit("").alias("url"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("summary"), F.lit(0).alias("ord")]
-    old = docs.where("doc_id % 3 <> 0").select("source", F.col("doc_id").alias("external_id"), F.lit("research").alias("section"), first.alias("title"), F.substring("text", 1, 200).alias("abstract"), *rest)
-    new = docs.where("doc_id % 5 <> 0").select("source", F.col("doc_id").alias("external_id"), F.lit("research").alias("section"), F.when(F.col("doc_id") % 2 == 0, F.concat(first, F.lit(" more words here"))).otherwise("").alias("title"), F.substring("text", 1, 250).alias("abstract"), *rest)
+    half = F.when(doc % 3 == 0, F.expr("substring(body, 1, cast(length(body) div 2 as int))")).otherwise(F.col("body"))
+    note = " and a note of one hundred letters that comes with the second delivery of the same item to the store of all items"
+    longer = F.when(doc % 5 == 0, F.concat("body", F.lit(note))).otherwise(F.col("body"))
+    moved = F.when(doc % 7 == 0, F.concat("source", F.lit(" (old)"))).otherwise(F.col("source"))
+    old = docs.select(moved.alias("source"), doc.alias("external_id"), F.lit("research").alias("section"), F.col("t").alias("title"), half.alias("abstract"), *rest)
+    new = docs.select("source", doc.alias("external_id"), F.lit("research").alias("section"), F.when(doc % 2 == 0, F.concat("t", F.lit(" more words here"))).otherwise("").alias("title"), longer.alias("abstract"), *rest)
     out = sinks.upsert_items(old, new)
     return out.select(F.col("external_id").alias("doc_id"), F.sha2(F.concat("title", F.lit("\n"), "abstract"), 256).alias("text_hash"), "changed", "inserted")
 

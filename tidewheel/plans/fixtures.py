@@ -33,7 +33,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(opening, F.when(opening == "", "").otherwise(". "), F.col("text"))
     df = table(spark, sf_dir, "documents").select(d.alias("item_id"), body.alias("text"), "lang", _pick(SOURCES, d).alias("source"), _pick(SECTIONS, F.floor(d / 20)).alias("section"), F.timestamp_seconds(F.lit(1704067200) + (d * 37 % 720) * 3600).alias("published_at"))
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return df.select("*", title.alias("title"), F.substr("text", F.length(title) + F.lit(2), F.lit(4000)).alias("abstract"))
+    return df.select("*", title.alias("title"), F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)").alias("abstract"))
 
 
 def _sql_list(values: list[str]) -> str:
@@ -45,7 +45,7 @@ items0 AS (SELECT doc_id AS item_id, CASE WHEN o = '' THEN text ELSE o || '. ' |
     {_sql_list(SOURCES)}[(doc_id % {len(SOURCES)} + 1)::INT] AS source, {_sql_list(SECTIONS)}[(doc_id // 20 % {len(SECTIONS)} + 1)::INT] AS section,
     make_timestamp((1704067200 + (doc_id * 37 % 720) * 3600) * 1000000) AS published_at
   FROM (SELECT *, {_sql_list(OPENINGS)}[(doc_id // 7 % {len(OPENINGS)} + 1)::INT] AS o FROM documents)),
-items AS (SELECT *, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2, 4000) AS abstract FROM items0)"""
+items AS (SELECT *, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract FROM items0)"""
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +83,23 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some vectors as voted items with grades in -1..1."""
-    grade = (F.col("item_id") % 5 - 2) / F.lit(2.0)
-    return vectors(spark, sf_dir).where("item_id between 10 and 59").select("item_id", "vec", grade.alias("grade"), F.abs(grade).alias("weight")).where("grade <> 0")
+    """Every vector whose item has a vote, graded in -1..1."""
+    grade = (F.col("grade") - 50) / F.lit(50.0)
+    return vectors(spark, sf_dir).join(votes(spark, sf_dir).select("item_id", grade.alias("grade")), "item_id").select("item_id", "vec", "grade", F.abs("grade").alias("weight"))
 
 
-VECTORS_SQL = """
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that were viewed in the last week."""
+    e = table(spark, sf_dir, "events").where((F.col("event_type") == "view") & (F.col("ts") >= as_of() - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") < as_of()))
+    return e.select(F.col("user_id").alias("item_id")).distinct()
+
+
+VECTORS_SQL = f"""
 v AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS vec, label FROM embeddings),
 facets AS (SELECT item_id AS facet_id, vec AS f, 0.6::DOUBLE + item_id * 0.2::DOUBLE AS weight, item_id * 0.2::DOUBLE AS priority FROM v WHERE item_id < 5),
-exemplars AS (SELECT item_id AS ex_id, vec AS e, (item_id % 5 - 2) / 2.0::DOUBLE AS grade, abs((item_id % 5 - 2) / 2.0::DOUBLE) AS weight FROM v WHERE item_id BETWEEN 10 AND 59 AND item_id % 5 <> 2)"""
+exemplars AS (SELECT item_id AS ex_id, vec AS e, (g - 50) / 50.0::DOUBLE AS grade, abs(g - 50) / 50.0::DOUBLE AS weight FROM v
+  JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 10 WHEN quality = 1 THEN 70 ELSE 40 END AS g FROM labels) ON doc_id = item_id),
+shown AS (SELECT DISTINCT user_id AS item_id FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{AS_OF}')"""
 
 
 def slates(spark: SparkSession, sf_dir: str) -> DataFrame:
