@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel import schemas
-from tidewheel.operators import digest, learning, profile
+from tidewheel.operators import digest, learning, profile, ranking
 from tidewheel.plans import fixtures
 
 
@@ -115,3 +115,115 @@ def test_decks_and_payloads(spark):
     assert all(len(d) == 3 for d in days) and not days[0] & days[1]
     got = spark.range(1).select(explain.payload(score=explain.rounded(F.lit(0.00005)), tags=explain.freshness_tags(F.lit(0.3)), more=explain.quality_tags(F.lit("top"), F.lit(0.5), F.lit(0.0), F.lit(False))).alias("p")).first().p
     assert got == '{"score":0.0,"tags":["fresh_signal"],"more":["high_quality_source","promo_risk"]}'
+
+
+def test_item_features_against_plain_numpy(spark):
+    rng = np.random.default_rng(2)
+    x, f, e = rng.normal(size=(12, 4)), rng.normal(size=(3, 4)), rng.normal(size=(9, 4))
+    when = dt.datetime(2024, 1, 20)
+    items = spark.createDataFrame([(i, "Novel method", "first-in-class assay", "nature", "research", None if i == 3 else when + dt.timedelta(days=i), "Ann Lee; Bo", [float(v) for v in x[i]]) for i in range(12)], "item_id long, title string, abstract string, source string, section string, published_at timestamp, authors string, vec array<double>")
+    facets = spark.createDataFrame([(k, [float(v) for v in f[k]], [0.5, 1.0, 2.5][k]) for k in range(3)], "facet_id long, vec array<double>, weight double")
+    signs = [1, -1, 1, 1, -1, 1, 1, -1, 1]
+    voted = spark.createDataFrame([(k, [float(v) for v in e[k]], signs[k], 0.1 * (k + 1)) for k in range(9)], "item_id long, vec array<double>, value int, weight double")
+    rows = learning.item_features(items, facets, voted, F.lit("2024-01-31").cast("timestamp"), ["Ann Lee"]).orderBy("item_id").collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = unit(x) @ unit(f).T * np.minimum([0.5, 1.0, 2.5], 1)
+    for i, r in enumerate(rows):
+        assert r.cosine == pytest.approx(0.7 * sims[i].max() + 0.3 * sims[i].mean())
+        stale = 0.5 if i == 3 else min(1.0, max(0, 11 - i) / 14)
+        assert r.fresh_cosine == pytest.approx(r.cosine * (1 - stale)) and r.author_match == 1.0
+        for sign, name in ((1, "pos_affinity"), (-1, "neg_affinity")):
+            near = sorted((float(unit(x)[i] @ unit(e)[k]) * 0.1 * (k + 1) for k in range(9) if signs[k] == sign and k != i), reverse=True)[:5]
+            assert r[name] == pytest.approx(np.mean(near))
+        assert r.novelty > 0 and r.promotional == 0 and r.access_friction == 0
+
+
+def test_stored_rankers_and_calibrators(spark, tmp_path):
+    rows = spark.createDataFrame([(float(i % 2), float(i % 2) + 0.1 * (i % 5), 1.0) for i in range(40)], "label double, good double, flat double")
+    model = learning.MarginRanker(["good", "flat"]).fit(rows)
+    path = f"file://{tmp_path}/ranker"
+    assert learning.MarginRanker.load(spark, path, ["good", "flat"]) is None
+    model.save(spark, path)
+    again = learning.MarginRanker.load(spark, path, ["good", "flat"])
+    assert [r.margin for r in again.margin(rows).collect()] == [r.margin for r in model.margin(rows).collect()]
+    assert learning.MarginRanker.load(spark, path, ["flat", "good"]) is None and learning.MarginRanker.load(spark, path) is None
+    path = f"file://{tmp_path}/calibrator"
+    assert learning.load_calibrator(spark, path, "v1") is None
+    learning.save_calibrator(spark, path, (2.0, -1.0), "v1")
+    assert learning.load_calibrator(spark, path, "v1") == (2.0, -1.0) and learning.load_calibrator(spark, path, "v2") is None
+
+
+def test_calibrator_against_plain_newton(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(1.5 * x - 0.3)))).astype(int)
+    got = learning.fit_calibrator(spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)], "score double, label int"))
+    w = np.zeros(2)
+    m = np.stack([x, np.ones(200)], 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-m @ w))
+        w -= np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + np.diag([1, 0]), m.T @ (p - y) + [w[0], 0])
+    assert got == pytest.approx(tuple(w), abs=1e-6)
+
+
+def test_learnt_facet(spark):
+    facets = spark.createDataFrame([(4, "a", [1.0, 0.0], 1.0), (7, "b", [0.0, 1.0], 1.0)], "facet_id long, label string, vec array<double>, weight double")
+    vote = lambda k, v, x: (k, v, 1.0, dt.datetime(2024, 1, 1, 0, k), k, x)
+    kind = "item_id long, value int, weight double, created_at timestamp, vote_id long, vec array<double>"
+    few = spark.createDataFrame([vote(0, 1, [1.0, 0.0])], kind)
+    assert ranking.with_learnt_facet(facets, few).count() == 2
+    many = spark.createDataFrame([vote(k, 1 if k % 2 else -1, [float(k % 2), 0.5]) for k in range(30)], kind)
+    row = ranking.with_learnt_facet(facets, many).where("facet_id = 8").first()
+    want = sum((0.08 if k % 2 else -0.04) * 0.995 ** (29 - k) * np.array([k % 2, 0.5]) for k in range(30))
+    assert row.vec == pytest.approx(list(want / np.linalg.norm(want))) and row.weight == pytest.approx(2 * 0.25 / 0.75) and row.label is None
+
+
+def test_brew_with_all_that_may_be_known(spark, sf):
+    reader = profile.Profile(keywords=["crispr"])
+    items = fixtures.items(spark, sf).withColumns({"external_id": F.lit(""), "url": F.lit(""), "fetched_at": F.col("published_at"), "vec": profile.hashed_embedding("text"), "authors": F.when(F.col("item_id") % 9 == 0, "Ann Lee")})
+    votes, facets = fixtures.votes(spark, sf), profile.facets(spark, reader)
+    as_of = fixtures.as_of()
+    plain = digest.brew(items, votes, facets, as_of, digest.Settings(days=20, scoring="cosine"))
+    voted = plain.impressions.orderBy("item_id").collect()
+    chips = items.select("item_id", F.array(F.lit("promotional")).alias("reasons"))
+    known = digest.Inputs(chips=chips, negatives=facets.limit(1), pins=items.limit(3).select("item_id", F.lit("d0").alias("pinned_digest_id")), deadlines=items.select("item_id", F.lit("2024-02-03").cast("date").alias("deadline")))
+    late = digest.brew(items, votes, facets, as_of, digest.Settings(days=20, scoring="cosine", watched=["Ann Lee"], gap_days=10, digest_id="d1"), known)
+    assert late.slate.count() > 0
+    scored = {r.item_id: r.score for r in late.impressions.collect()}
+    before = {r.item_id: r.score for r in voted}
+    both = scored.keys() & before.keys()
+    moved = {i for i in both if abs(scored[i] - before[i]) > 1e-6}
+    assert moved & {i for i in both if i % 9 == 0 and i not in (0, 1, 2)}
+    # a missing ranker falls back to the base score; a fitted one is fused with it
+    alone = digest.brew(items, votes, facets, as_of, digest.Settings(days=20, scoring="hybrid_lr"))
+    assert {r.item_id: r.score for r in alone.impressions.collect()} == pytest.approx(before)
+    ranker = learning.MarginRanker(learning.FEATURES)
+    ranker.weights, ranker.mean, ranker.scale = [1.0] * 8, [0.0] * 8, [1.0] * 8
+    fused = digest.brew(items, votes, facets, as_of, digest.Settings(days=20, scoring="hybrid_lr"), digest.Inputs(ranker=ranker))
+    assert {r.item_id: r.score for r in fused.impressions.collect()} != pytest.approx(before)
+
+
+def test_appended_versions(spark, tmp_path):
+    from tidewheel.sources import sinks
+
+    table = sinks.VersionedTable(spark, f"file://{tmp_path}/log")
+    for k in range(3):
+        table.append(spark.createDataFrame([(k,)], "k int"))
+    assert sorted(r.k for r in table.read().collect()) == [0, 1, 2] and table.version()[0] == 3
+    assert len(list((tmp_path / "log").glob("v-*"))) == 3
+    table.write(spark.createDataFrame([(9,)], "k int"))
+    assert [r.k for r in table.read().collect()] == [9]
+
+
+def test_phrase_gates():
+    import re
+
+    from tidewheel.functions import phrases
+
+    says = lambda patterns, t: any(re.search(p, t) for p in patterns)
+    for t in ["Author Correction: a thing", "  Erratum", "News & Views on rice", "news&views", "Research highlights of May", "A round-up: News roundup", "How to write a killer CV", "Work–life in the lab", "Fraud charges dropped", "This week in physics", "How do I cite?"]:
+        assert says(phrases.NOT_RESEARCH, t), t
+    for t in ["Corrections of optics", "Editorially curated atlas of cells", "How to write a parser", "A podcasting study", "Retractions rise", "Networked life of work"]:
+        assert not says(phrases.NOT_RESEARCH, t), t
+    assert says([phrases.BLOCKED_TITLES], "Volume 3 of it") and says([phrases.BLOCKED_TITLES], "sponsored: x") and not says([phrases.BLOCKED_TITLES], "Volume control") and not says([phrases.BLOCKED_TITLES], "The editorial")
+    assert says(phrases.FRONT_MATTER, "a\nIssue  Editorial Masthead \nb") and says(phrases.FRONT_MATTER, "see the front cover") and not says(phrases.FRONT_MATTER, "Issue editorial masthead of 1990")

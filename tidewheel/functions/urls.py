@@ -11,6 +11,13 @@ CLICK_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid"]
 #: Fixed value: journal issue suffix of a title.
 ISSUE_SUFFIX = r"(?i)\s*\((?:adv\.?\s*mater\.?|small|angew\.?\s*chem\.?|chem\.?\s*sci\.?|jacs|acs\s*nano|nano\s*lett\.?|science|nature)[^)]*\b\d{1,3}/\d{4}\)$"
 
+#: The formats of identifiers.
+DOI_URL, DOI_LABEL = r"(?i)^https?://(?:dx\.)?doi\.org/", r"(?i)^doi:\s*"
+DOI_NATURE, DOI_SCIENCE = r"(?i)nature\.com/articles/([a-z0-9]+-[0-9]+-[0-9]+-[\da-z]+)", r"(?i)science\.org/doi/(10\.[0-9]{4,}/\S+)"
+DOI, DOI_IN_URL = r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)\b", r"(?i)(10\.\d{4,9}/[^\s?#]+)"
+PMID_URL = r"(?i)pubmed\.ncbi\.nlm\.nih\.gov/(\d+)"
+ARXIV = r"(?i)(?:arxiv:)?((?:\d{4}\.\d{4,5})|(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}))(?:v\d+)?"
+
 _HEAD = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?"
 
 
@@ -58,24 +65,24 @@ def normalized_url(url: Column) -> Column:
 
 def canonical_doi(raw: Column) -> Column:
     """Bare lower-case DOI."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)^https?://(?:dx\.)?doi\.org/", ""), r"(?i)^doi:\s*", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(raw), DOI_URL, ""), DOI_LABEL, ""))
 
 
 def extract_doi(value: Column) -> Column:
     """The first DOI of an identifier or URL, publisher article paths included; else null."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)), r"(?i)^https?://(?:dx\.)?doi\.org/", ""), r"(?i)^doi:\s*", "")
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)), DOI_URL, ""), DOI_LABEL, "")
     some = lambda c: F.nullif(F.lower(c), F.lit(""))
     tail = lambda c: F.regexp_replace(c, r"[.),;:]+$", "")
-    nature = some(F.regexp_extract(text, r"(?i)nature\.com/articles/([a-z0-9]+-[0-9]+-[0-9]+-[\da-z]+)", 1))
-    science = some(tail(F.regexp_extract(text, r"(?i)science\.org/doi/(10\.[0-9]{4,}/\S+)", 1)))
-    plain = some(tail(F.regexp_extract(text, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)\b", 1)))
+    nature = some(F.regexp_extract(text, DOI_NATURE, 1))
+    science = some(tail(F.regexp_extract(text, DOI_SCIENCE, 1)))
+    plain = some(tail(F.regexp_extract(text, DOI, 1)))
     bare = F.when(F.lower(text).startswith("10.") & F.contains(text, F.lit("/")), some(tail(text)))
     return F.coalesce(F.concat(F.lit("10.1038/"), nature), science, plain, bare)
 
 
 def extract_pmid(url: Column, external_id: Column, source: Column) -> Column:
     """PubMed id from the URL, or a numeric external id of a PubMed source; else null."""
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"(?i)pubmed\.ncbi\.nlm\.nih\.gov/(\d+)", 1), F.lit("")), F.when(F.contains(F.lower(source), F.lit("pubmed")) & external_id.rlike(r"^\d+$"), external_id))
+    return F.coalesce(F.nullif(F.regexp_extract(url, PMID_URL, 1), F.lit("")), F.when(F.contains(F.lower(source), F.lit("pubmed")) & external_id.rlike(r"^\d+$"), external_id))
 
 
 def extract_arxiv(url: Column, external_id: Column, source: Column, legacy: bool = False) -> Column:
@@ -84,8 +91,7 @@ def extract_arxiv(url: Column, external_id: Column, source: Column, legacy: bool
     ``legacy`` applies the pattern to any URL, as older keys did; it makes different
     PubMed records share a key, so it is off by default.
     """
-    shape = r"(?i)(?:arxiv:)?((?:\d{4}\.\d{4,5})|(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}))(?:v\d+)?"
-    one = lambda c: F.nullif(F.lower(F.regexp_extract(c, shape, 1)), F.lit(""))
+    one = lambda c: F.nullif(F.lower(F.regexp_extract(c, ARXIV, 1)), F.lit(""))
     on_host = url.rlike(r"(?i)^https?://([^/]*\.)?arxiv\.org/")
     last = F.when(on_host, F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]*)$", 1)).otherwise(url)
     found = one(last) if legacy else F.when(on_host, one(last))
@@ -94,7 +100,7 @@ def extract_arxiv(url: Column, external_id: Column, source: Column, legacy: bool
 
 def derive_doi(url: Column, external_id: Column) -> Column:
     """DOI for enrichment: from the URL, else from the external id."""
-    one = lambda c: F.nullif(F.lower(F.regexp_replace(F.regexp_extract(c, r"(?i)(10\.\d{4,9}/[^\s?#]+)", 1), r"[.,;)/]+$", "")), F.lit(""))
+    one = lambda c: F.nullif(F.lower(F.regexp_replace(F.regexp_extract(c, DOI_IN_URL, 1), r"[.,;)/]+$", "")), F.lit(""))
     return F.coalesce(one(url), one(external_id))
 
 

@@ -174,10 +174,31 @@ def rocchio(votes: DataFrame, vector: str = "vec", up: float = L.ROCCHIO_UP, dow
     return votes.select(factor.alias("f"), F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.sum(F.col("f") * F.col("x")).alias("value"))
 
 
-def rocchio_weight(votes: int) -> float:
-    """Weight of the learnt facet beside the static ones; 0 while votes are few."""
+def rocchio_weight(votes: int, facets: int = 1) -> float:
+    """Weight of the learnt facet beside so many static ones; 0 while votes are few."""
     share = min(0.25, votes / 60)
-    return 0.0 if share < 0.02 else share / (1 - share)
+    return 0.0 if share < 0.02 else facets * share / (1 - share)
+
+
+def with_learnt_facet(facets: DataFrame, voted: DataFrame, key: str = "facet_id", vector: str = "vec") -> DataFrame:
+    """The profile (facet_id, vec, weight) and behind it the direction that votes point in, of unit length.
+
+    ``voted`` has (value, weight, created_at, vote_id, vec). Without enough votes, or
+    where they cancel out, the profile stays as it is.
+    """
+    n, many = voted.count(), facets.count()
+    weight = rocchio_weight(n, many)
+    if not weight:
+        return facets
+    aged = rank_desc(voted.withColumn("_at", F.unix_micros("created_at").cast("double")), "_at", "vote_id", "recency")
+    found = {r["dim"]: r["value"] for r in rocchio(aged, vector).collect()}  # a row per dimension
+    x = np.array([found[d] for d in sorted(found)])
+    length = float(np.linalg.norm(x))
+    if length < 1e-6:
+        return facets
+    top = facets.agg(F.max(key)).first()[0]
+    row = facets.sparkSession.createDataFrame([(int(top) + 1, [float(v) for v in x / length], weight)], f"{key} long, {vector} array<double>, weight double")
+    return facets.unionByName(row, allowMissingColumns=True)
 
 
 def scoring_mode(mode: str, signed_votes: int) -> str:

@@ -772,6 +772,18 @@ def margin_ranking(spark, d):
     return model.margin(X.scored_items(spark, d).select("item_id", "score", "base"))
 
 
+@query(f"""WITH {_LEX}, {X.VOTES_SQL} SELECT item_id, round(nov, 6) AS novelty, round(promo, 6) AS promotional, round(least(0.35::DOUBLE, walls * 0.14::DOUBLE), 6) AS access_friction,
+  round(0.5::DOUBLE * greatest(0, 1 - least(1, greatest(0, (epoch_us(TIMESTAMP '{X.AS_OF}') - epoch_us(published_at)) / 86400e6::DOUBLE) / 14)), 6) AS fresh FROM lex""")
+def ranker_features(spark, d):
+    """The ranker's features over all items, with one vector for all so that SQL can say the rest."""
+    same = F.array(F.lit(1.0), F.lit(0.0))
+    items = X.items(spark, d).withColumn("vec", same)
+    one = spark.createDataFrame([(0, [0.5, 0.75**0.5], 1.0)], "facet_id long, vec array<double>, weight double")
+    none = spark.createDataFrame([], "item_id long, vec array<double>, value int, weight double")
+    found = learning.item_features(items, one, none, X.as_of())
+    return found.select("item_id", R6("novelty").alias("novelty"), R6("promotional").alias("promotional"), R6("access_friction").alias("access_friction"), R6("fresh_cosine").alias("fresh"))
+
+
 @query()
 def calibrator_fit(spark, d):
     fitted = learning.fit_calibrator(_vote_features(spark, d).select("score", (F.col("value") > 0).cast("int").alias("label")))

@@ -32,17 +32,25 @@ class VersionedTable:
         return (row.n, row.folder) if row else None
 
     def read(self) -> DataFrame | None:
-        """The current version, or None."""
+        """The current version, or None; a version is one folder, or several that were appended one by one."""
         now = self.version()
-        return self.spark.read.parquet(f"{self.path}/{now[1]}") if now else None
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in now[1].split(",")]) if now else None
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows as a folder of their own: what is there stays as it is, and only the pointer's list grows."""
+        self._put(df, keep=True)
 
     def write(self, df: DataFrame, partition: list[str] | None = None) -> None:
         """Make ``df`` the current version; a crash before the last step leaves the old one current."""
+        self._put(df, partition)
+
+    def _put(self, df: DataFrame, partition: list[str] | None = None, keep: bool = False) -> None:
         now = self.version()
         folder = f"v-{uuid.uuid4().hex}"
         out = df.write.partitionBy(*partition) if partition else df.write
         out.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([((now[0] if now else 0) + 1, folder)], "n long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+        named = f"{now[1]},{folder}" if keep and now else folder
+        self.spark.createDataFrame([((now[0] if now else 0) + 1, named)], "n long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
 
 
 def _words(c: Column) -> Column:
@@ -108,8 +116,7 @@ def publish(tables: dict[str, VersionedTable], digest_id: str, slate: DataFrame,
     clean = label_slate(slate)
     kept = features.join(clean.select("item_id"), "item_id", "left_semi")
     tables["features"].write(replace_digest(tables["features"].read(), kept.select(features.columns), digest_id))
-    old = tables["impressions"].read()
-    tables["impressions"].write(impressions if old is None else old.unionByName(impressions))
+    tables["impressions"].append(impressions)
     if audits is not None and "audits" in tables:
         old = tables["audits"].read()
         tables["audits"].write(audits if old is None else old.join(audits.select("digest_id", "audit_type"), ["digest_id", "audit_type"], "left_anti").unionByName(audits))
