@@ -177,8 +177,8 @@ def with_target_scores(docs: DataFrame, targets: DataFrame, block: int = BLOCK_G
     share alone. Other columns pass; one named ``lm`` is replaced.
     """
     marks = targets.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    # a table of known size: while the ids are few Spark shares them and texts stay where they are, beyond that it sorts and merges
-    marked = docs.select("doc_id", "text").join(cut(marks, "marks"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
+    # one plan at every size: sort-merge, whose disk use follows the input; sharing the ids while they are few would give way to it later
+    marked = docs.select("doc_id", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
     table = cut(loss_table(count(marked)), "losses")
     first = np.zeros((2, 256))
     for r in table.where("gram < 256").select("gram", "first_background", "first_target").collect():
