@@ -11,6 +11,7 @@ from tidewheel import lexicons as L
 from tidewheel.functions import explain, phrases, quality, scores, text, urls
 from tidewheel.operators import candidates, decks, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
 from tidewheel.plans import fixtures as X
+from tidewheel.scratch import cut
 from tidewheel.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,7 +708,9 @@ gs AS (SELECT src, greatest(0, least(0.12::DOUBLE, sum(a * 0.35::DOUBLE)) - sum(
 f AS (SELECT l.item_id, coalesce(e.penalty, least(0.3::DOUBLE, coalesce(gs.x, 0) + coalesce(gb.x, 0) + coalesce(gc.x, 0))) AS penalty FROM lex l LEFT JOIN exact e USING (item_id) LEFT JOIN gs ON gs.src = l.src LEFT JOIN gb ON gb.bucket = l.bucket LEFT JOIN gc ON gc.ctype = l.ctype)
 SELECT item_id, round(penalty, 6) AS penalty FROM f WHERE penalty > 0""")
 def reason_penalty(spark, d):
-    items, votes, chips = X.scored_items(spark, d).select("item_id", "source", "bucket", "content", "published_at"), X.votes(spark, d), _chips(spark, d)
+    # read three times below; texts are scored once
+    items = cut(X.scored_items(spark, d).select("item_id", "source", "bucket", "content", "published_at"), "classified")
+    votes, chips = X.votes(spark, d), _chips(spark, d)
     exact, general = feedback.exact_penalties(chips, votes), feedback.general_penalties(chips, votes, items, X.as_of())
     return feedback.item_penalties(items, exact, general).select("item_id", R6("penalty").alias("penalty"))
 
