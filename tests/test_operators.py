@@ -288,3 +288,59 @@ def test_preference_over_exemplars_in_blocks(spark, rows, limits):
     want = vectors.affinity(x, np.arange(25), ids, y, np.array([r.weight for r in all_]))
     got = ranking.affinities(items, e, "near", **limits).orderBy("item_id").collect()
     assert [r.near for r in got] == pytest.approx(want.tolist())
+
+
+def test_event_pages(spark):
+    rows = [
+        ("Talk Date: 17 - 25 Aug 2026 Location: Hybrid, Rome Deadline(s): Abstract: Closed Registration: 25 Jul 2026.",),
+        ("Course Date: 30 Aug to 2 September 2026 Location: online Deadline: closed",),
+        ("Date: Aug 3 2026",),
+        ("Nothing is dated here",),
+        (None,),
+    ]
+    got = [r.e for r in spark.createDataFrame(rows, "t string").select(feeds.event_details(F.col("t")).alias("e")).collect()]
+    day = dt.date
+    assert [(e.start, e.end, e.deadline, e.status, e.format) for e in got] == [
+        (day(2026, 8, 17), day(2026, 8, 25), day(2026, 7, 25), "open", "hybrid"),
+        (day(2026, 8, 30), day(2026, 9, 2), None, "closed", "online"),
+        (day(2026, 8, 3), day(2026, 8, 3), None, "unknown", None),
+        (None, None, None, "unknown", None),
+        (None, None, None, "unknown", None),
+    ]
+
+
+def test_upkeep_frees_items_of_old_digests(spark):
+    from tidewheel.operators import upkeep
+
+    old, new = dt.datetime(2020, 1, 1), dt.datetime(2024, 1, 1)
+    tables = {
+        "digests": spark.createDataFrame([("a", old), ("b", new), ("c", None)], "digest_id string, created_at timestamp"),
+        "digest_items": spark.createDataFrame([("a", 1), ("b", 2)], "digest_id string, item_id long"),
+        "items": spark.createDataFrame([(1, old), (2, old), (3, old), (4, new), (5, None)], "item_id long, fetched_at timestamp"),
+        "votes": spark.createDataFrame([(3,), (None,)], "item_id long"),
+        "reasons": spark.createDataFrame([(1,), (3,)], "item_id long"),
+    }
+    kept, counts = upkeep.maintain(tables, F.lit("2022-01-01").cast("timestamp"))
+    assert {r.step: r.removed for r in counts.collect()} == {"digests": 1, "items": 1, "reasons": 1}
+    assert sorted(r.item_id for r in kept["items"].collect()) == [2, 3, 4, 5]
+    assert [r.digest_id for r in kept["digest_items"].collect()] == ["b"]
+
+
+def test_enrichment_ages_and_flags(spark):
+    now = F.lit("2024-01-31").cast("timestamp")
+    items = spark.createDataFrame([(1, 0.5, None), (2, 0.5, None), (3, 0.5, None)], "item_id long, score double, published_at timestamp")
+    known = spark.createDataFrame([(1, 0, 0.5, dt.datetime(2024, 1, 30)), (1, 9, 9.0, dt.datetime(2024, 1, 20)), (2, 99, 9.0, dt.datetime(2024, 1, 1))], "item_id long, cited_by_count int, venue_impact double, fetched_at timestamp")
+    got = {r.item_id: r for r in ranking.enrich(items, known, now).collect()}
+    assert got[1].score < 0.5 and got[1].venue_low_impact
+    assert (got[2].score, got[2].venue_low_impact, got[3].score) == (0.5, False, 0.5)
+
+
+def test_nothing_was_missed_in_a_short_gap(spark):
+    from tidewheel.operators import summaries
+
+    slate = spark.createDataFrame([("d", 1, 1, "T", None)], "digest_id string, item_id long, position int, title string, source string")
+    assert summaries.briefing(slate, 2).count() == 0
+    assert summaries.briefing(slate, 3).first().listing == "- T ()"
+    digests = spark.createDataFrame([("d", None), ("e", None)], "digest_id string, sent_at timestamp")
+    sent = summaries.mark_sent(digests, "d", F.lit("2024-01-31").cast("timestamp"))
+    assert summaries.was_sent(sent, "d") and not summaries.was_sent(sent, "e") and not summaries.was_sent(sent, "f")

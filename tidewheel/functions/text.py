@@ -160,7 +160,7 @@ def summary_field(text: Column, label: str) -> Column:
 def calendar_escape(text: Column) -> Column:
     """Text for a calendar file."""
     out = text
-    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\r", "\\n"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

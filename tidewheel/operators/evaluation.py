@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators import feedback, ranking
+from tidewheel.operators.latest import chronological_split
 from tidewheel.operators.ranking import value_range
+from tidewheel.scratch import cut
 
 
 def ranked(slates: DataFrame) -> DataFrame:
@@ -90,3 +93,35 @@ def macro(slates: DataFrame, ks: tuple[int, ...] = (10,)) -> DataFrame:
     means = each.agg(F.count("*").alias("digests"), F.avg("ap").alias("ap"), F.avg(accuracy).alias("accuracy"), *ndcgs, *[F.avg(f"precision_{k}").alias(f"precision_{k}") for k in ks])
     rows = F.array(*[F.struct(F.lit(k).alias("k"), "digests", F.col(f"ndcg_{k}").alias("ndcg"), F.col(f"precision_{k}").alias("precision"), "ap", "accuracy") for k in ks])
     return means.select(F.inline(rows))
+
+
+def head(scored: DataFrame, k: int = 10) -> DataFrame:
+    """One row (ndcg, precision) for the first k of one list by score; the ideal order is that of all labels."""
+    first = scored.orderBy(F.desc("score"), "item_id").limit(k).select((F.col("label") > 0).cast("double").alias("rel"), "score", "item_id")
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "item_id"))  # k rows
+    sums = first.withColumn("at", place).agg(F.sum(F.col("rel") / F.log2(F.col("at") + 1.0)).alias("dcg"), F.avg("rel").alias("precision"))
+    n = scored.agg(F.count_if(F.col("label") > 0).alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1))), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
+    return sums.join(n).select(F.when(F.col("n") > 0, F.col("dcg") / ideal).alias("ndcg"), "precision")
+
+
+def held_out(items: DataFrame, votes: DataFrame, facets: DataFrame, fraction: float = 0.75, k: int = 10) -> DataFrame:
+    """What ranking by topic alone and fused with preference is worth on later votes: ranking, n_train, n_test, accuracy, ndcg, precision.
+
+    Latest signed votes are split by time; preference comes from the earlier ones
+    only, and only items voted on later are ranked, so nothing leaks. ``items`` has
+    (item_id, vec); items without a signed vote take no part.
+    """
+    voted = feedback.exemplars(votes, items)
+    parts = cut(chronological_split(voted, "created_at", "vote_id", fraction), "split")
+    train = parts.where("is_train").select("item_id", "vec", "grade")
+    test = parts.where("not is_train").select("item_id", "vec", F.col("value").alias("label"))
+    scored = ranking.preference_scores(ranking.topic_scores(test, facets), train)
+    scored = cut(ranking.rrf(cut(scored.drop("vec"), "signals"), "topic_score", "preference", "item_id"), "fused")
+    sizes = parts.agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"))
+    out = None
+    for name, column in (("topic", "topic_score"), ("fused", "fused")):
+        one = scored.select("item_id", "label", F.col(column).alias("score"))
+        row = sizes.join(score_pairwise_accuracy(one)).join(head(one, k)).select(F.lit(name).alias("ranking"), "n_train", "n_test", "accuracy", "ndcg", "precision")
+        out = row if out is None else out.unionByName(row)
+    return out

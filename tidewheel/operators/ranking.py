@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
-from tidewheel.functions import vectors
+from tidewheel.functions import scores, urls, vectors
 from tidewheel.scratch import cut
 
 
@@ -216,3 +216,24 @@ def cut_scores(score: Column, *penalties: Column) -> Column:
 def enriched_score(score: Column, velocity: Column, venue: Column, weight: float = 0.10) -> Column:
     """A score with citation velocity and venue quality, where known."""
     return score + 0.12 * F.coalesce(velocity, F.lit(0.0)) + weight * (F.coalesce(venue, F.lit(0.5)) - 0.5)
+
+
+def to_enrich(items: DataFrame, known: DataFrame, as_of: Column) -> DataFrame:
+    """DOIs (doi) of items (item_id, url, external_id) without a fresh row of ``known``: what is still to be looked up."""
+    named = items.withColumn("doi", urls.derive_doi(F.col("url"), F.col("external_id"))).where("doi is not null")
+    return named.join(fresh_enrichment(known, as_of).select("item_id"), "item_id", "left_anti").select("doi").distinct()
+
+
+def fresh_enrichment(known: DataFrame, as_of: Column, days: int = L.ENRICHMENT_DAYS) -> DataFrame:
+    """Rows of ``known`` (item_id, cited_by_count, venue_impact, fetched_at) that are not over-aged; an unknown age counts as fresh."""
+    return known.where(F.col("fetched_at").isNull() | (F.col("fetched_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")))
+
+
+def enrich(items: DataFrame, known: DataFrame, as_of: Column, score: str = "score", weight: float = L.VENUE_WEIGHT) -> DataFrame:
+    """Adjust a score by citation velocity and venue quality, and add ``venue_low_impact``; items without a fresh row stay as they are."""
+    fresh = fresh_enrichment(known, as_of).groupBy("item_id").agg(F.max_by(F.struct("cited_by_count", "venue_impact"), F.struct("fetched_at")).alias("_facts"))
+    out = items.join(fresh, "item_id", "left")
+    age = F.when(F.col("published_at").isNotNull(), scores.age_days(F.col("published_at"), as_of))
+    velocity = F.when(F.col("_facts").isNotNull(), scores.citation_velocity(F.col("_facts.cited_by_count"), age))
+    venue = scores.venue_quality(F.col("_facts.venue_impact"))
+    return out.withColumns({score: enriched_score(F.col(score), velocity, venue, weight), "venue_low_impact": F.coalesce(venue < L.LOW_VENUE, F.lit(False))}).drop("_facts")

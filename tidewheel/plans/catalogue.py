@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
 from tidewheel.functions import explain, phrases, quality, scores, text, urls
 from tidewheel.operators import candidates, decks, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
 from tidewheel.plans import fixtures as X
+from tidewheel.plans.registry import ORACLE_SQL, query
 from tidewheel.scratch import cut
 from tidewheel.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 R6 = lambda c: F.round(c, 6)
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -52,7 +52,7 @@ def constraints(text: str) -> ReaderConstraints:
     """The reader's constraints on opportunities; texts are stripped, empty entries go."""
     p = parse(text)
     listed = lambda key: [str(x).strip() for x in p.get(key, []) or [] if str(x).strip()]
-    return ReaderConstraints(listed("opportunity_types"), listed("event_types"), listed("event_formats"), listed("event_regions"), str(p.get("country", "")).strip(), str(p.get("institution_type", "")).strip(), int(p.get("minimum_lead_days", 0)))
+    return ReaderConstraints(listed("opportunity_types"), listed("event_types"), listed("event_formats"), listed("event_regions"), str(p.get("country", "")).strip(), str(p.get("institution_type", "")).strip(), int(p.get("minimum_lead_days", 0)), str(p.get("career_stage", "")).strip(), str(p.get("applicant_role", "")).strip())
 
 
 def scoring_enabled(caps: dict[str, int], section: str) -> bool:

@@ -30,7 +30,7 @@ def _time(c: Column) -> Column:
 
 def date_of(c: Column) -> Column:
     """Tolerant date: day, month or year, ISO or US style; else null."""
-    tries = [F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in ("yyyy-MM-dd", "yyyyMMdd", "yyyy-MM", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy")]
+    tries = [F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in ("yyyy-MM-dd", "yyyyMMdd", "yyyy-MM", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy")]
     return F.coalesce(F.to_date(F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd"))), *tries)
 
 
@@ -145,27 +145,62 @@ def grants(payloads: DataFrame, today: Column, horizon: int = 180, most: int = 6
     return rows.select(*made, details.alias("details"))
 
 
-#: Words that tell the kind of an event.
-EVENT_KINDS = {"conference": "conference", "symposium": "symposium", "workshop": "workshop", "course": "course", "webinar": "webinar", "school": "course", "meeting": "conference"}
+#: The kinds of an event, by the first word found; the labels of an event page; how a place tells the format.
+EVENT_KINDS = ["conference", "workshop", "course", "symposium", "webinar", "lecture", "seminar"]
+EVENT_LABELS = ["date", "location", "deadline(s)", "deadline", "organisers"]
+EVENT_FORMATS = ["online", "hybrid"]
 
+_DAY = r"(?i)\b(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\s+[a-z]{3,9}\s+\d{4}|[a-z]{3,9}\s+\d{1,2},?\s+\d{4})\b"
 
-def labelled_field(body: Column, label: str) -> Column:
-    """What follows ``label:`` on a line; null if nothing does."""
-    return F.nullif(F.trim(F.regexp_extract(body, rf"(?im)\b{label}\s*:\s*([^\n;|]+)", 1)), F.lit(""))
+
+def labelled_parts(body: Column, *labels: str) -> Column:
+    """What follows each ``label:`` up to the next label of an event page, in the page's order."""
+    one_of = "|".join(label.replace("(", r"\(").replace(")", r"\)") for label in EVENT_LABELS)
+    parts = F.split(body, rf"(?i)(?<!\w)(?=(?:{one_of})\s*:)")
+    name = lambda part: F.trim(F.lower(F.substring_index(part, ":", 1)))
+    rest = lambda part: F.regexp_replace(F.regexp_replace(part, r"^[^:]*:", ""), r"^[\s.;|]+|[\s.;|]+$", "")
+    return F.transform(F.filter(parts, lambda part: F.contains(part, F.lit(":")) & name(part).isin(list(labels))), rest)
+
+
+def days_in(value: Column) -> Column:
+    """All dates that a text spells out, in its order."""
+    return F.array_compact(F.transform(F.regexp_extract_all(value, F.lit(_DAY), F.lit(1)), lambda d: date_of(F.regexp_replace(d, r"\s+", " "))))
+
+
+def date_range(value: Column) -> Column:
+    """struct(start, end) of a text such as ``17 - 25 Aug 2026``: the end is the last whole date.
+
+    The start is the first whole date, or a day (and month) in front of the only
+    one, which takes the end's month and year; a single date is both.
+    """
+    days = days_in(value)
+    end = F.try_element_at(days, F.lit(-1))
+    lead = F.regexp_extract(value, rf"(?i)^(.*?)\s*(?:-|–|\bto\b|\buntil\b)\s*{_DAY[4:]}", 1)
+    day, month = F.regexp_extract(lead, r"(\d{1,2})", 1), F.regexp_extract(lead, r"(?i)([a-z]{3,9})", 1)
+    first = date_of(F.concat_ws(" ", day, F.coalesce(F.nullif(month, F.lit("")), F.date_format(end, "MMM")), F.year(end).cast("string")))
+    start = F.when(F.size(days) > 1, F.try_element_at(days, F.lit(1))).when(day != "", F.coalesce(first, end)).otherwise(end)
+    return F.struct(start.alias("start"), end.alias("end"))
 
 
 def event_details(body: Column) -> Column:
-    """struct(deadline, status, event_type, format, location) of an event's text; the latest deadline counts, and it is closed only without any."""
-    dates = F.regexp_extract_all(body, F.lit(r"(?i)(?:deadline|closes?|due)[^\n]{0,40}?(\d{1,2} [A-Z][a-z]+ \d{4}|[A-Z][a-z]+ \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2})"), F.lit(1))
-    due = F.array_max(F.transform(dates, date_of))
-    low = F.lower(body)
-    kind = F.lit("event")
-    for word, name in reversed(EVENT_KINDS.items()):
-        kind = F.when(F.contains(low, F.lit(word)), name).otherwise(kind)
-    place = labelled_field(body, "location")
-    online = F.contains(F.lower(F.coalesce(place, F.lit(""))), F.lit("online")) | F.contains(F.lower(F.coalesce(place, F.lit(""))), F.lit("virtual"))
-    status = F.when(due.isNotNull(), "open").when(F.contains(low, F.lit("closed")), "closed").otherwise("unknown")
-    return F.struct(due.alias("deadline"), status.alias("status"), kind.alias("event_type"), F.when(place.isNull(), F.lit(None).cast("string")).when(online, "online").otherwise("in_person").alias("format"), place.alias("location"))
+    """struct(start, end, deadline, status, event_type, format, location) of an event page's text.
+
+    The latest date under a deadline label counts, as it is the last chance to take
+    part; an event is closed only where such a label tells so and no date is there.
+    A kind that no word tells is empty; a format without a place is null.
+    """
+    when = F.try_element_at(labelled_parts(body, "date"), F.lit(1))
+    place = F.nullif(F.try_element_at(labelled_parts(body, "location"), F.lit(1)), F.lit(""))
+    chances = F.array_join(labelled_parts(body, "deadline", "deadline(s)"), " ")
+    due = F.array_max(days_in(chances))
+    status = F.when(due.isNotNull(), "open").when(chances.rlike(r"(?i)\bclosed\b"), "closed").otherwise("unknown")
+    kind, form = F.lit(""), F.when(place.isNotNull(), "in_person")
+    for word in reversed(EVENT_KINDS):
+        kind = F.when(F.contains(F.lower(body), F.lit(word)), word).otherwise(kind)
+    for word in reversed(EVENT_FORMATS):
+        form = F.when(F.contains(F.lower(place), F.lit(word)), word).otherwise(form)
+    held = date_range(when)
+    return F.struct(held["start"].alias("start"), held["end"].alias("end"), due.alias("deadline"), status.alias("status"), kind.alias("event_type"), form.alias("format"), place.alias("location"))
 
 
 def events(payloads: DataFrame) -> DataFrame:
@@ -173,6 +208,12 @@ def events(payloads: DataFrame) -> DataFrame:
     return rss(payloads).withColumn("details", event_details(F.concat_ws("\n", "title", "abstract")))
 
 
+def upcoming(items: DataFrame, today: Column, horizon: int = 365) -> DataFrame:
+    """Events with ``details`` that can still be joined: dated, not closed, not past, within the horizon, deadline not over."""
+    e = F.col("details")
+    return items.where((e["status"] != "closed") & e["start"].between(today, F.date_add(today, horizon)) & (e["deadline"].isNull() | (e["deadline"] >= today)))
+
+
 PARSERS = {"rss": rss, "arxiv": arxiv, "biorxiv": preprints, "openalex": openalex, "openalex_venues": openalex, "openalex_authors": openalex, "pubmed": pubmed, "fda": fda, "clinicaltrials": trials, "grants_gov": grants, "events_rss": events}
 
 
