@@ -194,6 +194,13 @@ def test_brew_with_all_that_may_be_known(spark, sf):
     both = scored.keys() & before.keys()
     moved = {i for i in both if abs(scored[i] - before[i]) > 1e-6}
     assert moved & {i for i in both if i % 9 == 0 and i not in (0, 1, 2)}
+    # venues of fresh lookups move scores by half the weight at most, and no other score; without calls and events the reader's fit moves none
+    looked_up = items.where("item_id % 2 = 0").select("item_id", F.lit(0).alias("cited_by_count"), F.lit(99.0).alias("venue_impact"), as_of.alias("fetched_at"))
+    near = digest.brew(items, votes, facets, as_of, digest.Settings(days=20, scoring="cosine"), digest.Inputs(enrichment=looked_up, reader=[1.0] * profile.DIM))
+    after = {r.item_id: r.score for r in near.impressions.collect()}
+    both = after.keys() & before.keys()
+    assert {i % 2 for i in both} == {0, 1}
+    assert {i: after[i] for i in both} == pytest.approx({i: before[i] + (0.09 if i % 2 == 0 else 0.0) for i in both})
     # a missing ranker falls back to the base score; a fitted one is fused with it
     alone = digest.brew(items, votes, facets, as_of, digest.Settings(days=20, scoring="hybrid_lr"))
     assert {r.item_id: r.score for r in alone.impressions.collect()} == pytest.approx(before)

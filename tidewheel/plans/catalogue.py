@@ -139,7 +139,14 @@ def author_subset(spark, d):
     return X.table(spark, d, "customer").select("c_custkey", text.author_match(F.col("c_name"), ["Customer 000000042", "000000007, Customer", "single"]).alias("matched"))
 
 
-@query()
+_WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
+
+
+@query(rf"""WITH {X.ITEMS_SQL}, p AS (SELECT item_id, title, list_filter(list_transform(string_split(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '') AS l FROM items),
+s AS (SELECT item_id, title, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM p),
+w AS (SELECT *, {_WORDS("s")} AS a, {_WORDS("title")} AS b, {_hits("lower(s)", L.METHOD_OR_RESULT)} + least(3, len(regexp_extract_all(s, '[0-9]'))) AS score FROM s),
+k AS (SELECT * FROM w WHERE NOT (len(b) > 0 AND len(list_intersect(a, b)) / greatest(len(b), 1)::DOUBLE >= 0.72) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, length(s) DESC, i) <= 2),
+t AS (SELECT item_id, string_agg(s, ' ' ORDER BY i) AS summary FROM k GROUP BY 1) SELECT item_id, coalesce(summary, '') AS summary FROM items LEFT JOIN t USING (item_id)""")
 def extractive_summary(spark, d):
     return X.items(spark, d).select("item_id", text.extractive_summary(F.col("title"), F.col("abstract")).alias("summary"))
 

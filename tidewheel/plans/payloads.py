@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
+from tidewheel import schemas
 from tidewheel.functions import text, urls
-from tidewheel.operators import candidates, evaluation, feedback, opportunities, ranking, summaries, upkeep
+from tidewheel.operators import candidates, evaluation, feedback, learning, opportunities, ranking, summaries, upkeep
 from tidewheel.plans import fixtures as X
 from tidewheel.plans.registry import query
 from tidewheel.sources import exports, feeds, sinks
@@ -374,3 +375,59 @@ def summary_parts(spark, d):
 def title_day_keys(spark, d):
     at = (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(F.col("p_size") * 5).cast("int"))).cast("timestamp")
     return X.table(spark, d, "part").select("p_partkey", urls.title_day_key(F.upper(F.replace("p_name", F.lit(" "), F.lit(" - "))), at, 1).alias("key"))
+
+
+@query("""WITH t AS (SELECT ts, event_id, 'd' || (user_id % 5) AS d, unnest([0, 1]) AS pos FROM events), v AS (SELECT ts, d, pos, 'R' || ((event_id + pos) % 4) AS label, CASE pos WHEN 0 THEN 1 ELSE -1 END AS value FROM t),
+n AS (SELECT v.*, n_nationkey % 7 AS item_id FROM v JOIN nation ON d = 'd' || (n_nationkey % 5) AND label = 'R' || (n_nationkey // 5))
+SELECT item_id, value, ts AS created_at FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, pos DESC) = 1""")
+def reply_votes(spark, d):
+    e, n = F.col("event_id"), F.col("n_nationkey")
+    line = F.concat(F.lit("r"), _str(e % 4), F.lit(", -R"), _str((e + 1) % 4))
+    lines = X.table(spark, d, "events").select(F.concat(F.lit("d"), _str(F.col("user_id") % 5)).alias("digest_id"), line.alias("line"), F.col("ts").alias("created_at"))
+    slate = X.table(spark, d, "nation").select(F.concat(F.lit("d"), _str(n % 5)).alias("digest_id"), F.concat(F.lit("R"), _str(F.floor(n / 5))).alias("label"), (n % 7).alias("item_id"))
+    return feedback.resolve_votes(lines, slate)
+
+
+@query("SELECT count(*) AS items, count(*) FILTER (p_size % 2 = 0) AS research, count(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand END) AS families, count(*) > 0 AND count(*) FILTER (p_size % 2 = 0) >= 12 AND count(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand END) >= 2 AS ok FROM part")
+def supply_check(spark, d):
+    section = F.when(F.col("p_size") % 2 == 0, "Research").otherwise("world")
+    return candidates.supply(X.table(spark, d, "part").select(section.alias("section"), F.col("p_brand").alias("family")), 12)
+
+
+@query(f"""WITH {X.VOTES_SQL}, s AS (SELECT user_id AS item_id, arg_max(value, (ts, event_id)) AS score FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT round(score, 6) AS score, (value > 0)::INT AS label FROM votes JOIN s USING (item_id)""")
+def calibration_rows(spark, d):
+    e = X.table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("impression_id"), F.col("value").alias("score"), F.col("event_type").alias("ranker_version"))
+    return learning.calibration_rows(e, X.votes(spark, d), "view").select(R6("score").alias("score"), "label")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size < 20 OR (p_partkey % 3 = 0 AND p_partkey % 2 = 1)")
+def carryover_pool(spark, d):
+    items = X.table(spark, d, "part").select(_k().alias("item_id"), "p_name", "p_size")
+    pins = items.where("item_id % 3 = 0").select("item_id", F.when(F.col("item_id") % 2 == 0, "today").otherwise("before").alias("pinned_digest_id"))
+    return candidates.add_carryover(items.where("p_size < 20"), items, pins, "today").select(F.col("item_id").alias("p_partkey"), "p_name")
+
+
+@query(f"WITH {X.ITEMS_SQL} SELECT item_id FROM items WHERE section IN ('research', 'world')")
+def section_gate(spark, d):
+    return candidates.enabled_sections(X.items(spark, d), {"research": 0, "world": 3, "industry": 0}).select("item_id")
+
+
+@query(f"""WITH {X.VECTORS_SQL}, {X.VOTES_SQL}, g AS (SELECT item_id, value, CASE WHEN item_id % 3 = 0 THEN CASE WHEN value > 0 THEN 100 ELSE 10 END ELSE grade END AS grade FROM votes)
+SELECT item_id AS vec_id, value, round(greatest(0.05::DOUBLE, abs(grade - 50) / 50.0::DOUBLE), 6) AS weight, round(value * greatest(0.05::DOUBLE, abs(grade - 50) / 50.0::DOUBLE), 6) AS grade FROM g JOIN v USING (item_id)""")
+def signed_exemplars(spark, d):
+    votes = X.votes(spark, d).withColumn("grade", F.when(F.col("item_id") % 3 != 0, F.col("grade")))
+    return feedback.exemplars(votes, X.vectors(spark, d)).select(F.col("item_id").alias("vec_id"), "value", R6("weight").alias("weight"), R6("grade").alias("grade"))
+
+
+@query("SELECT event_id AS vote_id, user_id AS item_id, (event_id % 3)::INT AS value, NULL::INT AS grade, ts AS created_at FROM events")
+def schema_migration(spark, d):
+    old = X.table(spark, d, "events").select(F.col("event_id").alias("vote_id"), F.col("user_id").alias("item_id"), _str(F.col("event_id") % 3).alias("value"), F.col("ts").alias("created_at"), F.lit("old").alias("unknown"))
+    return schemas.migrate(old, "votes")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey <> 3 UNION ALL SELECT 3, n_nationkey, 0.5 FROM nation")
+def digest_replace(spark, d):
+    rows = X.table(spark, d, "lineitem").select(_str(F.col("l_orderkey")).alias("digest_id"), "l_linenumber", "l_quantity")
+    new = X.table(spark, d, "nation").select(F.lit("3").alias("digest_id"), F.col("n_nationkey").alias("l_linenumber"), F.lit(0.5).alias("l_quantity"))
+    return sinks.replace_digest(rows, new, "3").select(F.col("digest_id").cast("long").alias("l_orderkey"), "l_linenumber", "l_quantity")
