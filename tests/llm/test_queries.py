@@ -10,4 +10,4 @@ def test_query_agrees_with_sql(name, spark, sf):
 
 
 def test_every_operator_has_its_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}

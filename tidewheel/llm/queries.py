@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import chat, decontaminate, labelled, lmscore, media, mixing, quality, sharding, simhash, tokencount, toxicity
+from tidewheel.llm import chat, decontaminate, divergence, labelled, lmscore, media, mixing, packing, prefixtrie, quality, sharding, simhash, tokencount, toxicity
 from tidewheel.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,24 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media.media_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     tail = F.crc32(F.expr("substring(payload, greatest(1, octet_length(payload) - 63), 64)"))
     return made.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+@_query
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_divergence"] = divergence.ORACLE_SQL
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op13_prefix_trie"] = prefixtrie.ORACLE_SQL
