@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
 from tidewheel.functions import scores, urls, vectors
+from tidewheel.operators import metric
 from tidewheel.scratch import cut
 
 
@@ -61,33 +62,27 @@ def rrf(df: DataFrame, first: str, second: str, tie: str, into: str = "fused", k
 SIMS = 1 << 22
 
 
-def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tuple[str, ...], vector: str, key: str, limit: int, own: str | Column | None = None) -> DataFrame:
-    """Add ``_near``: the k best (sim, id, number) of each item over all exemplars, block by block; larger sims, then larger ids, first.
+def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tuple[str, ...], vector: str, key: str, limit: int, own: str | Column | None = None, factor: str | None = None) -> DataFrame:
+    """Add ``_near``: the k best (sim, id, number) of each item over all exemplars; larger sims, then larger ids, first.
 
-    ``near`` takes vectors, the items' ids (column ``own``, by default ``key``) and a block.
+    ``near`` takes vectors, the items' ids (column ``own``, by default ``key``) and a
+    block of exemplars; ``factor`` names the column that it multiplies cosines by.
+    Up to ``limit`` exemplars are shared with every task; more go into a metric index.
     """
-    kind = "array<struct<sim:double,id:long,number:double>>"
-
-    def best(block: dict[str, np.ndarray]):
-        @F.arrow_udf(kind)
-        def run(v: pa.Array, ids: pa.Array) -> pa.Array:
-            step = max(1, SIMS // max(1, len(block[key])))  # rows whose similarities are held at once
-            rows = [slice(lo, lo + step) for lo in range(0, max(1, len(v)), step)]
-            x, own = vectors.matrix(v), ids.to_numpy(zero_copy_only=False)
-            return pa.concat_arrays([vectors.nearest(*near(x[r], own[r], block), k) for r in rows])
-
-        return run(vector, key if own is None else own)
-
-    out = items
-    many = exemplars.count() > limit
-    exemplars = cut(exemplars.select(key, vector, *columns), "exemplars") if many else exemplars  # each block reads it
-    for n, block in enumerate(vectors.blocks(exemplars, key, vector, *columns, limit=limit)):
-        found = best(block)
-        if n:
-            found = F.slice(F.sort_array(F.concat("_near", found), asc=False), 1, k)
-        out = out.withColumn("_near", found)
-        out = cut(out, "nearest") if many else out
-    return out
+    own = F.col(key) if own is None else F.col(own) if isinstance(own, str) else own
+    if exemplars.count() > limit:
+        ends = exemplars.agg(F.min(factor), F.max(factor)).first() if factor else (0.0, 1.0)
+        return metric.nearest(items, exemplars, k, near, columns, vector, key, own, max(1.0, float(ends[1])) if ends[0] is not None and ends[0] >= 0 else None)
+    block = next(vectors.blocks(exemplars, key, vector, *columns, limit=limit))
+
+    @F.arrow_udf("array<struct<sim:double,id:long,number:double>>")
+    def best(v: pa.Array, ids: pa.Array) -> pa.Array:
+        step = max(1, SIMS // max(1, len(block[key])))  # rows whose similarities are held at once
+        rows = [slice(lo, lo + step) for lo in range(0, max(1, len(v)), step)]
+        x, mine = vectors.matrix(v), ids.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([vectors.nearest(*near(x[r], mine[r], block), k) for r in rows])
+
+    return items.withColumn("_near", best(vector, own))
 
 
 def _facet_sims(weighted: bool, number: str | None = None):
@@ -105,7 +100,7 @@ def topic_scores(items: DataFrame, facets: DataFrame, into: str = "topic_score",
     """Add the multi-facet cosine to a profile of facets (facet_id, vec, weight): 0.7 of the best and 0.3 of the best three's mean; one facet counts alone."""
     near = _facet_sims(True)
     capped = facets.select(key, vector, F.least("weight", F.lit(1.0)).alias("weight"))
-    out = _nearest(items, capped, 3, lambda x, ids, f: near(x, ids, f, key, vector), ("weight",), vector, key, limit, F.lit(0).cast("long"))
+    out = _nearest(items, capped, 3, lambda x, ids, f: near(x, ids, f, key, vector), ("weight",), vector, key, limit, F.lit(0).cast("long"), "weight")
     mean = F.aggregate("_near", F.lit(0.0), lambda a, z: a + z["sim"]) / F.size("_near")
     best = F.col("_near")[0]["sim"]
     return out.withColumn(into, F.when(F.size("_near") == 1, best).otherwise(0.7 * best + 0.3 * mean)).drop("_near")
@@ -144,7 +139,7 @@ def facet_attribution(items: DataFrame, facets: DataFrame, vector: str = "vec",
 def negative_penalty(items: DataFrame, negatives: DataFrame, topic: str, weight: float = 1.0, margin: float = 0.0, vector: str = "vec", key: str = "facet_id", into: str = "penalty", limit: int = vectors.MAX_ROWS) -> DataFrame:
     """Add how much the best weighted match with an unwanted interest exceeds the topic score."""
     near = _facet_sims(True)
-    out = _nearest(items, negatives, 1, lambda x, ids, f: near(x, ids, f, key, vector), ("weight",), vector, key, limit, F.lit(0).cast("long"))
+    out = _nearest(items, negatives, 1, lambda x, ids, f: near(x, ids, f, key, vector), ("weight",), vector, key, limit, F.lit(0).cast("long"), "weight")
     best = F.when(F.size("_near") > 0, F.col("_near")[0]["sim"])
     return out.withColumn(into, F.when(best.isNull(), 0.0).otherwise(weight * F.greatest(F.lit(0.0), best - F.col(topic) - margin))).drop("_near")
 
@@ -160,7 +155,7 @@ def preference_scores(items: DataFrame, exemplars: DataFrame, k: int = L.KNN_K,
 
 def affinities(items: DataFrame, exemplars: DataFrame, into: str, k: int = L.AFFINITY_K, vector: str = "vec", key: str = "item_id", limit: int = vectors.MAX_ROWS) -> DataFrame:
     """Add the mean of the k largest weighted similarities; exemplars have (item_id, vec, weight)."""
-    out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.weighted_sims(x, ids, e[key], e[vector], e["weight"]), ("weight",), vector, key, limit)
+    out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.weighted_sims(x, ids, e[key], e[vector], e["weight"]), ("weight",), vector, key, limit, factor="weight")
     there = F.filter("_near", lambda z: z["sim"] > float("-inf"))
     return out.withColumn(into, F.aggregate(there, F.lit(0.0), lambda a, z: a + z["sim"]) / F.greatest(F.size(there), F.lit(1))).drop("_near")
 
