@@ -201,20 +201,6 @@ def test_upsert_is_idempotent_and_conservative(spark):
     assert not any(r.inserted or r.changed for r in again.collect())
 
 
-def test_publish_and_crash_between_steps(spark, tmp_path):
-    t = {k: sinks.VersionedTable(spark, f"file://{tmp_path}/{k}") for k in ("slate", "features", "impressions")}
-    slate = spark.createDataFrame([("d", 1, "R1", 0), ("d", 1, "R2", 1), ("d", 2, "R2", 2)], "digest_id string, item_id long, label string, ord int")
-    features = spark.createDataFrame([("d", 1, 0.5), ("d", 9, 0.1)], "digest_id string, item_id long, final_score double")
-    shown = spark.createDataFrame([("d", 1)], "digest_id string, item_id long")
-    sinks.publish(t, "d", slate, features, shown)
-    sinks.publish(t, "d", slate, features, shown)
-    assert sorted((r.item_id, r.label) for r in t["slate"].read().collect()) == [(1, "R1"), (2, "R2")]
-    assert [r.item_id for r in t["features"].read().collect()] == [1]
-    assert t["impressions"].read().count() == 2
-    (tmp_path / "slate" / "v-unfinished").mkdir()  # a version that no pointer names
-    assert t["slate"].read().count() == 2
-
-
 def test_snapshots_ignore_verification_time(spark):
     rows = [(1, {"a": "x", "verified_at": "1"}, dt.datetime(2024, 1, 1)), (1, {"verified_at": "2", "a": "x"}, dt.datetime(2024, 1, 2)), (1, {"a": "y"}, dt.datetime(2024, 1, 3))]
     df = spark.createDataFrame(rows, "item_id long, details map<string,string>, observed_at timestamp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from tidewheel.functions import text, urls
 from tidewheel.operators import candidates, evaluation, feedback, learning, opportunities, ranking, summaries, upkeep
 from tidewheel.plans import fixtures as X
 from tidewheel.plans.registry import query
-from tidewheel.sources import exports, feeds, sinks
+from tidewheel.scratch import shared_folder
+from tidewheel.sources import commits, exports, feeds, sinks
 
 R6 = lambda c: F.round(c, 6)
 
@@ -431,3 +434,18 @@ def digest_replace(spark, d):
     rows = X.table(spark, d, "lineitem").select(_str(F.col("l_orderkey")).alias("digest_id"), "l_linenumber", "l_quantity")
     new = X.table(spark, d, "nation").select(F.lit("3").alias("digest_id"), F.col("n_nationkey").alias("l_linenumber"), F.lit(0.5).alias("l_quantity"))
     return sinks.replace_digest(rows, new, "3").select(F.col("digest_id").cast("long").alias("l_orderkey"), "l_linenumber", "l_quantity")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, 'slate' AS kind FROM lineitem WHERE l_orderkey <> 3 UNION ALL SELECT 3, n_nationkey, 0.5, 'slate' FROM nation
+UNION ALL SELECT o_orderkey, 1, o_totalprice, 'impression' FROM orders UNION ALL SELECT o_orderkey, 2, o_totalprice, 'impression' FROM orders""")
+def publish_commits(spark, d):
+    """Digests published by commits of several tables, one of them replaced, folders merged on the way, read back as one version."""
+    at = commits.Tables(spark, f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}", fan=2)
+    rows = X.table(spark, d, "lineitem").select(_str(F.col("l_orderkey")).alias("digest_id"), F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("l_quantity"))
+    new = X.table(spark, d, "nation").select(F.lit("3").alias("digest_id"), F.col("n_nationkey").cast("long").alias("l_linenumber"), F.lit(0.5).alias("l_quantity"))
+    seen = lambda n: X.table(spark, d, "orders").select(_str(F.col("o_orderkey")).alias("digest_id"), F.lit(n).cast("long").alias("l_linenumber"), F.col("o_totalprice").cast("double").alias("l_quantity"))
+    at.commit([commits.Change("slate", rows), commits.Change("impression", seen(1))])
+    at.commit([commits.Change("slate", new, [{"digest_id": "3"}]), commits.Change("impression", seen(2))])
+    now = at.state()
+    both = [at.read(t, now).withColumn("kind", F.lit(t)) for t in ("slate", "impression")]
+    return both[0].unionByName(both[1]).select(F.col("digest_id").cast("long").alias("l_orderkey"), "l_linenumber", "l_quantity", "kind")

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.sources.commits import Change, State, Tables
+
 
 class VersionedTable:
     """A table whose current version is named by its newest pointer row."""
@@ -108,19 +110,21 @@ def replace_digest(table: DataFrame | None, rows: DataFrame, digest_id: str) ->
     return rows if table is None else table.where(F.col("digest_id") != digest_id).unionByName(rows)
 
 
-def publish(tables: dict[str, VersionedTable], digest_id: str, slate: DataFrame, features: DataFrame, impressions: DataFrame, audits: DataFrame | None = None) -> None:
-    """Publish a digest: the slate and its features replace older ones, impressions are appended, audits replace their kind.
+def publish(tables: Tables, digest_id: str, slate: DataFrame, features: DataFrame, impressions: DataFrame, audits: DataFrame | None = None, base: State | None = None, batch: tuple[str, int] | None = None) -> State:
+    """Publish a digest in one commit: slate and features replace older ones of the digest, impressions are appended, audits replace their kind.
 
-    The slate's pointer moves last, so readers never see a slate without its features.
+    Only the digest's own rows are written. Two writers of one digest conflict: the
+    later is refused and keeps nothing. ``base`` is the state the slate was made
+    from; with ``batch``, a replayed batch of a stream publishes nothing again.
     """
     clean = label_slate(slate)
-    kept = features.join(clean.select("item_id"), "item_id", "left_semi")
-    tables["features"].write(replace_digest(tables["features"].read(), kept.select(features.columns), digest_id))
-    tables["impressions"].append(impressions)
-    if audits is not None and "audits" in tables:
-        old = tables["audits"].read()
-        tables["audits"].write(audits if old is None else old.join(audits.select("digest_id", "audit_type"), ["digest_id", "audit_type"], "left_anti").unionByName(audits))
-    tables["slate"].write(replace_digest(tables["slate"].read(), clean, digest_id))
+    kept = features.join(clean.select("item_id"), "item_id", "left_semi").select(features.columns)
+    own = [{"digest_id": digest_id}]
+    changes = [Change("features", kept, own), Change("impressions", impressions), Change("slate", clean, own)]
+    if audits is not None:
+        kinds = [{"digest_id": r.digest_id, "audit_type": r.audit_type} for r in audits.select("digest_id", "audit_type").distinct().collect()]  # a row a kind of audit
+        changes.append(Change("audits", audits, kinds))
+    return tables.commit(changes, base, batch)
 
 
 def mark_viewed(impressions: DataFrame, digest_id: str, visible: DataFrame | None = None) -> DataFrame:
