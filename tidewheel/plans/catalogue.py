@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewheel import lexicons as L
 from tidewheel.functions import explain, phrases, quality, scores, text, urls
-from tidewheel.operators import candidates, decks, dedupe, digest, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, selection
+from tidewheel.operators import candidates, decks, dedupe, digest, embedding, evaluation, feedback, latest, learning, opportunities, profile, ranking, reports, search, selection
 from tidewheel.plans import fixtures as X
 from tidewheel.plans.registry import ORACLE_SQL, query
-from tidewheel.scratch import cut
-from tidewheel.sources import sinks
+from tidewheel.scratch import cut, shared_folder
+from tidewheel.sources import commits, sinks
 
 R6 = lambda c: F.round(c, 6)
 
@@ -314,7 +316,11 @@ def retention_anti(spark, d):
 @query(f"WITH {X.ITEMS_SQL} SELECT item_id, source FROM items WHERE contains(lower(title), 'phase') OR contains(lower(abstract), 'phase') OR contains(lower(source), 'phase') ORDER BY published_at DESC, item_id LIMIT 500")
 def keyword_search(spark, d):
     i = X.items(spark, d).withColumn("created_at", F.col("published_at"))
-    return candidates.keyword_search(i, "Phase", ["title", "abstract", "source"]).select("item_id", "source")
+    index = search.TrigramIndex(commits.Tables(spark, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"), ["title", "abstract", "source"])
+    late = F.col("created_at") >= X.as_of() - F.expr("INTERVAL 10 DAYS")
+    index.add(i.where(~late))
+    index.add(i.where(late))  # a later batch
+    return index.search(i, "Phase").select("item_id", "source")
 
 
 @query("SELECT o_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END, o_totalprice, 0) AS score FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 30")
@@ -787,8 +793,9 @@ def calibrator_fit(spark, d):
 @query()
 def brew_digest(spark, d):
     reader = profile.Profile(bio="Self assembly of materials. Clinical trials of gene therapy.", keywords=["crispr", "novel assay"], context=["phase 3"], weights={"crispr": 1.2})
-    items = X.items(spark, d).withColumns({"external_id": F.lit(""), "url": F.concat(F.lit("https://example.org/"), F.col("item_id").cast("string")), "fetched_at": F.col("published_at"), "vec": profile.hashed_embedding("text")}).drop("text", "lang")
-    run = digest.brew(items, X.votes(spark, d), profile.facets(spark, reader), X.as_of(), digest.Settings(days=20))
+    model = embedding.fit(X.items(spark, d), "text")
+    items = X.items(spark, d).withColumns({"external_id": F.lit(""), "url": F.concat(F.lit("https://example.org/"), F.col("item_id").cast("string")), "fetched_at": F.col("published_at"), "vec": model.vectors("text")}).drop("text", "lang")
+    run = digest.brew(items, X.votes(spark, d), profile.facets(spark, reader, embed=model.vector), X.as_of(), digest.Settings(days=20))
     return run.slate.select("item_id", "section", "label", R6("score").alias("score"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel import lexicons as L
 from tidewheel import schemas
 from tidewheel.functions import text, urls
-from tidewheel.operators import candidates, evaluation, feedback, learning, opportunities, ranking, summaries, upkeep
+from tidewheel.operators import candidates, evaluation, feedback, language, learning, opportunities, ranking, summaries, upkeep
 from tidewheel.plans import fixtures as X
 from tidewheel.plans.registry import query
 from tidewheel.scratch import shared_folder
@@ -449,3 +449,32 @@ def publish_commits(spark, d):
     now = at.state()
     both = [at.read(t, now).withColumn("kind", F.lit(t)) for t in ("slate", "impression")]
     return both[0].unionByName(both[1]).select(F.col("digest_id").cast("long").alias("l_orderkey"), "l_linenumber", "l_quantity", "kind")
+
+
+_GRAMS = f"""t AS (SELECT doc_id, lang, doc_id % 3 = 1 AS held_out, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS gram FROM t WHERE x IS NOT NULL),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+top AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {language.SIZE}),
+z AS (SELECT lang, sum(n) + (SELECT count(*) FROM top) AS z FROM c JOIN top USING (gram) GROUP BY lang),
+m AS (SELECT z.lang, top.gram, ln((coalesce(n, 0) + 1) / z) AS p FROM z CROSS JOIN top LEFT JOIN c ON c.lang = z.lang AND c.gram = top.gram),
+s AS (SELECT doc_id, m.lang, sum(k * p) AS score FROM (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL) JOIN m USING (gram) GROUP BY ALL),
+b AS (SELECT doc_id, lang AS predicted FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
+
+
+def _identified(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id", "text", "lang", (F.col("doc_id") % 3 == 1).alias("held_out"))
+    return docs, language.fit(docs.where("not held_out"))
+
+
+@query(f"WITH {_GRAMS} SELECT doc_id, held_out, predicted, length(trim(coalesce(text, ''))) < 20 OR coalesce(predicted = 'en', true) AS english FROM t LEFT JOIN b USING (doc_id)")
+def language_identified(spark, d):
+    docs, model = _identified(spark, d)
+    return docs.select("doc_id", "held_out", model.language("text").alias("predicted"), model.passes("text").alias("english"))
+
+
+@query(f"WITH {_GRAMS} SELECT lang, count(*) AS texts, count(*) FILTER (WHERE predicted = lang) AS correct FROM t LEFT JOIN b USING (doc_id) WHERE held_out GROUP BY lang")
+def language_accuracy(spark, d):
+    """Right answers of the identifier on texts that it has not seen."""
+    docs, model = _identified(spark, d)
+    held = docs.where("held_out").select("lang", model.language("text").alias("predicted"))
+    return held.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if(F.col("predicted") == F.col("lang")).alias("correct"))
