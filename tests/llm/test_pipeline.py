@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm import cases
 from tests.llm.test_decontaminate import words
-from tests.llm.test_simhash import slow_wide, wide_groups
+from tests.llm.test_simhash import exact_groups
 from tidewheel.llm import mixing, toxicity
 
 
@@ -30,13 +30,9 @@ def test_each_stage_against_its_own_input(spark, sf, tmp_path):
 
     score = dict(zip([r.doc_id for r in raw], toxicity.score_texts(*pack([r.text for r in raw]), *model), strict=True))
     assert ids(clean) == {i for i, s in score.items() if s < toxicity.REJECT}
-    # near duplicates: the smallest id of each group
-    prints = {r.doc_id: slow_wide(r.text) for r in clean}
-    root = wide_groups(set(prints.values()))
-    first = {}
-    for i, p in sorted(prints.items()):
-        first.setdefault(root[p], i)
-    assert ids(single) == set(first.values()) and len(single) == len(first)
+    # near duplicates: the smallest id of each group of texts that overlap
+    first = set(exact_groups({r.doc_id: r.text for r in clean}).values())
+    assert ids(single) == first and len(single) == len(first)
     # decontamination: no window of an item, and nothing else dropped
     grams = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():

@@ -9,6 +9,12 @@ downwards, adds up differing bits, and drops a pair once the sum is over the
 budget. A subtrie of many rows is cut at deeper nodes and these are paired the same
 way before rows are dealt. From every subtrie only a spanning forest of its links
 leaves.
+
+The corpus pipeline's stage uses the same search as a net for an exact rule, five-word
+shingle sets that overlap by ``SIMILAR`` or more: ten words of 64 bits a text, each cut
+into four blocks, one of which must agree. There a subtrie hands on two links of each
+row, to the nearest text and to one within the estimate, and links are checked against
+the shingle sets before they count.
 """
 
 from __future__ import annotations
@@ -38,14 +44,19 @@ CUT_BITS = 12
 FRONTIER = 1 << 17
 #: A fingerprint that this share of all rows has is hot: at most its inverse are, so they are shared.
 HOT_SHARE = 1e-3
-#: The wide net: words of a fingerprint, words of a shingle, bits of one word and of all that may differ.
-WIDE_WORDS, WIDE_SHINGLE, WIDE_REACH, WIDE_BITS = 4, 5, 14, 41
+#: What five-word shingle sets of near-duplicates share, intersection over union.
+SIMILAR, WIDE_SHINGLE = 0.8, 5
+#: The wide net: words of a fingerprint, blocks of a word, bits of one word and of all that may differ. Texts at
+#: ``SIMILAR`` differ in 97 of 640 bits, give or take 9; 122 lets 99.6 % of them through.
+WIDE_WORDS, WIDE_BLOCKS, WIDE_REACH, WIDE_BITS = 10, 4, 14, 122
+#: Bits up to which the estimate is 0.8 or more, and up to which it can't be wrong (once in ten million at ``SIMILAR``).
+WIDE_LIKELY, WIDE_SURE = 100, 50
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """SimHash of UTF-8 text: a bit is 1 if set in over half of the shingles' XXH64; no words: 0."""
+    """SimHash of UTF-8 text: a bit is 1 if set in over half of the shingles' H64; no words: 0."""
     words = text.lower().split()
     if not words:
         return 0
@@ -78,33 +89,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprints(texts: list[bytes], words: int = WIDE_WORDS, size: int = WIDE_SHINGLE) -> np.ndarray:
-    """SimHashes of ``words`` x 64 bits over ``size``-word shingles, a row per text; no words: 0.
+def shingle_hashes(texts: list[bytes], size: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``size``-word shingles of all texts, end to end, and how many each text has; no words: none.
 
     A shingle's hash is a polynomial of its bytes, read off running sums, so the
-    shingles of many texts are hashed by a few array operations.
+    shingles of many texts are hashed by a few array operations. A text of fewer
+    words is one shingle.
     """
     parts = [t.lower().split() for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
-    out = np.zeros((len(texts), words), np.uint64)
+    shingles = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
     line = b" ".join(w for p in parts for w in p)
     if not line:
-        return out
+        return np.zeros(0, np.uint64), shingles
     lengths = np.fromiter((len(w) for p in parts for w in p), np.int64, int(counts.sum()))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     up, down = powers(int(_STEP), len(line) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(line)])))
-    some = np.flatnonzero(counts)
-    shingles = np.maximum(counts[some] - size + 1, 1)
-    first_word = (np.cumsum(counts) - counts)[some]
-    own = np.repeat(np.arange(len(some)), shingles)
-    lo = first_word[own] + np.arange(len(own)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    hi = np.minimum(lo + size, (first_word + counts[some])[own]) - 1
-    h = (sums[ends[hi]] - sums[starts[lo]]) * down[starts[lo]] ^ (ends[hi] - starts[lo]).astype(np.uint64) * _STEP
+    own = np.repeat(np.arange(len(texts)), shingles)
+    lo = (np.cumsum(counts) - counts)[own] + np.arange(len(own)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    hi = np.minimum(lo + size, np.cumsum(counts)[own]) - 1
+    return (sums[ends[hi]] - sums[starts[lo]]) * down[starts[lo]] ^ (ends[hi] - starts[lo]).astype(np.uint64) * _STEP, shingles
+
+
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """A text's shingle hashes once each, ascending."""
+    return np.unique(h)
+
+
+def wide_fingerprints(texts: list[bytes], words: int = WIDE_WORDS, size: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of ``words`` x 64 bits over ``size``-word shingles, a row per text (no words: 0), and a hash of each text's shingle set."""
+    h, shingles = shingle_hashes(texts, size)
+    out, marks = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.uint64)
+    ends = np.cumsum(shingles)
+    for k in range(len(texts)):
+        marks[k] = xxhash.xxh64_intdigest(shingle_set(h[ends[k] - shingles[k] : ends[k]]).tobytes())
+    if not len(h):
+        return out, marks
+    some = np.flatnonzero(shingles)
+    own = np.repeat(np.arange(len(some)), shingles[some])
     votes = np.zeros((len(some), words * 64), np.int64)
     salts = [np.uint64((k + 1) * int(_STEP) % (1 << 64)) for k in range(words)]
-    place = np.arange(len(h)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    place = np.arange(len(h)) - np.repeat(ends - shingles, shingles)
     for at in range(0, len(h), 1 << 16):
         part, who = h[at : at + (1 << 16)], own[at : at + (1 << 16)]
         mixed = np.stack([_mixed(part + s) for s in salts], 1).astype(">u8")
@@ -115,31 +142,47 @@ def wide_fingerprints(texts: list[bytes], words: int = WIDE_WORDS, size: int = W
         begin = np.flatnonzero(turn)
         runs = np.add.reduceat(bits, begin, axis=0).view(np.uint8).astype(np.int64)
         np.add.at(votes, who[begin], runs)
-    out[some] = np.packbits(votes * 2 > shingles[:, None], axis=1).view(">u8").reshape(len(some), words).astype(np.uint64)
-    return out
+    out[some] = np.packbits(votes * 2 > shingles[some][:, None], axis=1).view(">u8").reshape(len(some), words).astype(np.uint64)
+    return out, marks
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def wide_prints(texts: pa.Array) -> pa.Array:
-    """The wide fingerprint of each text as signed longs; null counts as empty."""
+    """The hash of each text's shingle set and its wide fingerprint, as signed longs; null counts as empty."""
+    data, offsets = buffers(texts)
+    raw = memoryview(data)
+    rows = []
+    for lo, hi in steps(offsets):
+        found, marks = wide_fingerprints([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+        rows.append(np.concatenate([marks[:, None], found], axis=1))
+    flat = np.concatenate([r.ravel() for r in rows]) if rows else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (WIDE_WORDS + 1)), pa.array(flat.view(np.int64)))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingle_sets(texts: pa.Array) -> pa.Array:
+    """Each text's shingle hashes once each; null counts as empty."""
     data, offsets = buffers(texts)
     raw = memoryview(data)
-    found = [wide_fingerprints([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]) for lo, hi in steps(offsets)]
-    flat = np.concatenate([f.ravel() for f in found]) if found else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WIDE_WORDS), pa.array(flat.view(np.int64)))
+    rows = [shingle_set(shingle_hashes([bytes(raw[a:b])])[0]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
-def layouts(budget: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """For each choice of two of budget + 2 blocks: their bits, and (from, width, to) moves that bring them to the front."""
-    edges = [round(64 * k / (budget + 2)) for k in range(budget + 3)]
+Layouts = list[tuple[int, list[tuple[int, int, int]]]]
+
+
+def layouts(blocks: int, front: int = 2) -> Layouts:
+    """For each choice of ``front`` of a word's blocks: their bits, and (from, width, to) moves that bring them to the front."""
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     out = []
-    for front in combinations(range(budget + 2), 2):
+    for first in combinations(range(blocks), front):
         moves, at = [], 64
-        for k in (*front, *[k for k in range(budget + 2) if k not in front]):
+        for k in (*first, *[k for k in range(blocks) if k not in first]):
             width = edges[k + 1] - edges[k]
             at -= width
             moves.append((64 - edges[k + 1], width, at))
-        out.append((sum(m[1] for m in moves[:2]), moves))
+        out.append((sum(m[1] for m in moves[:front]), moves))
     return out
 
 
@@ -151,7 +194,7 @@ def arrange(word: np.ndarray, moves: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def _arranged(word: Column, choice: Column, forms: list[tuple[int, list[tuple[int, int, int]]]]) -> Column:
+def _arranged(word: Column, choice: Column, forms: Layouts) -> Column:
     """``arrange`` for the choice of blocks in a column; shifts are looked up, so the expression stays small."""
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), choice + 1)
     out = None
@@ -242,26 +285,56 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def _link(words: int, budget: int, reach: int, bits: int):
-    """Arrow function over partitions sorted by (own, pair, side, key): spanning links of every subtrie or pair of nodes."""
-    forms = layouts(budget)
+class _Best:
+    """For each of some rows, the neighbour with the least value seen so far, and its bits."""
+
+    def __init__(self, n: int):
+        self.value, self.mate, self.bits = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, np.int64)
+
+    def see(self, row: np.ndarray, mate: np.ndarray, value: np.ndarray, tie: np.ndarray, bits: np.ndarray) -> None:
+        if not len(row):
+            return
+        order = np.lexsort((tie, value, row))
+        row, mate, value, bits = row[order], mate[order], value[order], bits[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        row, mate, value, bits = row[first], mate[first], value[first], bits[first]
+        less = value < self.value[row]
+        row, mate, value, bits = row[less], mate[less], value[less], bits[less]
+        self.value[row], self.mate[row], self.bits[row] = value, mate, bits
+
+
+def _link(forms: Layouts, reach: int, bits: int | None):
+    """Arrow function over partitions sorted by (own, pair, side, key): the links of every subtrie or pair of nodes.
 
-    def within(all_words: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    Without ``bits`` the rows' words are their names, and a spanning forest of the
+    pairs within ``reach`` leaves. With it, names come before the words, and of each
+    row two links leave with their bits: to the row that differs least, by ``bits``
+    in all words at most, and to the one of smallest name within ``WIDE_LIKELY``.
+    """
+
+    def links(names: np.ndarray, all_words: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        near, low = _Best(len(names)), _Best(len(names))
         for i, j in pairs:
-            ok = sum(_ones(w[i] ^ w[j]) for w in all_words) <= bits
-            if ok.any():
-                yield i[ok], j[ok]
+            differ = sum(_ones(w[i] ^ w[j]) for w in all_words)
+            ok = differ <= bits
+            i, j, differ = i[ok], j[ok], differ[ok]
+            row, mate, differ = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((differ, differ))
+            near.see(row, mate, differ, names[mate], differ)
+            likely = differ <= WIDE_LIKELY
+            low.see(row[likely], mate[likely], names[mate[likely]], names[mate[likely]], differ[likely])
+        found = [(np.flatnonzero(b.mate >= 0), b) for b in (near, low)]
+        return [(rows, b.mate[rows], b.bits[rows]) for rows, b in found]
 
     def flush(own: np.ndarray, pair: np.ndarray, side: np.ndarray, *signed: np.ndarray) -> pa.RecordBatch:
         n = len(own)
-        all_words = [w.view(np.uint64) for w in signed]
+        names, all_words = signed[0], [w.view(np.uint64) for w in (signed if bits is None else signed[1:])]
         edges = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (pair[1:] != pair[:-1]), [True])))
         lo, hi = edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1]
         # of a pair of nodes, the rows of side 1 lie behind those of side 0
         second = np.concatenate(([0], np.cumsum(side)))
         mid = hi - (second[hi] - second[lo])
         mid = np.where(mid == lo, hi, mid)
-        label = np.arange(n)
+        label, found = np.arange(n), []
         choice = own[lo] >> 32
         for c in np.unique(choice):
             width, moves = forms[c % len(forms)]
@@ -273,11 +346,15 @@ def _link(words: int, budget: int, reach: int, bits: int):
             cross = m < b
             start = np.stack([a, m, np.where(cross, m, a), b, np.full(len(a), width), np.zeros(len(a), np.int64)], 1)
             pairs = close_pairs(key, start, reach)
-            if words > 1:
-                pairs = within([w[first:last] for w in all_words], pairs)
-            label[first:last] = _forest(last - first, pairs) + first
-        moved = np.flatnonzero(label != np.arange(n))
-        return pa.RecordBatch.from_arrays([pa.array(signed[0][moved]), pa.array(signed[0][label[moved]])], ["src", "dst"])
+            if bits is None:
+                label[first:last] = _forest(last - first, pairs) + first
+            else:
+                found += [(i + first, j + first, d) for i, j, d in links(names[first:last], [w[first:last] for w in all_words], pairs)]
+        if bits is None:
+            moved = np.flatnonzero(label != np.arange(n))
+            found = [(moved, label[moved], np.zeros(len(moved), np.int64))]
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), pa.array(d)], ["src", "dst", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -324,20 +401,28 @@ def node_pairs(rows: DataFrame, budget: int, subtrie_rows: int = SUBTRIE_ROWS) -
     return mine.join(parts.drop("deals"), ["own", "node", "deal"]).join(sides, ["own", "part"]).drop("node", "deal", "deals", "part", "cut_bits")
 
 
-def similar_links(prints: DataFrame, budget: int = BUDGET, reach: int | None = None, bits: int | None = None, words: int = 1, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
-    """(src, dst) links, by first words, that connect all distinct fingerprints as all their pairs would.
+def similar_links(prints: DataFrame, budget: int = BUDGET, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+    """(src, dst) links that connect all distinct fingerprints (``fp``, lists of one long) as all their pairs within ``budget`` bits would."""
+    return _walk(prints, 1, layouts(budget + 2), budget, None, subtrie_rows).select("src", "dst")
+
 
-    ``prints`` holds ``fp``, distinct lists of ``words`` longs, of distinct first
-    words. Every pair is met that differs in at most ``budget`` bits in one word;
-    pairs met are linked if that word differs in at most ``reach`` bits (``budget``
-    by default) and all words together in at most ``bits``, where given.
+def wide_links(prints: DataFrame, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+    """(src, dst, bits), src < dst, of texts that may be similar; ``fp`` lists a text's name and ``WIDE_WORDS`` words.
+
+    Met are pairs that agree in a block of a word and differ in at most
+    ``WIDE_REACH`` bits of it and ``WIDE_BITS`` of all. See ``_link`` for which of
+    them leave; the same link of several subtries leaves once.
     """
-    reach = budget if reach is None else reach
-    forms = layouts(budget)
-    longs = [f"w{k}" for k in range(words)]
+    links = _walk(prints, WIDE_WORDS, layouts(WIDE_BLOCKS, 1), WIDE_REACH, WIDE_BITS, subtrie_rows)
+    return links.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("bits").alias("bits"))
+
+
+def _walk(prints: DataFrame, words: int, forms: Layouts, reach: int, bits: int | None, subtrie_rows: int) -> DataFrame:
+    skip = 0 if bits is None else 1
+    longs = [f"w{k}" for k in range(words + skip)]
     choice = (F.col("x") % len(forms)).cast("int")
     rows = prints.select(F.explode(F.sequence(F.lit(0), F.lit(words * len(forms) - 1))).alias("x"), "fp")
-    rows = rows.withColumn("key", _arranged(F.element_at("fp", F.floor(F.col("x") / len(forms)).cast("int") + 1), choice, forms))
+    rows = rows.withColumn("key", _arranged(F.element_at("fp", F.floor(F.col("x") / len(forms)).cast("int") + 1 + skip), choice, forms))
     rows = rows.withColumn("width", F.element_at(F.array(*[F.lit(w) for w, _ in forms]), choice + 1))
     own = F.shiftleft(F.col("x").cast("long"), 32).bitwiseOR(F.expr("shiftrightunsigned(key, 64 - width)"))
     rows = rows.select(own.alias("own"), "key", "width", *[F.col("fp")[k].alias(w) for k, w in enumerate(longs)])
@@ -350,11 +435,11 @@ def similar_links(prints: DataFrame, budget: int = BUDGET, reach: int | None = N
         dealt = dealt.unionByName(node_pairs(rows.join(large, "own", "left_semi"), reach, subtrie_rows))
     # flipping the sign bit sorts the keys as unsigned, which is the order of the trie's leaves
     dealt = dealt.repartition("own", "pair").sortWithinPartitions("own", "pair", "side", F.col("key").bitwiseXOR(F.lit(-(2**63))))
-    return dealt.select("own", "pair", "side", *longs).mapInArrow(_link(words, budget, reach, 64 * words if bits is None else bits), "src long, dst long")
+    return dealt.select("own", "pair", "side", *longs).mapInArrow(_link(forms, reach, bits), "src long, dst long, bits long")
 
 
 def _kinds(slim: DataFrame, links, *facts: Column) -> DataFrame:
-    """One row per first word of the fingerprints of ``slim``: fp, n, the ``facts`` aggregated, and root, the group's name."""
+    """One row per name (the first long of ``prints``) of ``slim``: fp, n, the ``facts`` aggregated, and root, the group's name."""
     kinds = cut(slim.groupBy(F.col("prints")[0].alias("fp")).agg(F.min("prints").alias("prints"), F.count("*").alias("n"), *facts), "kinds")
     roots = cut(connected_components(links(kinds.select(F.col("prints").alias("fp")))), "roots").withColumnRenamed("node", "fp")
     return kinds.drop("prints").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -394,21 +479,52 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return _by_print(slim, kinds.join(linked, "root").select("fp", "n", "component_id")).select("doc_id", "fp", "component_id")
 
 
+def _tag(docs: DataFrame) -> Column:
+    """A hash of a row over all its columns; a null counts as a value of its own, a map as its sorted entries."""
+    parts = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        parts += [c.isNull(), F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c]
+    return F.xxhash64(*parts)
+
+
+def checked_links(met: DataFrame, docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
+    """The links of ``met`` whose shingle sets overlap by ``SIMILAR`` or more.
+
+    Up to ``WIDE_SURE`` differing bits the estimate stands. Of the other texts one
+    row each is read again, and the sets are compared link by link.
+    """
+    met = cut(met, "met")
+    sure, open_ = met.where(F.col("bits") <= WIDE_SURE).select("src", "dst"), met.where(F.col("bits") > WIDE_SURE).select("src", "dst")
+    names = open_.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    # the row whose text stands for a name: its smallest tag, which tells rows apart but for twins
+    rows = slim.select(F.col("prints")[0].alias("name"), "tag").join(names, "name").groupBy("name").agg(F.min("tag").alias("tag"))
+    text, mark = free_name(docs, "own_text"), free_name(docs, "own_tag")
+    texts = docs.select(F.col("text").alias(text), tag.alias(mark)).join(rows, F.col(mark) == F.col("tag")).select("name", F.col(text).alias("text"))
+    sets = cut(texts.withColumn("held", shingle_sets("text")).groupBy("name").agg(F.first("held").alias("held")), "sets")
+    of = lambda end: sets.select(F.col("name").alias(end), F.col("held").alias(f"{end}_held"))
+    both = open_.join(of("src"), "src").join(of("dst"), "dst")
+    shared = F.size(F.array_intersect("src_held", "dst_held"))
+    alike = shared >= SIMILAR * (F.size("src_held") + F.size("dst_held") - shared)
+    return sure.unionByName(both.where(alike).select("src", "dst"))
+
+
 def drop_near_duplicates(docs: DataFrame, prints: Column | None = None, links=None) -> DataFrame:
     """Keep one row of each near-duplicate group: that of the smallest doc_id, null last.
 
-    Groups come from operator 8's links; the default is the wide net of
-    ``wide_prints``: groups connect texts that agree in two of six blocks of one of
-    four words and differ in at most ``WIDE_BITS`` of 256 bits. Every row is judged
-    by its own text, so rows that share a doc_id may be of different groups. Of rows
-    of one doc_id in a group that of the smallest hash over all columns stays, and
-    of rows equal in all columns one. Null and empty texts are one group. The
-    columns pass unchanged, whatever their names; an empty table stays empty.
+    By default rows are linked whose five-word shingle sets overlap by ``SIMILAR``
+    or more, as far as operator 8's search meets them, and groups follow links
+    transitively: a row goes only if some other row is that similar to it, which is
+    the row kept or one that leads to it by such links. ``prints`` and ``links``
+    (over ``fp``) give another rule. Every row is judged by its own text, so rows
+    that share a doc_id may be of different groups. Of rows of one doc_id in a group
+    that of the smallest hash over all columns stays, and of rows equal in all
+    columns one. Null and empty texts are one group. The columns pass unchanged,
+    whatever their names and types; an empty table stays empty.
     """
-    prints = wide_prints("text") if prints is None else prints
-    links = links or (lambda p: similar_links(p, BUDGET, WIDE_REACH, WIDE_BITS, WIDE_WORDS))
-    tag = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    slim = cut(docs.select(F.col("doc_id"), tag.alias("tag"), prints.alias("prints")), "prints")
+    tag = _tag(docs)
+    slim = cut(docs.select(F.col("doc_id"), tag.alias("tag"), (wide_prints("text") if prints is None else prints).alias("prints")), "prints")
+    links = links or (lambda p: checked_links(wide_links(p), docs, slim, tag))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     kinds = cut(_kinds(slim, links, F.min(key).alias("best")), "groups")
     best = kinds.groupBy("root").agg(F.min("best").alias("kept"))
@@ -424,4 +540,6 @@ def drop_near_duplicates(docs: DataFrame, prints: Column | None = None, links=No
     if twins.isEmpty():
         return keep.join(named(gone).distinct(), same, "left_anti")
     kept = keep.join(named(gone).unionByName(named(twins)).distinct(), same, "left_anti")
-    return kept.unionByName(keep.join(named(twins), same, "left_semi").dropDuplicates())
+    whole = free_name(docs, "whole")
+    again = keep.join(named(twins), same, "left_semi").select(tag.alias(mark), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole))
+    return kept.unionByName(again.groupBy(mark).agg(F.first(whole).alias(whole)).select(f"{whole}.*"))
