@@ -270,10 +270,13 @@ def slow_losses(texts, marks):
             bits = 0.0
             for i in range(len(t)):
                 p = lmscore.WEIGHTS[0] / 256 + lmscore.WEIGHTS[1] * c.get((0, t[i]), 0) / total
-                for k in range(1, lmscore.ORDER):
+                for k in range(1, lmscore.ORDER) if i else ():
                     n = c.get((k, slow_slot(t, i, k)), 0)
-                    before = c.get((k - 1, slow_slot(t, i - 1, k - 1)), 0) if i else 0
+                    before = c.get((k - 1, slow_slot(t, i - 1, k - 1)), 0)
                     p += lmscore.WEIGHTS[k + 1] * n / max(before, n, 1)
+                if not i:
+                    opening = slow_slot(t, 0, lmscore.ORDER - 1)
+                    p += sum(lmscore.WEIGHTS[2:]) * c.get((lmscore.ORDER - 1, opening), 0) / max(1, sum(v for (k, g), v in c.items() if k == lmscore.ORDER - 1 and g < 256))
                 bits -= math.log2(p)
             row.append(bits / max(1, len(t)))
         out.append(row)
@@ -317,14 +320,30 @@ def exact_losses(texts, marks):
             bits = 0.0
             for i in range(len(t)):
                 prob = lmscore.WEIGHTS[0] / 256 + lmscore.WEIGHTS[1] * c.get(spot(p, i, 0), 0) / total
-                for k in range(1, lmscore.ORDER):
+                for k in range(1, lmscore.ORDER) if i else ():
                     n = c.get(spot(p, i, k), 0)
-                    prob += lmscore.WEIGHTS[k + 1] * n / max(c.get(spot(p, i - 1, k - 1), 0) if i else 0, n, 1)
+                    prob += lmscore.WEIGHTS[k + 1] * n / max(c.get(spot(p, i - 1, k - 1), 0), n, 1)
+                if not i:
+                    opened = sum(v for (k, g), v in c.items() if k == lmscore.ORDER - 1 and not any(g[:-1]))
+                    prob += sum(lmscore.WEIGHTS[2:]) * c.get(spot(p, 0, lmscore.ORDER - 1), 0) / max(1, opened)
                 bits -= math.log2(prob)
             row.append(bits / max(1, len(t)))
         yield row
 
 
+def test_first_bytes_are_a_law(spark):
+    """Over all first bytes the masses of either model add up to what orders above the first and the bytes that occur have."""
+    texts = [bytes([65 + k % 16]).decode() + "x" * (k % 5) for k in range(48)] + ["\x00\x00\x00\x00q"]
+    df = spark.createDataFrame([(t, k % 3 == 0) for k, t in enumerate(texts)], "text string, target boolean")
+    rows = lmscore.loss_table(lmscore.count(df)).where("gram < 256").collect()
+    for model, own in (("first_background", texts), ("first_target", texts[::3])):
+        mass = sum(2 ** -r[model] for r in rows)
+        seen = "".join(own).encode()
+        there = {r.gram for r in rows}
+        want = sum(lmscore.WEIGHTS[2:]) + lmscore.WEIGHTS[0] * len(there) / 256 + lmscore.WEIGHTS[1] * sum(b in there for b in seen) / len(seen)
+        assert mass == pytest.approx(want, rel=1e-5) and mass <= 1
+
+
 def test_lm_counts_every_ngram_by_itself(spark):
     rng = np.random.default_rng(7)
     texts = ["".join(map(chr, rng.integers(0, 0x3000, 9000))) for _ in range(8)] + ["\x00\x00\x00a", "a", ""]

@@ -105,7 +105,8 @@ def loss_table(counts: DataFrame) -> DataFrame:
     """(gram, background, target, first_background, first_target): bits at the last byte of each ORDER-gram, and where it starts a text.
 
     A shorter n-gram's count is the sum over the n-grams that end with it; its
-    context is the n-gram before it. At the start of a text there is no context.
+    context is the n-gram before it. A text's first byte has no context: the orders
+    above the first give their share to how many texts open so, of all texts.
     """
     models = ("background", "target")
     gram = F.col("gram")
@@ -117,15 +118,15 @@ def loss_table(counts: DataFrame) -> DataFrame:
             side = shorter.select("_key", *[F.col(m).alias(f"{name}{k}_{m}") for m in models])
             side = F.broadcast(side) if k < 3 else side  # 65,536 rows at most
             out = out.join(side, key.bitwiseAND(F.lit(mask)) == F.col("_key"), "left").drop("_key")
-    sums = counts.agg(*[F.sum(m).alias(m) for m in models]).first()
+    opens = gram < 256  # nothing before the byte
+    sums = counts.agg(*[F.sum(m).alias(m) for m in models], *[F.sum(F.when(opens, F.col(m))).alias(f"first_{m}") for m in models]).first()
     bits = {}
     for m in models:
         n = [F.coalesce(f"n{k}_{m}", F.lit(0)) for k in range(1, ORDER + 1)]
         base = F.lit(WEIGHTS[0] / 256) + F.lit(WEIGHTS[1] / max(sums[m] or 0, 1)) * n[0]
-        p, start = base, base
+        p, start = base, base + F.lit(sum(WEIGHTS[2:]) / max(sums[f"first_{m}"] or 0, 1)) * F.when(opens, n[-1]).otherwise(0)
         for k in range(1, ORDER):
             p = p + WEIGHTS[k + 1] * n[k] / F.greatest(F.coalesce(f"c{k}_{m}", F.lit(0)), n[k], F.lit(1))
-            start = start + F.when(n[k] > 0, WEIGHTS[k + 1]).otherwise(0.0)
         bits |= {m: (-F.log2(p)).cast("float"), f"first_{m}": (-F.log2(start)).cast("float")}
     return out.select("gram", *[bits[c].alias(c) for c in (*models, *[f"first_{m}" for m in models])])
 
