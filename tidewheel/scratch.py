@@ -62,5 +62,5 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        _OPEN[:] = [open_ for open_ in _OPEN if open_ is not made]  # lists of two scopes may be equal
         discard(spark, *made)
