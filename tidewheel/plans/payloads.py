@@ -14,7 +14,7 @@ from tidewheel.operators import candidates, evaluation, feedback, language, lear
 from tidewheel.plans import fixtures as X
 from tidewheel.plans.registry import query
 from tidewheel.scratch import shared_folder
-from tidewheel.sources import commits, exports, feeds, sinks
+from tidewheel.sources import commits, exports, feeds, mail, sinks
 
 R6 = lambda c: F.round(c, 6)
 
@@ -478,3 +478,15 @@ def language_accuracy(spark, d):
     docs, model = _identified(spark, d)
     held = docs.where("held_out").select("lang", model.language("text").alias("predicted"))
     return held.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if(F.col("predicted") == F.col("lang")).alias("correct"))
+
+
+@query("""WITH t AS (SELECT date_trunc('second', ts) AS ts, event_id, '2024-01-0' || (user_id % 5 + 1) AS d, unnest([0, 1]) AS pos FROM events), v AS (SELECT ts, d, pos, 'R' || ((event_id + pos) % 4) AS label, CASE pos WHEN 0 THEN 1 ELSE -1 END AS value FROM t),
+n AS (SELECT v.*, n_nationkey % 7 AS item_id FROM v JOIN nation ON d = '2024-01-0' || (n_nationkey % 5 + 1) AND label = 'R' || (n_nationkey // 5))
+SELECT item_id, value, ts AS created_at FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, pos DESC) = 1""")
+def mail_votes(spark, d):
+    """Replies as raw mails, one an event and each there twice, parsed and resolved against slates."""
+    e, n = F.col("event_id"), F.col("n_nationkey")
+    head = F.concat(F.lit("From: a@example.org\r\nSubject: =?utf-8?q?Re=3A_Digest?= 2024-01-0"), _str(F.col("user_id") % 5 + 1), F.lit("\r\nMessage-ID: <"), _str(e), F.lit("@example.org>\r\nDate: "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n"))
+    raw = X.table(spark, d, "events").select(F.concat(head, F.lit("Thank you!\r\nr"), _str(e % 4), F.lit(", =2DR"), _str((e + 1) % 4), F.lit("\r\n> +R0 +R1\r\n")).cast("binary").alias("content"))
+    slate = X.table(spark, d, "nation").select(F.concat(F.lit("2024-01-0"), _str(n % 5 + 1)).alias("digest_id"), F.concat(F.lit("R"), _str(F.floor(n / 5))).alias("label"), (n % 7).alias("item_id"))
+    return mail.votes(mail.fresh(mail.messages(raw.unionByName(raw)), None), slate)
