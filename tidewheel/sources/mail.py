@@ -9,10 +9,12 @@ twice, whatever fails in between.
 from __future__ import annotations
 
 import email
-import email.policy
 import hashlib
 from datetime import UTC
-from email.message import EmailMessage
+from email.errors import HeaderParseError
+from email.header import decode_header, make_header
+from email.message import Message
+from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,7 @@ _KIND = T.StructType([*[T.StructField(c, T.StringType()) for c in ("message_id",
 _ARROW = pa.struct([("message_id", pa.string()), ("sender", pa.string()), ("subject", pa.string()), ("sent_at", pa.timestamp("us", "UTC")), ("body", pa.string()), ("html", pa.bool_())])
 
 
-def _decoded(part: EmailMessage) -> str:
+def _decoded(part: Message) -> str:
     """A part's text by its charset; one that is unknown or wrong gives way to UTF-8, then to Latin-1, which always fits."""
     raw = part.get_payload(decode=True) or b""
     for charset in (part.get_content_charset(), "utf-8"):
@@ -43,13 +45,18 @@ def _decoded(part: EmailMessage) -> str:
     return raw.decode("latin-1")
 
 
-def _header(message: EmailMessage, name: str) -> str | None:
-    """A header with its encoded words undone; None where it is missing or can't be read."""
-    try:
-        value = message[name]
-    except (ValueError, IndexError, TypeError, AttributeError, LookupError):
+def _header(message: Message, name: str) -> str | None:
+    """A header with its encoded words undone, as it stands where they can't be; None where it is missing."""
+    value = message[name]
+    if value is None:
         return None
-    return None if value is None else str(value).encode("utf-8", "replace").decode()
+    value = str(value)
+    if "=?" in value:
+        try:
+            value = str(make_header(decode_header(value)))
+        except (ValueError, LookupError, HeaderParseError):
+            pass
+    return " ".join(value.split()).encode("utf-8", "replace").decode()
 
 
 def parsed(raw: bytes | None) -> dict | None:
@@ -59,17 +66,17 @@ def parsed(raw: bytes | None) -> dict | None:
     """
     if raw is None:
         return None
-    message = email.message_from_bytes(raw, policy=email.policy.default)
+    message = email.message_from_bytes(raw)
     texts = [p for p in message.walk() if not p.is_multipart() and p.get_content_maintype() == "text" and p.get_content_disposition() != "attachment"]
     plain = [p for p in texts if p.get_content_subtype() != "html"]
     part = (plain or texts or [None])[0]
     try:
-        sent = message["Date"].datetime if message["Date"] is not None else None
-    except (ValueError, IndexError, TypeError, AttributeError):
+        sent = parsedate_to_datetime(_header(message, "Date") or "")
+    except (ValueError, TypeError, IndexError):
         sent = None
     if sent is not None:
         sent = sent.replace(tzinfo=UTC) if sent.tzinfo is None else sent.astimezone(UTC)
-    name = (_header(message, "Message-ID") or "").strip() or "sha256:" + hashlib.sha256(raw).hexdigest()
+    name = _header(message, "Message-ID") or "sha256:" + hashlib.sha256(raw).hexdigest()
     body = _decoded(part).replace("\r\n", "\n") if part is not None else ""
     return {"message_id": name, "sender": _header(message, "From"), "subject": _header(message, "Subject"), "sent_at": sent, "body": body, "html": part is not None and not plain}
 
