@@ -26,6 +26,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of numbers, or one of structs of numbers as a row each."""
+    if not pa.types.is_struct(column.type):
+        return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    whole = column if isinstance(column, pa.Array) else column.combine_chunks()
+    return np.stack([f.to_numpy(zero_copy_only=False) for f in whole.flatten()], axis=1) if len(whole) else np.zeros((0, whole.type.num_fields), np.int64)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; rows of zeros stay."""
     n = np.linalg.norm(x, axis=1, keepdims=True)

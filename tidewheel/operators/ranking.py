@@ -79,7 +79,7 @@ def _nearest(items: DataFrame, exemplars: DataFrame, k: int, near, columns: tupl
     def best(v: pa.Array, ids: pa.Array) -> pa.Array:
         step = max(1, SIMS // max(1, len(block[key])))  # rows whose similarities are held at once
         rows = [slice(lo, lo + step) for lo in range(0, max(1, len(v)), step)]
-        x, mine = vectors.matrix(v), ids.to_numpy(zero_copy_only=False)
+        x, mine = vectors.matrix(v), vectors.numbers(ids)
         return pa.concat_arrays([vectors.nearest(*near(x[r], mine[r], block), k) for r in rows])
 
     return items.withColumn("_near", best(vector, own))
@@ -144,18 +144,37 @@ def negative_penalty(items: DataFrame, negatives: DataFrame, topic: str, weight:
     return out.withColumn(into, F.when(best.isNull(), 0.0).otherwise(weight * F.greatest(F.lit(0.0), best - F.col(topic) - margin))).drop("_near")
 
 
-def preference_scores(items: DataFrame, exemplars: DataFrame, k: int = L.KNN_K, vector: str = "vec", key: str = "item_id", into: str = "preference", limit: int = vectors.MAX_ROWS) -> DataFrame:
-    """Add the graded k-nearest-neighbour preference; exemplars have (item_id, vec, grade in -1..1)."""
-    out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.graded_sims(x, ids, e[key], e[vector], e["grade"]), ("grade",), vector, key, limit)
+def _as_of(near, key: str, at: str | None) -> tuple:
+    """(near, further columns, own) for exemplars of all times, or for those in force at the item's ``at``: since < at <= until."""
+    if at is None:
+        return near, (), None
+
+    def then(x: np.ndarray, ids: np.ndarray, e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sims, names, values = near(x, ids[:, 0], e)
+        when = ids[:, 1:]
+        sims[(e["since"] >= when) | (when > e["until"])] = -np.inf
+        return sims, names, values
+
+    return then, ("since", "until"), F.struct(F.col(key).cast("long").alias("id"), F.col(at).cast("long").alias("at"))
+
+
+def preference_scores(items: DataFrame, exemplars: DataFrame, k: int = L.KNN_K, vector: str = "vec", key: str = "item_id", into: str = "preference", limit: int = vectors.MAX_ROWS, at: str | None = None) -> DataFrame:
+    """Add the graded k-nearest-neighbour preference; exemplars have (item_id, vec, grade in -1..1).
+
+    With ``at``, a long column of the items, exemplars also have since and until and count where since < at <= until.
+    """
+    near, more, own = _as_of(lambda x, ids, e: vectors.graded_sims(x, ids, e[key], e[vector], e["grade"]), key, at)
+    out = _nearest(items, exemplars, k, near, ("grade", *more), vector, key, limit, own)
     weight = lambda z: F.pow(F.greatest(z["sim"], F.lit(0.0)), 2)
     add = lambda f: F.aggregate("_near", F.lit(0.0), lambda a, z: a + f(z))
     total = add(weight)
     return out.withColumn(into, F.when(total > 0, add(lambda z: weight(z) * z["number"]) / total).otherwise(0.0)).drop("_near")
 
 
-def affinities(items: DataFrame, exemplars: DataFrame, into: str, k: int = L.AFFINITY_K, vector: str = "vec", key: str = "item_id", limit: int = vectors.MAX_ROWS) -> DataFrame:
-    """Add the mean of the k largest weighted similarities; exemplars have (item_id, vec, weight)."""
-    out = _nearest(items, exemplars, k, lambda x, ids, e: vectors.weighted_sims(x, ids, e[key], e[vector], e["weight"]), ("weight",), vector, key, limit, factor="weight")
+def affinities(items: DataFrame, exemplars: DataFrame, into: str, k: int = L.AFFINITY_K, vector: str = "vec", key: str = "item_id", limit: int = vectors.MAX_ROWS, at: str | None = None) -> DataFrame:
+    """Add the mean of the k largest weighted similarities; exemplars have (item_id, vec, weight). ``at`` is as for ``preference_scores``."""
+    near, more, own = _as_of(lambda x, ids, e: vectors.weighted_sims(x, ids, e[key], e[vector], e["weight"]), key, at)
+    out = _nearest(items, exemplars, k, near, ("weight", *more), vector, key, limit, own, factor="weight")
     there = F.filter("_near", lambda z: z["sim"] > float("-inf"))
     return out.withColumn(into, F.aggregate(there, F.lit(0.0), lambda a, z: a + z["sim"]) / F.greatest(F.size(there), F.lit(1))).drop("_near")
 
