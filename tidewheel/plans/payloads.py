@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel import lexicons as L
 from tidewheel import schemas
 from tidewheel.functions import text, urls
-from tidewheel.operators import candidates, evaluation, feedback, language, learning, opportunities, ranking, summaries, upkeep
+from tidewheel.operators import candidates, evaluation, feedback, language, learning, opportunities, ranking, replay, summaries, upkeep
 from tidewheel.plans import fixtures as X
 from tidewheel.plans.registry import query
 from tidewheel.scratch import shared_folder
@@ -224,6 +224,64 @@ def held_out_benchmark(spark, d):
     return got.select("ranking", "n_train", "n_test", R6("accuracy").alias("accuracy"), R6("precision").alias("p"), R6("ndcg").alias("ndcg"))
 
 
+# ---- replays
+
+
+def _whole_items(spark, d):
+    return X.items(spark, d).join(X.vectors(spark, d).select("item_id", "vec"), "item_id")
+
+
+@query()
+def held_out_rankers(spark, d):
+    """All rankings at six splits in time."""
+    got = replay.held_out(_whole_items(spark, d), X.votes(spark, d), X.facets(spark, d), X.as_of())
+    return got.select("fraction", "ranking", "n_train", "n_test", "n_pairs", *[R6(c).alias(c) for c in ("accuracy", "ndcg", "precision")])
+
+
+@query()
+def per_facet_gate(spark, d):
+    """Whether a ranker on facet cosines would replace that on the engine's features."""
+    return replay.gate(replay.held_out(_whole_items(spark, d), X.votes(spark, d), X.facets(spark, d), X.as_of()))
+
+
+def _vote_log(spark, d):
+    """The votes and, for a third of the items, an earlier one of the other sign."""
+    now = X.votes(spark, d)
+    changed = now.where("item_id % 3 = 0").select("item_id", (F.col("vote_id") + 1000000000).alias("vote_id"), (-F.col("value")).alias("value"), (F.lit(100) - F.col("grade")).alias("grade"), (F.col("created_at") - F.expr("INTERVAL 12000 SECONDS")).alias("created_at"))
+    return now.unionByName(changed)
+
+
+@query(f"""WITH {X.VECTORS_SQL}, {X.VOTES_SQL},
+log AS (SELECT item_id, vote_id, value, grade, created_at FROM votes UNION ALL SELECT item_id, vote_id + 1000000000, -value, 100 - grade, created_at - INTERVAL 12000 SECOND FROM votes WHERE item_id % 3 = 0),
+ends AS (SELECT *, lead(created_at) OVER (PARTITION BY item_id ORDER BY created_at, vote_id) AS until FROM log),
+known AS (SELECT v.* FROM v JOIN documents ON doc_id = item_id),
+marks AS (SELECT item_id AS ex, vec AS e, value * greatest(0.05::DOUBLE, abs(grade - 50) / 50.0::DOUBLE) AS g, created_at AS since, until FROM ends JOIN known USING (item_id) WHERE value <> 0),
+final AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, vote_id DESC) = 1),
+j AS (SELECT item_id, item_id * 7919 % (item_id // 200 + 1) AS n FROM known UNION SELECT item_id, item_id // 200 + 1 + item_id % 3 FROM known),
+slate AS (SELECT n, make_timestamp((1704067200 + n * 12000) * 1000000) AS t0, item_id FROM j),
+asked AS (SELECT n, t0, item_id, vec, CASE WHEN created_at >= t0 THEN value ELSE 0 END AS label FROM slate JOIN known USING (item_id) LEFT JOIN final USING (item_id) QUALIFY max(abs(CASE WHEN created_at >= t0 THEN value ELSE 0 END)) OVER (PARTITION BY n) > 0),
+size AS (SELECT n, (SELECT count(*) FROM marks WHERE since < a.t0 AND (until IS NULL OR until >= a.t0)) AS n_train FROM (SELECT DISTINCT n, t0 FROM asked) a),
+s AS (SELECT n, item_id, list_reverse_sort(list(list_cosine_similarity(vec, f) * least(weight, 1))) AS l FROM asked, facets GROUP BY 1, 2),
+near AS (SELECT n, item_id, g, list_cosine_similarity(vec, e) AS c FROM asked JOIN marks ON since < t0 AND (until IS NULL OR until >= t0) AND ex <> item_id QUALIFY row_number() OVER (PARTITION BY n, item_id ORDER BY list_cosine_similarity(vec, e) DESC, ex DESC) <= 8),
+memory AS (SELECT n, item_id, CASE WHEN sum(greatest(c, 0) ** 2) > 0 THEN sum(greatest(c, 0) ** 2 * g) / sum(greatest(c, 0) ** 2) ELSE 0 END AS p FROM near GROUP BY 1, 2),
+both_ AS (SELECT n, item_id, label, n_train, 0.7::DOUBLE * l[1] + 0.3::DOUBLE * list_avg(l[1:3]) AS topic, coalesce(p, 0) AS p FROM asked JOIN s USING (n, item_id) JOIN size USING (n) LEFT JOIN memory USING (n, item_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY topic DESC, item_id) AS a, row_number() OVER (PARTITION BY n ORDER BY p DESC, item_id) AS b FROM both_),
+u AS (SELECT n, 'topic' AS ranking, n_train, item_id, label, topic AS score FROM placed UNION ALL SELECT n, 'fused', n_train, item_id, label, CASE WHEN n_train >= 20 THEN 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) ELSE topic END FROM placed),
+w AS (SELECT *, row_number() OVER (PARTITION BY n, ranking ORDER BY score DESC, item_id) AS pos FROM u),
+acc AS (SELECT x.n, x.ranking, avg(CASE WHEN x.score > y.score THEN 1 WHEN x.score = y.score THEN 0.5 ELSE 0 END::DOUBLE) AS accuracy FROM w x JOIN w y ON x.n = y.n AND x.ranking = y.ranking AND x.label > 0 AND y.label < 0 GROUP BY 1, 2),
+hd AS (SELECT n, ranking, n_train, count(*) AS n_test, count(*) FILTER (label > 0) AS ups, count(*) FILTER (label < 0) AS downs, sum(CASE WHEN pos <= 10 AND label > 0 THEN 1.0::DOUBLE / log2(pos + 1) ELSE 0 END) AS dcg, avg((label > 0)::INT) FILTER (pos <= 10) AS p FROM w GROUP BY 1, 2, 3)
+SELECT n::VARCHAR AS digest_id, ranking, n_train >= 20 OR ranking = 'topic' AS learnt, n_train, n_test, ups * downs AS n_pairs, round(accuracy, 6) AS accuracy, round(p, 6) AS p,
+  CASE WHEN ups > 0 THEN round(dcg / (SELECT sum(1.0::DOUBLE / log2(i + 1)) FROM range(1, least(ups, 10) + 1) t(i)), 6) END AS ndcg FROM hd LEFT JOIN acc USING (n, ranking)""")
+def replay_digests(spark, d):
+    """Digests ranked by topic and by the memory of the votes in force at their time, held against later votes."""
+    items = _whole_items(spark, d)
+    i = F.col("item_id")
+    numbers = F.explode(F.array_distinct(F.array((i * 7919) % (F.floor(i / 200) + 1), F.floor(i / 200) + 1 + i % 3)))
+    slates = items.select("item_id", numbers.alias("n")).select(_str(F.col("n")).alias("digest_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("n") * 12000).alias("at"), "item_id")
+    got = replay.replay(slates, _vote_log(spark, d), items, X.facets(spark, d), least=20).where(F.col("ranking").isin("topic", "fused"))
+    return got.select("digest_id", "ranking", "learnt", "n_train", "n_test", "n_pairs", R6("accuracy").alias("accuracy"), R6("precision").alias("p"), R6("ndcg").alias("ndcg"))
+
+
 # ---- exports and summaries
 
 
