@@ -67,6 +67,23 @@ def test_awkward_documents(spark, block):
             assert [tuple(s) for s in r.found.spans] == [(0, len(r.text) - len(" und mehr\n"))]
 
 
+@pytest.mark.parametrize("chunk", [1, 1 << 20])
+def test_automata_are_built_once_a_run(spark, chunk):
+    """Six batches in one task, three blocks: all six in one run, or each a run, which finds one automaton at hand."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        names = ["alpha beta", "gamma delta", "epsilon zeta"]
+        bench = spark.createDataFrame(list(enumerate(names)), "item_id long, text string").coalesce(1)
+        df = spark.createDataFrame([(i, f"so {names[i % 3]} {i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+        builds = spark.sparkContext.accumulator(0)
+        got = decontaminate.contamination(df, bench, block_bytes=1, chunk_bytes=chunk, builds=builds).collect()
+        assert all((r.hits.n_words, r.hits.n_hit, r.hits["items"]) == (4, 2, [str(r.doc_id % 3)]) for r in got) and len(got) == 60
+        assert builds.value == (3 if chunk > 1 else 3 + 5 * 2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_windows_do_not_start_inside_words(spark):
     bench = spark.createDataFrame([(1, "cat sat")], "item_id long, text string")
     df = spark.createDataFrame([(1, "the concat sat"), (2, "a CAT, sat."), (3, "cat saturn")], "doc_id long, text string")

@@ -12,14 +12,17 @@ back to character offsets of the text as it was.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Accumulator, Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +32,8 @@ from tidewheel.llm.common import buffers, powers
 WINDOW = 10
 #: Item bytes in one automaton, of which a process holds one at a time; further items make further automata.
 BLOCK_BYTES = 8_000_000
+#: Bytes of texts that are scanned for one block before the next is built.
+CHUNK_BYTES = 64_000_000
 
 _FOLD = bytes(ord(" ") if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -169,47 +174,72 @@ def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(chars[places[turn[::2], 0]].tolist(), chars[places[turn[1::2] - 1, 1]].tolist(), strict=True))
 
 
-def _scanner(shared: list[tuple[str, Broadcast]], window: int):
-    """Arrow function over texts that scans for all blocks of items, each automaton in its turn."""
+def _chunks(batches: Iterator[pa.Array], most: int) -> Iterator[list[pa.Array]]:
+    """Batches in runs of about ``most`` bytes, each of one batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scanner(shared: list[tuple[str, Broadcast]], window: int, chunk_bytes: int, builds: Accumulator):
+    """Arrow function over texts that scans a run of batches for one block of items after another, the one at hand first."""
 
     def block(token: str, items: Broadcast) -> Items:
         if token not in _BUILT:
             _BUILT.clear()
-            _BUILT[token] = build(items.value, window)
+            _BUILT[token] = build(pickle.loads(zlib.decompress(items.value)), window)
+            builds.add(1)
         return _BUILT[token]
 
-    @F.arrow_udf(_HIT)
-    def run(texts: pa.Array) -> pa.Array:
-        data, offsets = buffers(texts)
-        raw = memoryview(data)
-        ranges = list(zip(offsets[:-1], offsets[1:], strict=True))
-        sizes = [0] * len(ranges)
-        marks: dict[int, np.ndarray] = {}
-        names: dict[int, set[str]] = {}
-        for token, items in shared:
+    def scan(batches: list[pa.Array], order: list[tuple[str, Broadcast]]) -> Iterator[pa.Array]:
+        texts = []  # (text bytes, ranges of its rows) of each batch
+        for batch in batches:
+            data, offsets = buffers(batch)
+            texts.append((memoryview(data), list(zip(offsets[:-1], offsets[1:], strict=True))))
+        sizes = [[0] * len(ranges) for _, ranges in texts]
+        marks: dict[tuple[int, int], np.ndarray] = {}
+        names: dict[tuple[int, int], set[str]] = {}
+        for token, items in order:
             own = block(token, items)
+            for at, (raw, ranges) in enumerate(texts):
+                for k, (a, b) in enumerate(ranges):
+                    found = words(bytes(raw[a:b]))
+                    sizes[at][k] = len(found)
+                    hit, met = hits(found, own)
+                    if len(met):
+                        marks[at, k] = marks[at, k] | hit if (at, k) in marks else hit
+                        names.setdefault((at, k), set()).update(own.names[i] for i in met)
+        for at, (raw, ranges) in enumerate(texts):
+            rows = [{"n_words": n, "n_hit": 0, "items": [], "spans": []} for n in sizes[at]]
             for k, (a, b) in enumerate(ranges):
-                found = words(bytes(raw[a:b]))
-                sizes[k] = len(found)
-                hit, met = hits(found, own)
-                if len(met):
-                    marks[k] = marks[k] | hit if k in marks else hit
-                    names.setdefault(k, set()).update(own.names[i] for i in met)
-        rows = [{"n_words": n, "n_hit": 0, "items": [], "spans": []} for n in sizes]
-        for k, hit in marks.items():
-            a, b = ranges[k]
-            rows[k].update(n_hit=int(hit.sum()), items=sorted(names[k]), spans=[{"start": x, "end": y} for x, y in spans(bytes(raw[a:b]), hit)])
-        return pa.array(rows, _ARROW_HIT)
+                if (at, k) in marks:
+                    hit = marks.pop((at, k))
+                    rows[k].update(n_hit=int(hit.sum()), items=sorted(names[at, k]), spans=[{"start": x, "end": y} for x, y in spans(bytes(raw[a:b]), hit)])
+            yield pa.array(rows, _ARROW_HIT)
+
+    @F.arrow_udf(_HIT)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for held in _chunks(batches, chunk_bytes):
+            at_hand = [pair for pair in shared if pair[0] in _BUILT]
+            yield from scan(held, at_hand + [pair for pair in shared if pair not in at_hand])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "hits") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "hits", chunk_bytes: int = CHUNK_BYTES, builds: Accumulator | None = None) -> DataFrame:
     """Add ``hits`` (or the column named by ``into``) to ``docs``: struct(n_words, n_hit, items, spans) of every whole text.
 
-    Items are shared with the executors in blocks of about ``block_bytes``; a task
-    scans its texts for one block after another, holding one automaton, so memory is
-    bounded and texts stay where they are. A null text has no words; a null item text
+    Items are shared with the executors in blocks of about ``block_bytes``. A task
+    takes its texts in runs of about ``chunk_bytes`` and scans a run for one block
+    after another; of b blocks it builds b - 1 automata for each run after the first,
+    where b is 1 none. A worker holds one automaton, one run of texts and the items in
+    compressed form; texts stay where they are. ``builds`` counts the automata. A null text has no words; a null item text
     has no window; a null item id is named ``null``; items with equal ids count
     once; repeated rows are answered one by one; an empty benchmark hits nothing.
     Columns other than ``text`` pass unchanged; a column of the result's name is
@@ -218,7 +248,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     spark = docs.sparkSession
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     shared, held, size = [], [], 0
-    share = lambda rows: shared.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+    share = lambda rows: shared.append((uuid.uuid4().hex, spark.sparkContext.broadcast(zlib.compress(pickle.dumps(rows)))))
     for r in named.toLocalIterator():
         held.append((r.item, r.text))
         size += len((r.text or "").encode()) + 16
@@ -227,4 +257,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             held, size = [], 0
     if held or not shared:
         share(held)
-    return docs.withColumn(into, _scanner(shared, window)("text"))
+    return docs.withColumn(into, _scanner(shared, window, chunk_bytes, spark.sparkContext.accumulator(0) if builds is None else builds)("text"))
