@@ -67,7 +67,7 @@ def slow_run(now, ids, labels, must, marks, vec, plain, facets, weights, age):
     ups, downs = [m["item"] for m in marks if m["value"] > 0], [m["item"] for m in marks if m["value"] < 0]
     known = {i: features(i) for i in {*ids, *ups, *downs}}
     scores = {"topic": [topic(i) for i in ids]}
-    place = lambda s: {i: p for p, (_, i) in enumerate(sorted((-v, i) for v, i in zip(s, ids, strict=True)))}
+    place = lambda s: {i: p for p, (_, i) in enumerate(sorted((-round(v, 12), i) for v, i in zip(s, ids, strict=True)))}
     a = place(scores["topic"])
 
     def fuse(second):

@@ -28,6 +28,8 @@ RANKERS = ("lr_fused", "per_facet", "facets_only")
 MAX_FACETS = 512
 #: Inverse strength of the ranker's penalty, and the grade of an item that must be read.
 C, MUST_READ = 0.3, 100
+#: Decimals that scores are ranked by: a mean of equal grades is the same grade, however it was rounded.
+DIGITS = 12
 EVER, NEVER = -(1 << 62), (1 << 62)
 _MODEL = "run string, ranker string, coefficients array<double>"
 
@@ -206,7 +208,7 @@ def evaluate(asked: DataFrame, runs: DataFrame, marks: DataFrame, items: DataFra
     rows = asked.join(met, ["run", "item_id"]).join(counted.select("run", "n_train"), "run").join(models, "run", "left")
     enough = F.col("n_train") >= least
     signals = {"topic": (F.lit(True), F.col("topic")), "fused": (enough & (F.col("n_train") > 0), F.col("preference"))} | {r: (enough & F.col(f"_{r}").isNotNull(), dot(F.col(r), F.col(f"_{r}"))) for r in RANKERS}
-    table = F.array(*[F.struct(F.lit(name).alias("ranking"), ok.alias("learnt"), F.when(ok, score).otherwise(F.col("topic")).alias("score")) for name, (ok, score) in signals.items()])
+    table = F.array(*[F.struct(F.lit(name).alias("ranking"), ok.alias("learnt"), F.round(F.when(ok, score).otherwise(F.col("topic")), DIGITS).alias("score")) for name, (ok, score) in signals.items()])
     long = cut(rows.select("run", "item_id", "label", "must", "n_train", F.explode(table).alias("s")).select("run", "item_id", "label", "must", "n_train", "s.*"), "signals")
     placed = cut(grouped_ranks(long, ["run", "ranking"], "score", "item_id", "_b").drop("_range"), "placed")
     topic = placed.where("ranking = 'topic'").select("run", "item_id", F.col("_b").alias("_a"))

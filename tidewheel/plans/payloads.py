@@ -264,7 +264,7 @@ size AS (SELECT n, (SELECT count(*) FROM marks WHERE since < a.t0 AND (until IS
 s AS (SELECT n, item_id, list_reverse_sort(list(list_cosine_similarity(vec, f) * least(weight, 1))) AS l FROM asked, facets GROUP BY 1, 2),
 near AS (SELECT n, item_id, g, list_cosine_similarity(vec, e) AS c FROM asked JOIN marks ON since < t0 AND (until IS NULL OR until >= t0) AND ex <> item_id QUALIFY row_number() OVER (PARTITION BY n, item_id ORDER BY list_cosine_similarity(vec, e) DESC, ex DESC) <= 8),
 memory AS (SELECT n, item_id, CASE WHEN sum(greatest(c, 0) ** 2) > 0 THEN sum(greatest(c, 0) ** 2 * g) / sum(greatest(c, 0) ** 2) ELSE 0 END AS p FROM near GROUP BY 1, 2),
-both_ AS (SELECT n, item_id, label, n_train, 0.7::DOUBLE * l[1] + 0.3::DOUBLE * list_avg(l[1:3]) AS topic, coalesce(p, 0) AS p FROM asked JOIN s USING (n, item_id) JOIN size USING (n) LEFT JOIN memory USING (n, item_id)),
+both_ AS (SELECT n, item_id, label, n_train, round(0.7::DOUBLE * l[1] + 0.3::DOUBLE * list_avg(l[1:3]), 12) AS topic, round(coalesce(p, 0), 12) AS p FROM asked JOIN s USING (n, item_id) JOIN size USING (n) LEFT JOIN memory USING (n, item_id)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY topic DESC, item_id) AS a, row_number() OVER (PARTITION BY n ORDER BY p DESC, item_id) AS b FROM both_),
 u AS (SELECT n, 'topic' AS ranking, n_train, item_id, label, topic AS score FROM placed UNION ALL SELECT n, 'fused', n_train, item_id, label, CASE WHEN n_train >= 20 THEN 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) ELSE topic END FROM placed),
 w AS (SELECT *, row_number() OVER (PARTITION BY n, ranking ORDER BY score DESC, item_id) AS pos FROM u),
