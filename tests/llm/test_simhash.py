@@ -300,3 +300,51 @@ def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
     rows = [(1, copy), (2, copy), (2, other), (3, third), (3, other), (3, third), (4, None), (4, "one more text that nobody else has written down")]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, copy), (2, other), (3, third), (4, ""), (4, rows[-1][1])])
+
+
+def kept_ids(spark, texts, slices=4):
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(texts.items()), slices), "doc_id long, text string")
+    return {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+
+
+def test_no_link_at_four_fifths_is_lost(spark):
+    """Groups that hang on single pairs just over 0.8, with nearer mates under it: the net meets or hands on too few of them."""
+    rng = random.Random(6)
+    texts = {}
+    for k in range(400):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((64, 104, 204)))]
+        texts[3 * k] = " ".join(w)
+        n = len(w) - 4
+        # a run of changed words costs its length plus four shingles: j = n - run - 4 shared of 2 n - j
+        run = max(r for r in range(1, n) if (n - r - 4) >= 0.8 * (2 * n - (n - r - 4)))
+        at = rng.randrange(4, len(w) - run - 4)
+        texts[3 * k + 1] = " ".join(w[:at] + [f"v{rng.randrange(10**6)}" for _ in range(run)] + w[at + run :])
+        texts[3 * k + 2] = " ".join(w[: at - 1] + [f"u{rng.randrange(10**6)}" for _ in range(run + 1)] + w[at + run :])
+    root = exact_groups(texts)
+    assert sum(i != r for i, r in root.items()) >= 400
+    assert kept_ids(spark, texts) == set(root.values())
+
+
+def test_texts_of_one_repeated_line_are_no_copies(spark):
+    line = "one line that is there once more "
+    texts = {k: line * 400 + " ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)}
+    assert kept_ids(spark, texts) == set(texts)
+
+
+def test_a_table_keeps_one_row_of_each_exact_group(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(exact_groups(texts).values())
+
+
+@pytest.mark.parametrize("common", [0, 50, 400])
+def test_fronts_of_similar_sets_meet(common):
+    rng = np.random.default_rng(common)
+    known = np.unique(rng.integers(0, 2**63, common).astype(np.uint64))
+    counts = rng.integers(4, 20, len(known))
+    for n in [*range(1, 30), 100, 399]:
+        pool = np.concatenate((known, rng.integers(0, 2**63, 400).astype(np.uint64)))
+        a = rng.choice(pool, n, replace=False)
+        for m in range(int(np.ceil(0.8 * n)), n + 1):
+            b = rng.choice(a, m, replace=False)
+            assert len(np.intersect1d(simhash.front(np.sort(a), known, counts), simhash.front(np.sort(b), known, counts)))

@@ -10,11 +10,15 @@ budget. A subtrie of many rows is cut at deeper nodes and these are paired the s
 way before rows are dealt. From every subtrie only a spanning forest of its links
 leaves.
 
-The corpus pipeline's stage uses the same search as a net for an exact rule, five-word
-shingle sets that overlap by ``SIMILAR`` or more: ten words of 64 bits a text, each cut
-into four blocks, one of which must agree. There a subtrie hands on two links of each
-row, to the nearest text and to one within the estimate, and links are checked against
-the shingle sets before they count.
+The corpus pipeline's stage follows an exact rule instead, five-word shingle sets that
+overlap by ``SIMILAR`` or more: sets that do share a shingle of their fronts, so the
+lists of the fronts' shingles meet every such pair (``overlap_links``). Links to the
+lists' first sets make most groups; then all pairs between groups are compared.
+
+``wide_links`` is a net for such pairs that needs no sets: ten words of 64 bits a text,
+each cut into four blocks, one of which must agree. A subtrie hands on two links of
+each row, to the nearest text and to one within the estimate. It may miss pairs, so
+the stage does not use it.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import types as T
 
 from tidewheel.llm.common import buffers, free_name, powers, steps
 from tidewheel.operators.components import connected_components
-from tidewheel.scratch import cut
+from tidewheel.scratch import cut, discard, scope
 
 SHINGLE = 4
 SEED = 42
@@ -49,8 +53,13 @@ SIMILAR, WIDE_SHINGLE = 0.8, 5
 #: The wide net: words of a fingerprint, blocks of a word, bits of one word and of all that may differ. Texts at
 #: ``SIMILAR`` differ in 97 of 640 bits, give or take 9; 122 lets 99.6 % of them through.
 WIDE_WORDS, WIDE_BLOCKS, WIDE_REACH, WIDE_BITS = 10, 4, 14, 122
-#: Bits up to which the estimate is 0.8 or more, and up to which it can't be wrong (once in ten million at ``SIMILAR``).
-WIDE_LIKELY, WIDE_SURE = 100, 50
+#: Bits up to which the estimate is 0.8 or more.
+WIDE_LIKELY = 100
+#: Shingles are counted in one of this many rows, to put common ones last in the sets' order, and from this count on
+#: they are common; so many of the most common ones are told apart. Any order gives the same links.
+COUNTED_ROWS, COMMON_COUNT, COMMON_SHINGLES = 16, 4, 500_000
+#: The share of its front that a set has in lists of one first set, to be compared with that one before all other pairs.
+STAR_SHARE = 0.25
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,6 +168,13 @@ def wide_prints(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (WIDE_WORDS + 1)), pa.array(flat.view(np.int64)))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def set_names(texts: pa.Array) -> pa.Array:
+    """The hash of each text's shingle set, one signed long in a list; null counts as empty."""
+    names = np.array([xxhash.xxh64_intdigest(own.tobytes()) for own in _sets(texts)], np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32)), pa.array(names))
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def shingle_sets(texts: pa.Array) -> pa.Array:
     """Each text's shingle hashes once each; null counts as empty."""
@@ -489,32 +505,139 @@ def _tag(docs: DataFrame) -> Column:
 
 
 def checked_links(met: DataFrame, docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
-    """The links of ``met`` whose shingle sets overlap by ``SIMILAR`` or more.
+    """The pairs (src, dst) of names of ``met`` whose shingle sets overlap by ``SIMILAR`` or more.
 
-    Up to ``WIDE_SURE`` differing bits the estimate stands. Of the other texts one
-    row each is read again, and the sets are compared link by link.
+    Of the texts met one row each is read again, and the sets are compared pair by pair.
     """
-    met = cut(met, "met")
-    sure, open_ = met.where(F.col("bits") <= WIDE_SURE).select("src", "dst"), met.where(F.col("bits") > WIDE_SURE).select("src", "dst")
-    names = open_.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    met = cut(met.select("src", "dst"), "met")
+    names = met.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     # the row whose text stands for a name: its smallest tag, which tells rows apart but for twins
-    rows = slim.select(F.col("prints")[0].alias("name"), "tag").join(names, "name").groupBy("name").agg(F.min("tag").alias("tag"))
+    rows = cut(slim.select(F.col("prints")[0].alias("name"), "tag").join(names, "name").groupBy("name").agg(F.min("tag").alias("tag")), "rows")
     text, mark = free_name(docs, "own_text"), free_name(docs, "own_tag")
     texts = docs.select(F.col("text").alias(text), tag.alias(mark)).join(rows, F.col(mark) == F.col("tag")).select("name", F.col(text).alias("text"))
     sets = cut(texts.withColumn("held", shingle_sets("text")).groupBy("name").agg(F.first("held").alias("held")), "sets")
     of = lambda end: sets.select(F.col("name").alias(end), F.col("held").alias(f"{end}_held"))
-    both = open_.join(of("src"), "src").join(of("dst"), "dst")
+    both = met.join(of("src"), "src").join(of("dst"), "dst")
     shared = F.size(F.array_intersect("src_held", "dst_held"))
     alike = shared >= SIMILAR * (F.size("src_held") + F.size("dst_held") - shared)
-    return sure.unionByName(both.where(alike).select("src", "dst"))
+    return both.where(alike).select("src", "dst")
+
+
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text; null counts as empty."""
+    data, offsets = buffers(texts)
+    raw = memoryview(data)
+    for lo, hi in steps(offsets):
+        h, n = shingle_hashes([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+        yield from (shingle_set(own) for own in np.split(h, np.cumsum(n)[:-1]))
+
+
+def common_shingles(docs: DataFrame, tag: Column) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of ``docs``, ascending, and their counts among one of ``COUNTED_ROWS`` rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [own.view(np.int64) for own in _sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["token"])
+
+    some = docs.where(F.pmod(tag, F.lit(COUNTED_ROWS)) == 0).select(F.col("text").cast("string").alias("text"))
+    counts = some.mapInArrow(each, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_COUNT)
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON_SHINGLES).toArrow()
+    tokens, n = (top.column(c).to_numpy() for c in ("token", "n"))
+    tokens = tokens.view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def front(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which any set that overlaps it by ``SIMILAR`` has one in its own front.
+
+    Sets have one order, rare shingles first, then by hash. Of n shingles such a
+    partner shares ``SIMILAR`` x n, so it can't miss all of the first n less that plus one.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
+    return own[: len(own) - int(np.ceil(SIMILAR * len(own) - 1e-6)) + 1] if len(own) else own
+
+
+def fronts(docs: DataFrame, tag: Column) -> DataFrame:
+    """(token, name, size, first): the shingles that fronts of several names share, and the smallest of these names."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, tag))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            tokens, names, sizes, n = [np.zeros(0, np.uint64)], [], [], []
+            for own in _sets(batch.column("text")):
+                tokens.append(front(own, common, counts))
+                names.append(xxhash.xxh64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                n.append(len(tokens[-1]))
+            columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.uint64).view(np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "name", "size"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "token long, name long, size int")
+    mine = Window.partitionBy("token")
+    return rows.withColumns({"first": F.min("name").over(mine), "last": F.max("name").over(mine)}).where("first < last").drop("last").distinct()
+
+
+def _near(a: str, b: str) -> Column:
+    """Sizes that an overlap of ``SIMILAR`` allows."""
+    return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-6
+
+
+def pairs_between(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (src, dst), src < dst, of names that may overlap by ``SIMILAR`` and that ``roots`` (node, root) has in different groups.
+
+    ``lists`` has the rows of ``fronts``. Of two sets, one has its whole front before
+    the end of the other's, so it shares with that front what it shares of its own,
+    and at most all behind it: pairs whose fronts share too little for the overlap
+    are none. Texts of one group are never paired, so a large group costs what it
+    shares with others.
+    """
+    rows = lists.drop("first").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    mine = Window.partitionBy("token")
+    groups = rows.groupBy("token", "root").agg(F.min("size").alias("small"), F.max("size").alias("large"))
+    groups = groups.withColumns({"lo": F.min("root").over(mine), "hi": F.max("root").over(mine)}).where("lo < hi")
+    groups = cut(groups.drop("lo", "hi"), "groups")
+    rows = cut(rows.join(groups.select("token", "root"), ["token", "root"], "left_semi"), "mixed")
+    of = lambda df, end: df.select("token", *[F.col(c).alias(f"{end}_{c}") for c in df.columns if c != "token"])
+    met = of(groups, "a").join(of(groups, "b"), "token").where("a_root < b_root")
+    met = met.where((F.col("a_large") >= SIMILAR * F.col("b_small") - 1e-6) & (F.col("b_large") >= SIMILAR * F.col("a_small") - 1e-6))
+    met = met.select("token", "a_root", "b_root").join(of(rows, "a"), ["token", "a_root"]).join(of(rows, "b"), ["token", "b_root"]).where(_near("a_size", "b_size"))
+    pairs = met.groupBy(F.least("a_name", "b_name").alias("src"), F.greatest("a_name", "b_name").alias("dst"), (F.col("a_size") + F.col("b_size")).alias("both"), F.greatest("a_size", "b_size").alias("more")).agg(F.count("*").alias("n"))
+    behind = F.ceil(SIMILAR * F.col("more") - 1e-6) - 1
+    return pairs.where(F.col("n") + behind >= SIMILAR / (1 + SIMILAR) * F.col("both") - 1e-6).select("src", "dst")
+
+
+def overlap_links(docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
+    """(src, dst) links that connect all names as all their pairs that overlap by ``SIMILAR`` or more would.
+
+    A set is compared with the first of each list that it shares a good part of its
+    front with, which makes most groups; then all pairs between groups that may
+    overlap are compared.
+    """
+    spark = docs.sparkSession
+    lists = cut(fronts(docs, tag), "fronts")
+    with scope(spark) as made:
+        stars = lists.where("name > first").groupBy("name", "first").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        stars = stars.where(F.col("n") >= STAR_SHARE * (1 - SIMILAR) * F.col("size")).select(F.col("first").alias("src"), F.col("name").alias("dst"))
+        near = cut(checked_links(stars, docs, slim, tag), "near")
+        made.remove(near.cut_path)
+    with scope(spark) as made:
+        roots = cut(connected_components(near), "near_roots")
+        rest = cut(checked_links(pairs_between(lists, roots), docs, slim, tag), "rest")
+        made.remove(rest.cut_path)
+    discard(spark, lists.cut_path)
+    return near.unionByName(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, prints: Column | None = None, links=None) -> DataFrame:
     """Keep one row of each near-duplicate group: that of the smallest doc_id, null last.
 
-    By default rows are linked whose five-word shingle sets overlap by ``SIMILAR``
-    or more, as far as operator 8's search meets them, and groups follow links
-    transitively: a row goes only if some other row is that similar to it, which is
+    By default all rows are linked whose five-word shingle sets overlap by
+    ``SIMILAR`` or more, and groups follow links transitively: a row goes only if some other row is that similar to it, which is
     the row kept or one that leads to it by such links. ``prints`` and ``links``
     (over ``fp``) give another rule. Every row is judged by its own text, so rows
     that share a doc_id may be of different groups. Of rows of one doc_id in a group
@@ -523,8 +646,8 @@ def drop_near_duplicates(docs: DataFrame, prints: Column | None = None, links=No
     whatever their names and types; an empty table stays empty.
     """
     tag = _tag(docs)
-    slim = cut(docs.select(F.col("doc_id"), tag.alias("tag"), (wide_prints("text") if prints is None else prints).alias("prints")), "prints")
-    links = links or (lambda p: checked_links(wide_links(p), docs, slim, tag))
+    slim = cut(docs.select(F.col("doc_id"), tag.alias("tag"), (set_names("text") if prints is None else prints).alias("prints")), "prints")
+    links = links or (lambda p: overlap_links(docs, slim, tag))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     kinds = cut(_kinds(slim, links, F.min(key).alias("best")), "groups")
     best = kinds.groupBy("root").agg(F.min("best").alias("kept"))
