@@ -119,3 +119,15 @@ def test_many_equal_lengths_over_many_tasks(spark, plainly):
     docs = spark.range(3000).selectExpr("id % 7 as doc_id", "if(id % 3 = 0, null, 'one two') as text").repartition(9)
     rows = packing.pack(docs, capacity=8).collect()
     assert whole(rows, docs.collect(), plainly, 8) == slow_best_fit([r.length for r in rows], 8)
+
+
+def test_plain_words_need_no_full_encoding(monkeypatch):
+    """Small Latin-1 letters, and marks behind them, give the vocabulary's ids without its normaliser and splitting."""
+    path = packing.default_vocabulary()
+    text = "thhaedhe bebe. onntha.%%% esthat$$$ heitßch, ñezóas, èçque!? naïveÿ don't x'll, a'%s ÷ a÷b abc<|endoftext|> c<|x| é́a µm q_r_ [z] z[] z\\^`"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Coder(path).ids(text.encode()), "<u4").tolist() == want
+    code, given = packing.Coder(path), []
+    monkeypatch.setattr(code, "tokenizer", type("Seen", (), {"encode_batch_fast": lambda self, runs, **kw: given.extend(runs) or packing.coder(path).tokenizer.encode_batch_fast(runs, **kw)})())
+    code.ids("thhaedhe onntha.%%% heitßch, èçque!? esthat$$$".encode())
+    assert set(given) == {".%%%", ",", "!?", "$$$"}

@@ -15,6 +15,7 @@ Ranks need no sort: a task numbers its own pieces by length, and the counts of
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,9 +42,21 @@ STEP_BYTES = 4_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STOPS = (b".", b",")
 _SPACE = re.compile(rb"[\t-\r ]")
+#: One word to the splitting pattern, and unchanged by the normaliser: small letters of Latin-1. Behind it, one piece of
+#: ASCII marks; an apostrophe among them might be joined to letters.
+_WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _CODERS: dict[str, Coder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_LETTERS = _byte_letters()
+
+
 def default_vocabulary() -> str:
     """Path of the installed vocabulary with word ends."""
     import public_tokenizers
@@ -62,15 +75,30 @@ class Coder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.kept: dict[bytes, bytes] = {}
 
     def _encode(self, runs: list[bytes]) -> None:
+        others = []
+        for r in runs:
+            if (word := _WORD.fullmatch(r.decode())) and not word[2]:
+                letters = word[1] if r.isascii() else r.decode("latin-1").translate(_LETTERS)
+                ids = [t.id for t in self.merges.tokenize(letters)]
+                self.kept[r] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(r)
+        runs = others
         found = self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
         self.kept.update(zip(runs, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
 
     def _learn(self, runs: set[bytes]) -> None:
         ends = [(r, r[:-1], r[-1:]) for r in runs if r[-1:] in _STOPS and r[:-1].decode().isalpha()]
-        parts = runs.difference(r for r, _, _ in ends).union(*((a, b) for _, a, b in ends))
+        parts = runs.difference(r for r, _, _ in ends)
+        for r in list(parts):
+            if (word := _WORD.fullmatch(r.decode())) and word[2]:
+                ends.append((r, word[1].encode(), word[2].encode()))
+                parts.remove(r)
+        parts = parts.union(*((a, b) for _, a, b in ends))
         self._encode(list(parts.difference(self.kept)))
         self.kept.update((r, self.kept[a] + self.kept[b]) for r, a, b in ends)
 
@@ -96,6 +124,9 @@ class Coder:
                 if len(r) > KEPT_BYTES:
                     del self.kept[r]
                     self.kept.pop(r[:-1], None)
+                    if word := _WORD.fullmatch(r.decode()):
+                        for part in word.groups():
+                            self.kept.pop(part.encode(), None)
         return b"".join(out)
 
 
