@@ -348,3 +348,83 @@ def test_fronts_of_similar_sets_meet(common):
         for m in range(int(np.ceil(0.8 * n)), n + 1):
             b = rng.choice(a, m, replace=False)
             assert len(np.intersect1d(simhash.front(np.sort(a), known, counts), simhash.front(np.sort(b), known, counts)))
+
+
+@pytest.mark.parametrize("common", [0, 200])
+def test_keys_of_sets_that_just_overlap_meet(common):
+    """Sets at 0.8 or the least above it, of other sizes and octaves, each with shingles of its own."""
+    rng = np.random.default_rng(common)
+    known = np.unique(rng.integers(0, 2**63, common).astype(np.uint64))
+    counts = rng.integers(4, 20, len(known))
+    for n in [*range(4, 40), 63, 64, 65, 130, 300]:
+        for _ in range(8):
+            pool = rng.permutation(np.concatenate((known, rng.integers(0, 2**63, 3 * n).astype(np.uint64))))
+            m = int(rng.integers(int(np.ceil(0.8 * n)), int(n / 0.8 + 1e-6) + 1))
+            share = int(np.ceil((n + m) * 0.8 / 1.8 - 1e-6))
+            if share <= min(n, m):
+                a, b = np.sort(pool[:n]), np.sort(pool[n - share : n - share + m])
+                assert len(np.intersect1d(simhash.front(a, known, counts), simhash.front(b, known, counts)))
+
+
+def test_sets_in_too_few_classes_meet(monkeypatch):
+    """Where all shingles share one class, no key is safe; such sets have one of their own."""
+    monkeypatch.setattr(simhash, "LEAST_CLASSES", 1)
+    monkeypatch.setattr(simhash, "CLASS_SHINGLES", 1000)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    a = np.arange(1, 6, dtype=np.uint64)
+    assert len(np.intersect1d(simhash.front(a, *none), simhash.front(a[:4], *none)))
+
+
+def cloud(rng, n):
+    """Copies of one text with few words changed each, near 0.7 of each other; some pairs are at 0.8."""
+    words = [f"w{k}" for k in range(150)]
+    texts = {}
+    for k in range(n):
+        own = list(words)
+        for at in rng.sample(range(150), rng.randrange(2, 6)):
+            own[at] = f"v{rng.randrange(10**6)}"
+        texts[k] = " ".join(own)
+    return texts
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Of 400 near copies most pairs are under 0.8 and must be compared, yet no table grows with their 79,800 pairs."""
+    texts, rows = cloud(random.Random(8), 400), {}
+    real = simhash.cut
+
+    def cut(df, name="cut"):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    root = exact_groups(texts)
+    assert len(set(root.values())) > 40
+    assert kept_ids(spark, texts) == set(root.values())
+    assert max(rows.values()) < 25 * len(texts), rows
+
+
+@pytest.mark.parametrize("paired", [1, 10**6])
+def test_lists_compared_in_parts_and_as_rows(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED_ROWS", paired)
+    monkeypatch.setattr(simhash, "LIST_ROWS", 9)
+    monkeypatch.setattr(simhash, "STAR_SHARE", 2.0)  # no first links: all is left to the lists
+    texts = cloud(random.Random(9), 60) | {100 + k: t.replace("w", "x") for k, t in cloud(random.Random(10), 30).items()}
+    assert kept_ids(spark, texts) == set(exact_groups(texts).values())
+
+
+def test_shared_phrases_make_few_lists(spark):
+    """Texts of phrases that others have too, but no more than a phrase: few keys are shared, though two thirds of the shingles are."""
+    rng = random.Random(12)
+    phrases = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(1000)]
+    texts = {k: " ".join(rng.sample(phrases, 15)) for k in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    listed = simhash.fronts(docs, simhash._tag(docs)).count()
+    assert listed < 8 * len(texts), listed
+    assert kept_ids(spark, texts) == set(exact_groups(texts).values())
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    a, b = ([np.unique(rng.integers(0, 5000, n).astype(np.int64)) for n in sizes] for sizes in ([3, 400, 2000, 1], [3000, 0, 50]))
+    assert simhash.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]

@@ -11,9 +11,10 @@ way before rows are dealt. From every subtrie only a spanning forest of its link
 leaves.
 
 The corpus pipeline's stage follows an exact rule instead, five-word shingle sets that
-overlap by ``SIMILAR`` or more: sets that do share a shingle of their fronts, so the
-lists of the fronts' shingles meet every such pair (``overlap_links``). Links to the
-lists' first sets make most groups; then all pairs between groups are compared.
+overlap by ``SIMILAR`` or more: sets that do share a key, all that a set has in one
+class of shingles, so the lists of the keys meet every such pair (``overlap_links``).
+Links to the lists' first sets make most groups; then all pairs between groups are
+compared, those of long lists inside tasks.
 
 ``wide_links`` is a net for such pairs that needs no sets: ten words of 64 bits a text,
 each cut into four blocks, one of which must agree. A subtrie hands on two links of
@@ -58,6 +59,11 @@ WIDE_LIKELY = 100
 #: Shingles are counted in one of this many rows, to put common ones last in the sets' order, and from this count on
 #: they are common; so many of the most common ones are told apart. Any order gives the same links.
 COUNTED_ROWS, COMMON_COUNT, COMMON_SHINGLES = 16, 4, 500_000
+#: Shingles of one class in the smallest sets of an octave, and classes at least: few classes are empty or hold one.
+CLASS_SHINGLES, LEAST_CLASSES = 1.2, 16
+#: Names of a list up to which its pairs become rows; those of a longer one are compared inside tasks, in parts of so
+#: many names and shingles at most or so, by matrices of so many rows and columns.
+PAIRED_ROWS, LIST_ROWS, LIST_SHINGLES, COUNT_ROWS, COUNT_COLUMNS = 32, 1024, 4_000_000, 512, 2048
 #: The share of its front that a set has in lists of one first set, to be compared with that one before all other pairs.
 STAR_SHARE = 0.25
 
@@ -504,18 +510,19 @@ def _tag(docs: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
-def checked_links(met: DataFrame, docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
-    """The pairs (src, dst) of names of ``met`` whose shingle sets overlap by ``SIMILAR`` or more.
-
-    Of the texts met one row each is read again, and the sets are compared pair by pair.
-    """
-    met = cut(met.select("src", "dst"), "met")
-    names = met.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+def held_sets(names: DataFrame, docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
+    """(name, held): the shingle sets of distinct ``names``; of the texts of a name one is read again."""
     # the row whose text stands for a name: its smallest tag, which tells rows apart but for twins
     rows = cut(slim.select(F.col("prints")[0].alias("name"), "tag").join(names, "name").groupBy("name").agg(F.min("tag").alias("tag")), "rows")
     text, mark = free_name(docs, "own_text"), free_name(docs, "own_tag")
     texts = docs.select(F.col("text").alias(text), tag.alias(mark)).join(rows, F.col(mark) == F.col("tag")).select("name", F.col(text).alias("text"))
-    sets = cut(texts.withColumn("held", shingle_sets("text")).groupBy("name").agg(F.first("held").alias("held")), "sets")
+    return cut(texts.withColumn("held", shingle_sets("text")).groupBy("name").agg(F.first("held").alias("held")), "sets")
+
+
+def checked_links(met: DataFrame, docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
+    """The pairs (src, dst) of names of ``met`` whose shingle sets overlap by ``SIMILAR`` or more, compared pair by pair."""
+    met = cut(met.select("src", "dst"), "met")
+    sets = held_sets(met.select(F.col("src").alias("name")).unionByName(met.select(F.col("dst").alias("name"))).distinct(), docs, slim, tag)
     of = lambda end: sets.select(F.col("name").alias(end), F.col("held").alias(f"{end}_held"))
     both = met.join(of("src"), "src").join(of("dst"), "dst")
     shared = F.size(F.array_intersect("src_held", "dst_held"))
@@ -549,33 +556,75 @@ def common_shingles(docs: DataFrame, tag: Column) -> tuple[np.ndarray, np.ndarra
     return tokens[order], n[order]
 
 
-def front(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which any set that overlaps it by ``SIMILAR`` has one in its own front.
+def front_keys(tokens: np.ndarray, lengths: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets laid end to end, and the set of each: two sets that overlap by ``SIMILAR`` have a key in common.
 
-    Sets have one order, rare shingles first, then by hash. Of n shingles such a
-    partner shares ``SIMILAR`` x n, so it can't miss all of the first n less that plus one.
+    A hash deals shingles to classes; a key is all that a set has in one class. The
+    classes of a pair are as many as the octave of its larger set asks for, so a set
+    near the end of its octave has keys for the next one too. Two sets that differ in
+    d shingles differ in d classes at most, so with all keys in one order (rare ones
+    first, then those of more shingles) the first d + 1 of each hold a common one.
     """
+    sizes = lengths.astype(np.int64)
+    rarity = np.zeros(len(tokens), np.int64)
     if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        own = own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
-    return own[: len(own) - int(np.ceil(SIMILAR * len(own) - 1e-6)) + 1] if len(own) else own
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rarity = np.where(common[at] == tokens, counts[at], 0)
+    spread = _mixed(tokens + _STEP)
+    octave = np.frexp(np.maximum(sizes, 1))[1].astype(np.int64) - 1
+    most = np.floor(sizes / SIMILAR + 1e-6).astype(np.int64)
+    out = []
+    for step in (0, 1):
+        least = np.int64(1) << (octave + step)
+        takes = (sizes > 0) & (most >= least)
+        differ = np.floor((sizes + np.minimum(most, 2 * least - 1)) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-6).astype(np.int64)
+        classes = np.maximum(np.ceil(least / CLASS_SHINGLES).astype(np.int64), LEAST_CLASSES)
+        mine = np.repeat(takes, sizes)
+        if not mine.any():
+            continue
+        base = np.cumsum(classes) - classes
+        own = np.repeat(np.arange(len(sizes)), sizes)[mine]
+        cell = base[own] + (spread[mine] % classes[own].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell, own = cell[order], own[order]
+        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        held = np.diff(np.append(begin, len(cell)))
+        own = own[begin]
+        key = _mixed(np.add.reduceat(_mixed(tokens[mine][order]), begin) + (octave[own] + step).astype(np.uint64) * _STEP)
+        first = np.lexsort((key, -held, np.minimum.reduceat(rarity[mine][order], begin), own))
+        own, key = own[first], key[first]
+        n = np.bincount(own, minlength=len(sizes))
+        taken = np.arange(len(own)) - (np.cumsum(n) - n)[own] <= differ[own]
+        # shingles in so few classes that all of them may differ: such sets meet by a key of their own
+        poor = np.flatnonzero(takes & (n <= differ))
+        out += [(key[taken], own[taken]), (_mixed((octave[poor] + step).astype(np.uint64)), poor)]
+    keys, own = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return keys, own
+
+
+def front(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of one set, of which any set that overlaps it by ``SIMILAR`` has one."""
+    return front_keys(own, np.array([len(own)]), common, counts)[0]
 
 
 def fronts(docs: DataFrame, tag: Column) -> DataFrame:
-    """(token, name, size, first): the shingles that fronts of several names share, and the smallest of these names."""
+    """(token, name, size, first): the keys that several names share, and the smallest of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, tag))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
-            tokens, names, sizes, n = [np.zeros(0, np.uint64)], [], [], []
-            for own in _sets(batch.column("text")):
-                tokens.append(front(own, common, counts))
-                names.append(xxhash.xxh64_intdigest(own.tobytes()))
-                sizes.append(len(own))
-                n.append(len(tokens[-1]))
-            columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.uint64).view(np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "name", "size"])
+            data, offsets = buffers(batch.column("text"))
+            raw = memoryview(data)
+            for lo, hi in steps(offsets):
+                h, n = shingle_hashes([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+                sets = [shingle_set(own) for own in np.split(h, np.cumsum(n)[:-1])]
+                names = np.array([xxhash.xxh64_intdigest(own.tobytes()) for own in sets], np.uint64).view(np.int64)
+                # a set of fewer than four shingles overlaps no other one by so much
+                sets = [own if np.floor(len(own) / SIMILAR + 1e-6) > len(own) else own[:0] for own in sets]
+                sizes = np.array([len(own) for own in sets], np.int32)
+                keys, at = front_keys(np.concatenate(sets), sizes, common, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[at]), pa.array(sizes[at])], ["token", "name", "size"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "token long, name long, size int")
     mine = Window.partitionBy("token")
@@ -587,28 +636,76 @@ def _near(a: str, b: str) -> Column:
     return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-6
 
 
-def pairs_between(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (src, dst), src < dst, of names that may overlap by ``SIMILAR`` and that ``roots`` (node, root) has in different groups.
+def mixed_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, name, size, root, n, total): the lists of ``fronts`` with names of several groups of ``roots`` (node, root).
 
-    ``lists`` has the rows of ``fronts``. Of two sets, one has its whole front before
-    the end of the other's, so it shares with that front what it shares of its own,
-    and at most all behind it: pairs whose fronts share too little for the overlap
-    are none. Texts of one group are never paired, so a large group costs what it
-    shares with others.
+    n and total are a list's names and the sum of their sizes. Texts of one group are
+    never paired, so a large group costs what it shares with others. Of lists of the
+    same names, told by two hashes, one is there.
     """
     rows = lists.drop("first").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    mine = Window.partitionBy("token")
-    groups = rows.groupBy("token", "root").agg(F.min("size").alias("small"), F.max("size").alias("large"))
-    groups = groups.withColumns({"lo": F.min("root").over(mine), "hi": F.max("root").over(mine)}).where("lo < hi")
-    groups = cut(groups.drop("lo", "hi"), "groups")
-    rows = cut(rows.join(groups.select("token", "root"), ["token", "root"], "left_semi"), "mixed")
-    of = lambda df, end: df.select("token", *[F.col(c).alias(f"{end}_{c}") for c in df.columns if c != "token"])
-    met = of(groups, "a").join(of(groups, "b"), "token").where("a_root < b_root")
-    met = met.where((F.col("a_large") >= SIMILAR * F.col("b_small") - 1e-6) & (F.col("b_large") >= SIMILAR * F.col("a_small") - 1e-6))
-    met = met.select("token", "a_root", "b_root").join(of(rows, "a"), ["token", "a_root"]).join(of(rows, "b"), ["token", "b_root"]).where(_near("a_size", "b_size"))
-    pairs = met.groupBy(F.least("a_name", "b_name").alias("src"), F.greatest("a_name", "b_name").alias("dst"), (F.col("a_size") + F.col("b_size")).alias("both"), F.greatest("a_size", "b_size").alias("more")).agg(F.count("*").alias("n"))
-    behind = F.ceil(SIMILAR * F.col("more") - 1e-6) - 1
-    return pairs.where(F.col("n") + behind >= SIMILAR / (1 + SIMILAR) * F.col("both") - 1e-6).select("src", "dst")
+    same = [F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"same{k}") for k in (0, 1)]
+    facts = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same)
+    once = facts.where("lo < hi").groupBy("n", "total", "same0", "same1").agg(F.min("token").alias("token"))
+    return rows.join(once.drop("same0", "same1"), "token")
+
+
+def pairs_between(rows: DataFrame) -> DataFrame:
+    """All pairs (src, dst), src < dst, of names of different groups that share a list of ``mixed_lists`` and whose sizes allow the overlap."""
+    of = lambda end: rows.select("token", *[F.col(c).alias(f"{end}_{c}") for c in ("name", "size", "root")])
+    met = of("a").join(of("b"), "token").where("a_name < b_name and a_root != b_root").where(_near("a_size", "b_size"))
+    return met.select(F.col("a_name").alias("src"), F.col("b_name").alias("dst")).distinct()
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    tokens, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    own = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    left, right = (np.bincount(x, minlength=len(tokens)) for x in (at[own < len(a)], at[own >= len(a)]))
+    column = np.cumsum((left > 0) & (right > 0)) - 1
+    kept = ((left > 0) & (right > 0))[at]
+    own, at = own[kept], column[at[kept]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COUNT_COLUMNS):
+        i, j = np.searchsorted(at, (lo, lo + COUNT_COLUMNS))
+        held = np.zeros((len(a) + len(b), COUNT_COLUMNS), np.float32)
+        held[own[i:j], at[i:j] - lo] = 1
+        out += held[: len(a)] @ held[len(a) :].T
+    return out
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """Links that connect what the alike pairs of one list's names would, between two of its parts or within one."""
+    names, roots, side = (table.column(c).to_numpy() for c in ("name", "root", "side"))
+    held = table.column("held").combine_chunks()
+    sets = np.split(held.flatten().to_numpy(), held.offsets.to_numpy()[1:-1] - held.offsets.to_numpy()[0])
+    size = np.array([len(x) for x in sets])
+    low = np.flatnonzero(side == 0)
+    high = np.flatnonzero(side == 1) if side.any() else low
+    found = []
+    for rows in np.split(low, range(COUNT_ROWS, len(low), COUNT_ROWS)) if len(low) and len(high) else []:
+        shared = shared_counts([sets[k] for k in rows], [sets[k] for k in high]).astype(np.float64)
+        alike = shared >= SIMILAR * (size[rows][:, None] + size[high] - shared)
+        i, j = np.nonzero(alike & (roots[rows][:, None] != roots[high]))
+        found.append((rows[i], high[j]))
+    label = _forest(len(names), iter(found))
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return pa.table({"src": names[moved], "dst": names[label[moved]]})
+
+
+def links_within(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect all names of ``rows`` (of ``mixed_lists``) as their alike pairs between groups would; no pair becomes a row.
+
+    A list is dealt by name to parts of ``LIST_ROWS`` names and ``LIST_SHINGLES``
+    shingles at most or so, and a task compares two parts, or one with itself.
+    """
+    deals = F.ceil(F.greatest(F.col("n") / LIST_ROWS, F.col("total") / LIST_SHINGLES)).cast("int")
+    rows = rows.withColumn("deals", deals).withColumn("deal", F.pmod(F.xxhash64("name"), F.col("deals")).cast("int"))
+    rows = rows.select("token", "name", "root", "deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("other"))
+    rows = rows.select("token", "name", "root", F.least("deal", "other").alias("a"), F.greatest("deal", "other").alias("b"), (F.col("deal") > F.col("other")).cast("int").alias("side"))
+    return rows.join(sets, "name").groupBy("token", "a", "b").applyInArrow(_between, "src long, dst long").distinct()
 
 
 def overlap_links(docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
@@ -627,10 +724,14 @@ def overlap_links(docs: DataFrame, slim: DataFrame, tag: Column) -> DataFrame:
         made.remove(near.cut_path)
     with scope(spark) as made:
         roots = cut(connected_components(near), "near_roots")
-        rest = cut(checked_links(pairs_between(lists, roots), docs, slim, tag), "rest")
+        rows = cut(mixed_lists(lists, roots), "mixed")
+        rest = cut(checked_links(pairs_between(rows.where(F.col("n") <= PAIRED_ROWS)), docs, slim, tag), "rest")
+        long = rows.where(F.col("n") > PAIRED_ROWS)
+        within = cut(links_within(long, held_sets(long.select("name").distinct(), docs, slim, tag)), "within")
         made.remove(rest.cut_path)
+        made.remove(within.cut_path)
     discard(spark, lists.cut_path)
-    return near.unionByName(rest)
+    return near.unionByName(rest).unionByName(within)
 
 
 def drop_near_duplicates(docs: DataFrame, prints: Column | None = None, links=None) -> DataFrame:
