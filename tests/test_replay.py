@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.functions import vectors
-from tidewheel.operators import learning, replay
+from tidewheel.operators import learning, metric, replay
 
 START = dt.datetime(2024, 1, 1)
 TEXTS = ["A breakthrough first-in-class approval", "Novel CRISPR method and assay", "Sponsored webinar: register now", "Plain words", "Please subscribe or log in"]
@@ -158,6 +158,24 @@ def test_replay_against_a_loop(spark, world):
             close(tuple(row[c] for c in COLUMNS), want.get(name, want["topic"]))
 
 
+def test_replay_over_many_votes(spark, world, monkeypatch):
+    """Votes beyond the shared size give the same figures, and no table of the search has more rows than items that are asked for."""
+    slates, rows = slates_of(spark, (0, 9, 20)), {}
+    run = lambda: {(r.digest_id, r.ranking): tuple(r) for r in replay.replay(slates, world["votes"], world["items"], world["profile"], least=0).collect()}
+    want, own, real = run(), replay.ranking._nearest, metric.cut
+
+    def cut(df, name="cut"):
+        out = real(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(metric, "cut", cut)
+    monkeypatch.setattr(replay.ranking, "_nearest", lambda *a, **k: own(*[7 if isinstance(x, int) and x == vectors.MAX_ROWS else x for x in a], **k))
+    got = run()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert len(rows["queries"]) == 3 and max(n for found in rows.values() for n in found) <= max(rows["queries"]), rows
+
+
 def test_a_future_vote_does_not_leak(spark, world):
     """Strong votes on items of no slate, cast between two digests, change the later one only."""
     slates = slates_of(spark, (8, 30)).where("item_id < 50")
