@@ -87,6 +87,30 @@ def test_brew(spark, sf):
     assert full.slate.count() >= len(slate)
 
 
+def test_brew_leaves_few_tables_and_moves_no_texts(spark, sf, monkeypatch):
+    """Whole items are there twice at most, and what ranks read has no texts."""
+    from tidewheel import scratch
+    from tidewheel.operators import dedupe, embedding
+
+    made, real = [], scratch.cut
+
+    def cut(df, name="cut"):
+        out = real(df, name)
+        made.append((name, df.columns, out.cut_path))
+        return out
+
+    for module in (digest, dedupe, embedding, ranking):
+        monkeypatch.setattr(module, "cut", cut)
+    items = fixtures.items(spark, sf)
+    model = embedding.fit(items, "text", terms=100, dim=8)
+    items = items.withColumns({"external_id": F.lit(""), "url": F.concat(F.lit("https://x.org/"), F.col("item_id").cast("string")), "fetched_at": F.col("published_at"), "vec": model.vectors("text")}).drop("text")
+    run = digest.brew(items, fixtures.votes(spark, sf), profile.facets(spark, profile.Profile(keywords=["crispr"]), embed=model.vector), fixtures.as_of(), digest.Settings(days=20))
+    assert run.slate.count() and run.dropped.count() >= 0
+    there = lambda path: spark.sparkContext._jvm.java.io.File(path.removeprefix("file:")).exists()
+    assert {"weights", "pool", "keys", "single", "gated", "signal", "scored"} <= {name for name, _, _ in made}
+    assert [name for name, columns, path in made if there(path) and ("abstract" in columns or name in ("weights", "keys"))] == ["gated"]
+
+
 def test_config_files(spark, tmp_path):
     from tidewheel.sources import config
 
