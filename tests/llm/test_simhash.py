@@ -428,3 +428,27 @@ def test_shared_counts():
     rng = np.random.default_rng(4)
     a, b = ([np.unique(rng.integers(0, 5000, n).astype(np.int64)) for n in sizes] for sizes in ([3, 400, 2000, 1], [3000, 0, 50]))
     assert simhash.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_unlike_texts_of_regular_words_stay(spark):
+    """Words whose sums of multiples of bytes are equal modulo 2**64 for every odd multiplier: no shingle of theirs is the same."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(30))
+    texts = {1: one, 2: two, 3: f"{one} {tail}", 4: f"{two} {tail}", 5: " ".join([one] * 6), 6: " ".join([two] * 6), 7: f"{one} {two}", 8: f"{two} {one}", 9: one, 10: ""}
+    assert kept_ids(spark, texts) == set(exact_groups(texts).values()) == {1, 2, 3, 5, 6, 7, 8, 10}
+
+
+def test_set_hashes_are_those_of_the_shingles():
+    """Equal shingles have equal hashes wherever they are, others have others; as many as there are, of whole texts."""
+    rng = random.Random(14)
+    long = " ".join(rng.choice(("a", "B", "\u00fc", "x\x0by", "w" * 3000, "no\u00a0break")) for _ in range(5000))
+    texts = ["", " \n", "a", "A b C", "a b c d", "a b c d e", "b c d e a", "A b c d e f g a b c d e", "ab c", "a bc", long, long[5:]]
+    h, n = simhash.set_hashes([t.encode() for t in texts])
+    seen = [g for t in texts for g in grams(t)]
+    assert n.tolist() == [len(grams(t)) for t in texts] and len(h) == len(seen)
+    assert len(set(zip(h.tolist(), seen, strict=True))) == len(set(seen)) == len(set(h.tolist()))
+    empty, none = simhash.set_hashes([])
+    assert not len(empty) and not len(none)

@@ -51,6 +51,8 @@ FRONTIER = 1 << 17
 HOT_SHARE = 1e-3
 #: What five-word shingle sets of near-duplicates share, intersection over union.
 SIMILAR, WIDE_SHINGLE = 0.8, 5
+#: Bytes of a word from which on a set's shingles hold its hash in place of it.
+LONG_WORD = 16
 #: The wide net: words of a fingerprint, blocks of a word, bits of one word and of all that may differ. Texts at
 #: ``SIMILAR`` differ in 97 of 640 bits, give or take 9; 122 lets 99.6 % of them through.
 WIDE_WORDS, WIDE_BLOCKS, WIDE_REACH, WIDE_BITS = 10, 4, 14, 122
@@ -104,14 +106,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(texts: list[bytes], size: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: list[bytes], size: int = WIDE_SHINGLE, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``size``-word shingles of all texts, end to end, and how many each text has; no words: none.
 
     A shingle's hash is a polynomial of its bytes, read off running sums, so the
     shingles of many texts are hashed by a few array operations. A text of fewer
-    words is one shingle.
+    words is one shingle. Words of over ``longest`` bytes are read as a hash of theirs.
     """
     parts = [t.lower().split() for t in texts]
+    if longest is not None:
+        name = lambda w: b"\n" + xxhash.xxh64_digest(w, SEED)  # noqa: E731  # no word has a line's end
+        parts = [[w if len(w) <= longest else name(w) for w in p] if max(map(len, p), default=0) > longest else p for p in parts]
     counts = np.array([len(p) for p in parts], np.int64)
     shingles = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
     line = b" ".join(w for p in parts for w in p)
@@ -128,6 +133,16 @@ def shingle_hashes(texts: list[bytes], size: int = WIDE_SHINGLE) -> tuple[np.nda
     return (sums[ends[hi]] - sums[starts[lo]]) * down[starts[lo]] ^ (ends[hi] - starts[lo]).astype(np.uint64) * _STEP, shingles
 
 
+def set_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_hashes`` for sets that stand for their texts: words of over ``LONG_WORD`` bytes go by their XXH64.
+
+    Sums of multiples of bytes modulo 2**64 are equal for some unlike words of
+    regular bytes, whatever the multiplier (2,048 letters of the Thue-Morse sequence
+    and their exchange); they need more bytes than five short words have.
+    """
+    return shingle_hashes(texts, longest=LONG_WORD)
+
+
 def shingle_set(h: np.ndarray) -> np.ndarray:
     """A text's shingle hashes once each, ascending."""
     return np.unique(h)
@@ -186,7 +201,7 @@ def shingle_sets(texts: pa.Array) -> pa.Array:
     """Each text's shingle hashes once each; null counts as empty."""
     data, offsets = buffers(texts)
     raw = memoryview(data)
-    rows = [shingle_set(shingle_hashes([bytes(raw[a:b])])[0]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    rows = [shingle_set(set_hashes([bytes(raw[a:b])])[0]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
@@ -535,7 +550,7 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     data, offsets = buffers(texts)
     raw = memoryview(data)
     for lo, hi in steps(offsets):
-        h, n = shingle_hashes([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+        h, n = set_hashes([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
         yield from (shingle_set(own) for own in np.split(h, np.cumsum(n)[:-1]))
 
 
@@ -617,7 +632,7 @@ def fronts(docs: DataFrame, tag: Column) -> DataFrame:
             data, offsets = buffers(batch.column("text"))
             raw = memoryview(data)
             for lo, hi in steps(offsets):
-                h, n = shingle_hashes([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+                h, n = set_hashes([bytes(raw[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
                 sets = [shingle_set(own) for own in np.split(h, np.cumsum(n)[:-1])]
                 names = np.array([xxhash.xxh64_intdigest(own.tobytes()) for own in sets], np.uint64).view(np.int64)
                 # a set of fewer than four shingles overlaps no other one by so much
