@@ -176,6 +176,21 @@ def test_replay_over_many_votes(spark, world, monkeypatch):
     assert len(rows["queries"]) == 3 and max(n for found in rows.values() for n in found) <= max(rows["queries"]), rows
 
 
+def test_held_out_searches_list_no_visits(spark, world, monkeypatch):
+    """Over many votes the tables of the search have a row for each item asked for, at most, not one for each list it meets."""
+    rows, own, real = {}, replay.ranking._nearest, metric.cut
+
+    def cut(df, name="cut"):
+        out = real(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(metric, "cut", cut)
+    monkeypatch.setattr(replay.ranking, "_nearest", lambda *a, **k: own(*[7 if isinstance(x, int) and x == vectors.MAX_ROWS else x for x in a], **k))
+    assert replay.held_out(world["items"], world["votes"], world["profile"], F.lit(START), (0.6, 0.75)).count() == 10
+    assert max(n for found in rows.values() for n in found) <= max(rows["queries"]), rows
+
+
 def test_a_future_vote_does_not_leak(spark, world):
     """Strong votes on items of no slate, cast between two digests, change the later one only."""
     slates = slates_of(spark, (8, 30)).where("item_id < 50")
